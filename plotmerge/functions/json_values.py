@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from plotmerge.functions.binding import let
 from plotmerge.functions.text import float_comma, float_plain, parse_int_eu
 
 
@@ -15,8 +16,7 @@ def parse_strict(text: Column) -> Column:
     element of an array: anything after the value then makes it malformed.
     """
     wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    items = F.try_variant_get(wrapped, "$", "array<variant>")
-    return F.when(F.size(items) == 1, F.get(items, F.lit(0)))
+    return let(items(wrapped), lambda v: F.when(F.size(v) == 1, F.get(v, F.lit(0))))
 
 
 def child(value: Column, *keys: str) -> Column:
@@ -31,10 +31,13 @@ def is_object(value: Column) -> Column:
     return kind(value).startswith("OBJECT<")
 
 
+def object_only(value: Column) -> Column:
+    return let(value, lambda v: F.when(is_object(v), v))
+
+
 def non_empty_object(value: Column) -> Column:
     """The value if it is an object with at least one key, else NULL."""
-    k = kind(value)
-    return F.when(k.startswith("OBJECT<") & (k != "OBJECT<>"), value)
+    return let(value, lambda v: F.when(kind(v).rlike("^OBJECT<[^>]"), v))
 
 
 def items(value: Column) -> Column:
@@ -42,40 +45,55 @@ def items(value: Column) -> Column:
     return F.try_variant_get(value, "$", "array<variant>")
 
 
+def _text(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "string")
+
+
 def as_string(value: Column) -> Column:
     """The text of a string value; other kinds are NULL."""
-    return F.when(kind(value) == "STRING", F.try_variant_get(value, "$", "string"))
+    return let(value, lambda v: F.when(kind(v) == "STRING", _text(v)))
 
 
-def as_text(value: Column) -> Column:
-    """Strings and numbers as text; booleans, objects, arrays and null are NULL."""
-    k = kind(value)
-    scalar = (k == "STRING") | _is_number(k)
-    return F.when(scalar, F.try_variant_get(value, "$", "string"))
+_NUMBER = "^(BIGINT|DOUBLE|FLOAT|DECIMAL)"
 
 
-def _is_number(k: Column) -> Column:
-    return (k == "BIGINT") | (k == "DOUBLE") | (k == "FLOAT") | k.startswith("DECIMAL")
+def as_text(value: Column) -> Column:
+    """Strings and numbers as text; booleans, objects, arrays and null are NULL."""
+    return let(value, lambda v: F.when(kind(v).rlike(f"{_NUMBER}|^STRING$"), _text(v)))
 
 
 def as_int(value: Column) -> Column:
     """Non-negative integer: numbers are truncated, strings keep their digits."""
-    k = kind(value)
-    n = F.when(_is_number(k), F.try_variant_get(value, "$", "bigint")).when(
-        k == "STRING", parse_int_eu(F.try_variant_get(value, "$", "string"))
-    )
-    return F.when(n >= 0, n)
+
+    def read(v: Column) -> Column:
+        return let(
+            kind(v),
+            lambda k: F.when(k.rlike(_NUMBER), F.try_variant_get(v, "$", "bigint")).when(
+                k == "STRING", parse_int_eu(_text(v))
+            ),
+        )
+
+    return let(let(value, read), lambda n: F.when(n >= 0, n))
 
 
 def as_float(value: Column, comma: bool = False) -> Column:
     """Double; strings may use a decimal comma if ``comma``; booleans are NULL."""
-    k = kind(value)
-    text = F.try_variant_get(value, "$", "string")
-    return F.when(_is_number(k), F.try_variant_get(value, "$", "double")).when(
-        k == "STRING", float_comma(text) if comma else float_plain(text)
-    )
+    of_text = float_comma if comma else float_plain
+
+    def read(v: Column) -> Column:
+        return let(
+            kind(v),
+            lambda k: F.when(k.rlike(_NUMBER), F.try_variant_get(v, "$", "double")).when(
+                k == "STRING", of_text(_text(v))
+            ),
+        )
+
+    return let(value, read)
 
 
 def first_or_self(value: Column) -> Column:
     """First element of an array, any other value as it is."""
-    return F.when(kind(value).startswith("ARRAY<"), F.get(items(value), F.lit(0))).otherwise(value)
+    return let(
+        value,
+        lambda v: F.when(kind(v).startswith("ARRAY<"), F.get(items(v), F.lit(0))).otherwise(v),
+    )

@@ -95,8 +95,7 @@ def page_state(tag_array: Column, element_id: str = "__NEXT_DATA__") -> Column:
     found = F.get(
         F.filter(scripts(tag_array), lambda t: _has_attr(t, "id", element_id)), F.lit(0)
     )
-    state = J.parse_strict(script_body(found))
-    return F.when(J.is_object(state), state)
+    return J.object_only(J.parse_strict(script_body(found)))
 
 
 def page_property(tag_array: Column) -> Column:
@@ -105,34 +104,45 @@ def page_property(tag_array: Column) -> Column:
         scripts(tag_array), lambda t: t.contains("pageProps") & t.contains("property")
     )
     found = F.transform(
-        candidates, lambda t: J.child(J.parse_strict(script_body(t)), "props", "pageProps", "property")
+        candidates,
+        lambda t: J.object_only(
+            J.child(J.parse_strict(script_body(t)), "props", "pageProps", "property")
+        ),
     )
-    return F.get(F.filter(found, lambda v: F.coalesce(J.is_object(v), F.lit(False))), F.lit(0))
+    return F.get(F.array_compact(found), F.lit(0))
 
 
 def classified(state: Column) -> Column:
     """The advert object inside a page state, wherever the layout keeps it."""
     places = (("props", "pageProps", "classified"), ("classified",), ("listing",), ("property",))
-    return F.coalesce(
-        *[F.when(J.is_object(J.child(state, *p)), J.child(state, *p)) for p in places]
+    return F.coalesce(*[J.object_only(J.child(state, *p)) for p in places])
+
+
+def _attr(tag: Column, name: str) -> Column:
+    """Value of an attribute of an opening tag, in any quoting; NULL if absent."""
+    value = r"(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    pattern = rf"(?is)^<\w++{_ATTRS_BEFORE}\s{name}\s*=\s*{value}"
+    return F.when(
+        tag.rlike(pattern), F.concat(*[F.regexp_extract(tag, pattern, g) for g in (1, 2, 3)])
     )
 
 
-def meta_content(tag_array: Column, key: str, attr: str = "property") -> Column:
-    """Trimmed, decoded content of the first such meta element; NULL if empty."""
-    found = F.get(
-        F.filter(
-            tag_array,
-            lambda t: (F.lower(F.substring(t, 1, 5)) == "<meta") & _has_attr(t, attr, key),
+def metas(tag_array: Column) -> Column:
+    """All meta elements as (name, property, content), content trimmed and decoded."""
+    elements = F.filter(tag_array, lambda t: F.lower(F.substring(t, 1, 5)) == "<meta")
+    return F.transform(
+        elements,
+        lambda t: F.struct(
+            _attr(t, "name").alias("name"),
+            _attr(t, "property").alias("property"),
+            blank_to_null(unescape(_attr(t, "content"))).alias("content"),
         ),
-        F.lit(0),
-    )
-    raw = F.coalesce(
-        F.nullif(F.regexp_extract(found, rf"(?is)^<meta{_ATTRS_BEFORE}\scontent\s*=\s*\"([^\"]*)\"", 1), F.lit("")),
-        F.nullif(F.regexp_extract(found, rf"(?is)^<meta{_ATTRS_BEFORE}\scontent\s*=\s*'([^']*)'", 1), F.lit("")),
-        F.nullif(F.regexp_extract(found, rf"(?is)^<meta{_ATTRS_BEFORE}\scontent\s*=\s*([^\s\"'>]+)", 1), F.lit("")),
     )
-    return blank_to_null(unescape(raw))
+
+
+def meta_content(meta_array: Column, key: str, attr: str = "property") -> Column:
+    """Content of the first of ``metas`` whose attribute is the key; NULL if empty."""
+    return F.get(F.filter(meta_array, lambda m: m[attr] == key), F.lit(0))["content"]
 
 
 def title(html: Column) -> Column:

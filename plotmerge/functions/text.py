@@ -17,6 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plotmerge.functions.binding import let
 from plotmerge.schemas import EPC_LABELS
 
 # ---- fixed values: what the fields look like in text -----------------------
@@ -54,7 +55,7 @@ def strip(text: Column) -> Column:
 
 
 def blank_to_null(text: Column) -> Column:
-    return F.nullif(strip(text), F.lit(""))
+    return let(strip(text), lambda s: F.nullif(s, F.lit("")))
 
 
 def parse_int_eu(text: Column) -> Column:
@@ -86,11 +87,16 @@ def price(text: Column) -> Column:
     """First plausible amount: those before a euro sign, else those after one."""
     low, high = PRICE_RANGE
 
-    def first_plausible(pattern: str) -> Column:
-        found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), parse_int_eu)
+    def first_plausible(t: Column, pattern: str) -> Column:
+        found = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)), parse_int_eu)
         return F.get(F.filter(found, lambda n: n.between(low, high)), F.lit(0))
 
-    return F.coalesce(first_plausible(PRICE_BEFORE_SIGN), first_plausible(PRICE_AFTER_SIGN))
+    return let(
+        text,
+        lambda t: F.coalesce(
+            first_plausible(t, PRICE_BEFORE_SIGN), first_plausible(t, PRICE_AFTER_SIGN)
+        ),
+    )
 
 
 def epc_label_in(text: Column) -> Column:
@@ -103,24 +109,32 @@ def epc_kwh_in(text: Column) -> Column:
 
 def epc_exact(text: Column) -> Column:
     """The label itself, after trimming and upper-casing, or NULL."""
-    label = F.upper(strip(text))
-    return F.when(label.isin(*EPC_LABELS), label)
+    return let(F.upper(strip(text)), _label)
 
 
 def epc_lenient(text: Column) -> Column:
     """The exact label, else a leading letter A to F ("B 120" is B)."""
-    head = F.substring(F.upper(strip(text)), 1, 1)
-    return F.coalesce(epc_exact(text), F.when(head.rlike("^[A-F]$"), head))
+    return let(
+        F.upper(strip(text)),
+        lambda t: F.coalesce(_label(t), F.nullif(F.regexp_extract(t, "^[A-F]", 0), F.lit(""))),
+    )
+
+
+def _label(text: Column) -> Column:
+    return F.when(text.isin(*EPC_LABELS), text)
 
 
 def by_rules(text: Column, rules, default: str | None = None) -> Column:
     """Value of the first rule whose word occurs in the lower-cased text."""
-    lowered = F.lower(text)
-    out = None
-    for word, value in rules:
-        hit = lowered.contains(word)
-        out = F.when(hit, F.lit(value)) if out is None else out.when(hit, F.lit(value))
-    return out.otherwise(F.lit(default).cast("string"))
+
+
+    def first_hit(lowered: Column) -> Column:
+        out = F
+        for word, value in rules:
+            out = out.when(lowered.contains(word), F.lit(value))
+        return out.otherwise(F.lit(default).cast("string"))
+
+    return let(F.lower(text), first_hit)
 
 
 def property_type(text: Column) -> Column:
@@ -133,8 +147,7 @@ def condition(text: Column) -> Column:
 
 def float_plain(text: Column) -> Column:
     """Number with a decimal point, or NULL (Java's "1d" is not a number)."""
-    trimmed = strip(text)
-    return F.when(trimmed.rlike(DOUBLE_PATTERN), trimmed.try_cast("double"))
+    return let(strip(text), lambda t: F.when(t.rlike(DOUBLE_PATTERN), t.try_cast("double")))
 
 
 def float_comma(text: Column) -> Column:
@@ -153,10 +166,16 @@ def street(name: Column, number: Column) -> Column:
     )
 
 
-def first_truthy(*columns: Column) -> Column:
-    """First value that is neither NULL nor 0 nor ''; the last column counts as it is."""
-    *head, last = columns
-    return F.coalesce(*[F.when(c.cast("string").isin("", "0"), None).otherwise(c) for c in head], last)
+def first_nonzero(*numbers: Column) -> Column:
+    """First number that is neither NULL nor 0; the last one counts as it is."""
+    *head, last = numbers
+    return F.coalesce(*[let(n, lambda v: F.when(v != 0, v)) for n in head], last)
+
+
+def first_nonempty(*texts: Column) -> Column:
+    """First text that is neither NULL nor ''; the last one counts as it is."""
+    *head, last = texts
+    return F.coalesce(*[let(t, lambda v: F.nullif(v, F.lit(""))) for t in head], last)
 
 
 def int_or_null(text: Column) -> Column:
@@ -193,28 +212,37 @@ def unescape(text: Column) -> Column:
     )
 
     def numbered(base: int, value: Column) -> Column:
-        point = F.conv(value, base, 10).cast("bigint")
-        is_char = ((point > 0) & (point < 0xD800)) | point.between(0xE000, 0x10FFFF)
-        code = F.when(is_char, point).otherwise(0xFFFD)
-        return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        def char(point: Column) -> Column:
+            is_char = ((point > 0) & (point < 0xD800)) | point.between(0xE000, 0x10FFFF)
+            code = F.when(is_char, point).otherwise(0xFFFD)
+            return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+        return let(F.conv(value, base, 10).cast("bigint"), char)
 
     def each(acc: Column, pattern: str, left: str, value) -> Column:
-        return F.aggregate(
-            F.array_distinct(F.regexp_extract_all(acc, F.lit(pattern), F.lit(1))),
+        return let(
             acc,
-            lambda done, found: F.replace(done, F.concat(F.lit(left), found, F.lit(";")), value(found)),
+            lambda t: F.aggregate(
+                F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(1))),
+                t,
+                lambda done, found: F.replace(
+                    done, F.concat(F.lit(left), found, F.lit(";")), value(found)
+                ),
+            ),
         )
 
-    out = each(
-        text,
-        r"&([A-Za-z][A-Za-z0-9]*);",
-        "&",
-        lambda n: F.coalesce(F.try_element_at(names, n), F.concat(F.lit("&"), n, F.lit(";"))),
-    )
-    out = each(out, r"&#(?!0*38;)([0-9]{1,7});", "&#", lambda n: numbered(10, n))
-    out = each(out, r"&#x(?!0*26;)([0-9A-Fa-f]{1,6});", "&#x", lambda n: numbered(16, n))
-    out = F.regexp_replace(out, r"&(?:amp|#0*38|#x0*26);", "&")
-    return F.when(text.contains("&"), out).otherwise(text)
+    def decoded(t: Column) -> Column:
+        out = each(
+            t,
+            r"&([A-Za-z][A-Za-z0-9]*);",
+            "&",
+            lambda n: F.coalesce(F.try_element_at(names, n), F.concat(F.lit("&"), n, F.lit(";"))),
+        )
+        out = each(out, r"&#(?!0*38;)([0-9]{1,7});", "&#", lambda n: numbered(10, n))
+        out = each(out, r"&#x(?!0*26;)([0-9A-Fa-f]{1,6});", "&#x", lambda n: numbered(16, n))
+        return F.regexp_replace(out, r"&(?:amp|#0*38|#x0*26);", "&")
+
+    return let(text, lambda t: F.when(t.contains("&"), decoded(t)).otherwise(t))
 
 
 # ---- keys -------------------------------------------------------------------

@@ -72,7 +72,7 @@ def cap_per_source(
     unknown = flagged.where(~F.col("known"))
     if limit is None:
         return unknown
-    return row_numbers(unknown, ["source_name"], order, width=width, at_most=limit)
+    return row_numbers(unknown, ["source_name"], order, width=width, at_most=limit, ties=("url",))
 
 
 def skipped_counts(
@@ -135,7 +135,7 @@ def schedule(
     N is at least 1. A host may hold any share of the frontier.
     """
     located = frontier.withColumn("host", urls.host(F.col("url")))
-    numbered = row_numbers(located, ["host"], order, out="host_position", width=width)
+    numbered = row_numbers(located, ["host"], order, out="host_position", width=width, ties=("url",))
     per_minute = F.lit(max(default_per_minute, 1))
     if overrides:
         pairs = [F.lit(x) for h, n in overrides.items() for x in (h, max(n, 1))]

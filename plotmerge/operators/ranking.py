@@ -22,8 +22,11 @@ def row_numbers(
     out: str = "rn",
     width: int = DEFAULT_WIDTH,
     at_most: int | None = None,
+    ties: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Number the rows of each key by the integer column ``order`` (no ties), from 1.
+    """Number the rows of each key by the integer column ``order``, from 1.
+
+    ``ties`` are further columns to order by where ``order`` is equal.
 
     With ``at_most`` only the first so many rows of each key are kept; buckets
     behind the limit are dropped before any row of theirs is shuffled for ranking.
@@ -44,7 +47,7 @@ def row_numbers(
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
     joined = bucketed.join(offsets, same).drop("_at", *[f"_key_{k}" for k in keys])
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(order)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(order, *ties)
     ranked = joined.withColumn(out, F.col("_before") + F.row_number().over(inside))
     if at_most is not None:
         ranked = ranked.where(F.col(out) <= at_most)

@@ -154,3 +154,279 @@ def observe(events: DataFrame) -> DataFrame:
 
 def obs(t: Tables) -> DataFrame:
     return observe(t.events)
+
+
+# ---- landed pages, one of four layouts each ---------------------------------
+
+PAGE_SOURCES = ("zimmo", "immoscoop", "immovlan", "immoweb")
+RESIDENCE_TYPES = ("Residence", "RealEstateListing", "SingleFamilyResidence", "Apartment", "House")
+
+# What the pages say, before each layout's own way of saying it. k % 4 is the
+# layout; h numbers the pages of one layout and decides which fault a page has:
+# 7 no structured data, 9 no postcode, 11 no city, 13 foreign URL, 15 far away.
+PAGE_CTE = (
+    LISTING_CTE
+    + """, page0 AS (
+SELECT *, CAST(id AS BIGINT) AS k, CAST(id AS BIGINT) // 4 AS h, lower(replace(gemeente, '#', '-')) AS slug FROM fx_listing
+), page1 AS (
+SELECT *, h % 40 AS fault,
+  concat(titel, ' & ', CASE type WHEN 'huis' THEN 'ruime villa' WHEN 'appartement' THEN 'studio'
+    WHEN 'grond' THEN 'bouwgrond' ELSE 'garage' END) AS title,
+  concat('Te koop: ', titel, CASE staat WHEN 'instapklaar' THEN ', Instapklaar!' WHEN 'te-renoveren' THEN ', te renoveren.'
+    WHEN 'nieuwbouw' THEN ', nieuwbouw.' ELSE '.' END, CASE WHEN h % 6 = 0 THEN repeat(' en nog meer', 60) ELSE '' END) AS about,
+  CASE WHEN h % 40 = 15 THEN CAST(59.0 AS DOUBLE) ELSE lat END AS page_lat,
+  CASE WHEN h % 40 = 13 THEN concat('https://elsewhere.example/contact/', id, '.html')
+    WHEN k % 4 = 0 THEN concat('https://www.site0.example/nl/', postcode, '-', slug, '/te-koop/huis/', id, '-fraai/')
+    WHEN k % 4 = 1 THEN concat('https://www.site1.example/te-koop/', postcode, '-', slug, '/', id)
+    WHEN k % 4 = 2 THEN concat('https://www.site2.example/nl/detail/huis/te-koop/', postcode, '/', slug, '/vbe', id)
+    ELSE concat('https://www.site3.example/nl/classified/huis/te-koop/', slug, '/', postcode, '/', id) END AS url
+FROM page0)"""
+)
+
+
+def page_facts(t: Tables) -> DataFrame:
+    """The same in Spark."""
+    k = F.col("id").cast("bigint")
+    facts = (
+        listings(t)
+        .withColumn("k", k)
+        .withColumn("h", F.floor(k / 4))
+        .withColumn("fault", F.col("h") % 40)
+        .withColumn("slug", F.lower(F.replace("gemeente", F.lit("#"), F.lit("-"))))
+        .withColumn("pc", F.col("postcode").cast("string"))
+    )
+    kind = F.col("type")
+    word = (
+        F.when(kind == "huis", "ruime villa")
+        .when(kind == "appartement", "studio")
+        .when(kind == "grond", "bouwgrond")
+        .otherwise("garage")
+    )
+    state = (
+        F.when(F.col("staat") == "instapklaar", ", Instapklaar!")
+        .when(F.col("staat") == "te-renoveren", ", te renoveren.")
+        .when(F.col("staat") == "nieuwbouw", ", nieuwbouw.")
+        .otherwise(".")
+    )
+    more = F.when(F.col("h") % 6 == 0, " en nog meer" * 60).otherwise("")
+
+    def url(*parts):
+        return F.concat(*[F.lit(p) if "/" in p or "-" in p else F.col(p) for p in parts])
+
+    r = F.col("k") % 4
+    return (
+        facts.withColumn("title", F.concat("titel", F.lit(" & "), word))
+        .withColumn("about", F.concat(F.lit("Te koop: "), "titel", state, more))
+        .withColumn("page_lat", F.when(F.col("fault") == 15, 59.0).otherwise(F.col("lat")))
+        .withColumn(
+            "url",
+            F.when(F.col("fault") == 13, F.concat(F.lit("https://elsewhere.example/contact/"), "id", F.lit(".html")))
+            .when(r == 0, url("https://www.site0.example/nl/", "pc", "-", "slug", "/te-koop/huis/", "id", "-fraai/"))
+            .when(r == 1, url("https://www.site1.example/te-koop/", "pc", "-", "slug", "/", "id"))
+            .when(r == 2, url("https://www.site2.example/nl/detail/huis/te-koop/", "pc", "/", "slug", "/vbe", "id"))
+            .otherwise(url("https://www.site3.example/nl/classified/huis/te-koop/", "slug", "/", "pc", "/", "id")),
+        )
+    )
+
+
+def _obj(**fields) -> F.Column:
+    """A struct; names may carry a leading @ as AT_. NULL fields vanish in JSON."""
+    return F.struct(*[v.alias(n.replace("AT_", "@")) for n, v in fields.items()])
+
+
+def _script(body, attrs: str = 'type="application/ld+json"'):
+    return F.concat(F.lit(f"<script {attrs}>"), body, F.lit("</script>"))
+
+
+def _residence_page():
+    c, h = F.col, F.col("h")
+    wanted = F.element_at(
+        F.array(*[F.lit(x) for x in RESIDENCE_TYPES]), (h % 5 + 1).cast("int")
+    )
+    amount = c("prijs_eur")
+    block = F.to_json(
+        _obj(
+            AT_context=F.lit("https://schema.org"),
+            AT_type=wanted,
+            name=c("title"),
+            description=c("about"),
+            url=F.when(h % 2 == 0, F.concat("url", F.lit("#advert"))),
+            address=_obj(
+                streetAddress=c("straat"),
+                postalCode=F.when(c("fault") != 9, c("pc")),
+                addressLocality=F.when(c("fault") != 11, c("gemeente")),
+            ),
+            image=c("hoofd_foto_url"),
+            offers=_obj(
+                price=F.when(h % 2 == 0, F.translate(F.format_number(amount, 0), ",", ".")).otherwise(
+                    amount.cast("string")
+                )
+            ),
+            numberOfRooms=c("slaapkamers"),
+            floorSize=_obj(value=c("oppervlakte_bewoonbaar_m2")),
+            energyEfficiencyScaleMin=c("epc_label"),
+            energyConsumption=c("epc_kwh"),
+            geo=_obj(latitude=c("page_lat"), longitude=c("lng")),
+        )
+    )
+    placed = (
+        F.when(h % 3 == 0, block)
+        .when(h % 3 == 1, F.concat(F.lit('[{"@type": "BreadcrumbList"}, '), block, F.lit(", 3]")))
+        .otherwise(
+            F.concat(F.lit('{"@context": "https://schema.org", "@graph": [{"@type": ["House"]}, '), block, F.lit("]}"))
+        )
+    )
+    return F.concat(
+        _script(F.lit('{"@type": "House", "name": ')),
+        F.lit("<!-- "), _script(F.lit('{"@type": "Residence", "name": "oud"}')), F.lit(" -->"),
+        _script(placed, "data-n='1' type='application/ld+json'"),
+    )
+
+
+def _spec_text():
+    c = F.col
+    return F.concat_ws(
+        "",
+        F.concat(F.lit("<li>Bewoonbaar "), c("oppervlakte_bewoonbaar_m2").cast("string"), F.lit(" m²</li>")),
+        F.concat(F.lit("<li>"), c("slaapkamers").cast("string"), F.lit(" slaapkamers</li>")),
+        F.concat(F.lit("<p>EPC: "), c("epc_label"), F.lit("</p>")),
+        F.concat(F.lit("<p>"), c("epc_kwh").cast("string"), F.lit(" kWh/m²</p>")),
+    )
+
+
+def _comma(number: F.Column) -> F.Column:
+    return F.replace(number.cast("string"), F.lit("."), F.lit(","))
+
+
+def _product_house_page():
+    c, h = F.col, F.col("h")
+    product = F.to_json(
+        _obj(
+            AT_type=F.lit("product"),
+            name=c("title"),
+            description=c("about"),
+            image=F.array("hoofd_foto_url", F.lit("https://img.example/second.jpg")),
+            sku=F.when(h % 3 != 0, F.concat(F.lit("P"), "id")),
+            offers=_obj(price=c("prijs_eur").cast("string"), url=F.when(h % 2 == 0, F.concat("url", F.lit("?o=1")))),
+        )
+    )
+    house = F.to_json(
+        _obj(
+            AT_type=F.lit("House"),
+            address=_obj(
+                streetAddress=c("straat"),
+                postalCode=F.when(c("fault") != 9, c("postcode")),
+                addressLocality=F.when(c("fault") != 11, c("gemeente")),
+            ),
+            geo=_obj(latitude=F.lit(50.5), longitude=F.lit(4.5)),
+        )
+    )
+    geo = _obj(
+        lat=_comma(c("page_lat")),
+        long=F.when(h % 10 != 3, _comma(c("lng"))),
+    )
+    state = F.to_json(_obj(props=_obj(pageProps=_obj(property=_obj(id=c("id"), address=_obj(geo=geo))))))
+    return F.concat(
+        _script(product), _script(house), _script(F.lit("var pageProps = property;"), ""),
+        F.when(h % 2 == 0, "<p>Vanaf € 123 456 nu</p>").otherwise(""),
+        _spec_text(), _script(state, 'id="__NEXT_DATA__" type="application/json"'),
+    )
+
+
+def _split_blocks_page():
+    c, h = F.col, F.col("h")
+
+    def meta(attr: str, key: str, content, swapped=False):
+        content = F.replace(content, F.lit("&"), F.lit("&amp;"))
+        if swapped:
+            return F.concat(F.lit("<meta content='"), content, F.lit(f"' {attr}='{key}'>"))
+        return F.concat(F.lit(f'<meta {attr}="{key}" content="'), content, F.lit('" />'))
+
+    summary = F.concat_ws(
+        " | ",
+        F.lit("Te koop"),
+        F.concat(F.translate(F.format_number(c("prijs_eur"), 0), ",", " "), F.lit(" €")),
+        F.concat(c("oppervlakte_bewoonbaar_m2").cast("string"), F.lit("m²")),
+        F.concat(c("slaapkamers").cast("string"), F.lit(" Slaapkamers")),
+    )
+    told_in_meta = h % 4 == 1
+    return F.concat_ws(
+        "",
+        meta("property", "og:title", c("title")),
+        meta("property", "og:image", c("hoofd_foto_url")),
+        meta("property", "og:description", F.when(told_in_meta, c("about")).otherwise("kort")),
+        F.when(h % 2 == 0, meta("name", "twitter:description", summary, swapped=True)).otherwise(
+            meta("name", "twitter:description", summary)
+        ),
+        _script(
+            F.to_json(
+                _obj(
+                    AT_type=F.lit("PostalAddress"),
+                    streetAddress=c("straat"),
+                    addressLocality=F.when(c("fault") != 11, c("gemeente")),
+                )
+            )
+        ),
+        _script(F.to_json(_obj(AT_type=F.lit("GeoCoordinates"), latitude=c("page_lat"), longitude=c("lng")))),
+        _script(F.to_json(_obj(AT_type=F.lit("House"), description=F.when(~told_in_meta, c("about"))))),
+        F.concat_ws(
+            "",
+            F.concat(F.lit("<p>EPC: "), c("epc_label"), F.lit("</p>")),
+            F.concat(F.lit("<p>"), c("epc_kwh").cast("string"), F.lit(" kWh/m²</p>")),
+        ),
+    )
+
+
+def _classified_page():
+    c, h = F.col, F.col("h")
+    kind, staat = c("type"), c("staat")
+    advert = F.to_json(
+        _obj(
+            id=F.when(h % 3 != 0, c("k") + 1_000_000),
+            title=c("title"),
+            description=c("about"),
+            url=F.when(h % 2 == 0, F.concat("url", F.lit("?c=1"))),
+            subType=F.when(kind == "huis", "HOUSE").when(kind == "appartement", "APARTMENT").when(kind == "grond", "LAND").otherwise("CASTLE"),
+            buildingCondition=F.when(staat == "instapklaar", "GOOD").when(staat == "te-renoveren", "TO_RENOVATE").when(staat == "nieuwbouw", "NEW"),
+            address=_obj(
+                street=c("straat"),
+                houseNumber=F.when(c("k") % 8 == 3, (c("k") % 50).cast("string")),
+                postalCode=F.when(c("fault") != 9, c("postcode")),
+                city=F.when(c("fault") != 11, c("gemeente")),
+            ),
+            location=_obj(latitude=c("page_lat"), longitude=c("lng")),
+            price=_obj(mainValue=c("prijs_eur")),
+            habitableSurface=c("oppervlakte_bewoonbaar_m2"),
+            bedrooms=c("slaapkamers"),
+            epc=_obj(label=c("epc_label"), consumption=c("epc_kwh")),
+            media=_obj(photos=F.array(_obj(url=c("hoofd_foto_url")))),
+        )
+    )
+    state = (
+        F.when(h % 4 == 0, F.concat(F.lit('{"props": {"pageProps": {"classified": '), advert, F.lit("}}}")))
+        .when(h % 4 == 1, F.concat(F.lit('{"classified": '), advert, F.lit("}")))
+        .when(h % 4 == 2, F.concat(F.lit('{"classified": null, "listing": '), advert, F.lit("}")))
+        .otherwise(F.concat(F.lit('{"listing": 5, "property": '), advert, F.lit("}")))
+    )
+    return _script(state, 'id="__NEXT_DATA__" type="application/json"')
+
+
+def landed_pages(t: Tables) -> DataFrame:
+    """Raw pages of four sources, written from the listings."""
+    r = F.col("k") % 4
+    body = (
+        F.when(F.col("fault") == 7, "<p>Niet gevonden</p>")
+        .when(r == 0, _residence_page())
+        .when(r == 1, _product_house_page())
+        .when(r == 2, _split_blocks_page())
+        .otherwise(_classified_page())
+    )
+    html = F.concat(F.lit("<!DOCTYPE html><html lang='nl'><head>"), body, F.lit("</head></html>"))
+    return page_facts(t).select(
+        F.element_at(F.array(*[F.lit(s) for s in PAGE_SOURCES]), (r + 1).cast("int")).alias(
+            "source_name"
+        ),
+        F.col("url").alias("source_url"),
+        html.cast("binary").alias("body"),
+        F.col("created_at").alias("fetched_at"),
+    )

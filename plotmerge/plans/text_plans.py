@@ -190,10 +190,10 @@ def first_truthy(t: Tables):
     label = F.when(F.col("epc_kwh") % 2 == 0, "").otherwise(F.col("epc_label"))
     return I.listings(t).select(
         "id",
-        X.first_truthy(
+        X.first_nonzero(
             F.col("slaapkamers"), F.col("oppervlakte_bewoonbaar_m2"), F.col("epc_kwh")
         ).alias("number"),
-        X.first_truthy(F.col("straat"), label, F.col("titel")).alias("words"),
+        X.first_nonempty(F.col("straat"), label, F.col("titel")).alias("words"),
     )
 
 

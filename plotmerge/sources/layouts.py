@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from plotmerge.functions import json_values as J
 from plotmerge.functions import markup as M
 from plotmerge.functions import text as X
+from plotmerge.functions.binding import let
 from plotmerge.functions.urls import UrlGrammar
 from plotmerge.sources.registry import SOURCES, SourceSpec
 
@@ -63,13 +64,21 @@ class Page:
     url: Column
     tags: Column
     nodes: Column
+    metas: Column
     slot: Mapping[str, Column]
     grammar: UrlGrammar
 
 
 @dataclass(frozen=True)
 class Layout:
+    """Expressions of a layout, in three steps that each see the step before.
+
+    ``slots`` are objects of the page, ``fields`` the listing columns, ``reject``
+    the reason why there is no listing.
+    """
+
     slots: dict[str, Column] = field(default_factory=dict)
+    late_slots: dict[str, Column] = field(default_factory=dict)
     fields: dict[str, Column] = field(default_factory=dict)
     reject: Column | None = None
 
@@ -98,8 +107,10 @@ def _reject(*rules: tuple[Column, str]) -> Column:
 
 def _image(value: Column) -> Column:
     """URL of an image given as text, as a list, or as an object with a url."""
-    first = J.first_or_self(value)
-    return X.strip(F.coalesce(J.as_string(first), J.as_string(J.child(first, "url"))))
+    return let(
+        J.first_or_self(value),
+        lambda v: X.strip(F.coalesce(J.as_string(v), J.as_string(J.child(v, "url")))),
+    )
 
 
 def _texts(*parts: Column) -> Column:
@@ -137,9 +148,9 @@ def residence(p: Page) -> Layout:
         },
         reject=_reject(
             (main.isNull(), "no_residence_block"),
-            (postcode.isNull(), "no_postcode"),
-            (city.isNull(), "no_city"),
-            (advert.isNull(), "no_id_in_url"),
+            (F.isnull("postcode"), "no_postcode"),
+            (F.isnull("gemeente"), "no_city"),
+            (F.isnull("source_id"), "no_id_in_url"),
         ),
     )
 
@@ -183,7 +194,7 @@ def product_house(p: Page) -> Layout:
             "straat": street,
             "lat": coordinate("lat", "latitude"),
             "lng": coordinate("long", "longitude"),
-            "prijs_eur": X.first_truthy(price, X.price(p.html)),
+            "prijs_eur": X.first_nonzero(price, X.price(p.html)),
             "type": X.property_type(_texts(name, description)),
             "oppervlakte_bewoonbaar_m2": X.surface(p.html),
             "slaapkamers": X.bedrooms(p.html),
@@ -198,8 +209,8 @@ def product_house(p: Page) -> Layout:
         },
         reject=_reject(
             (product.isNull() & house.isNull(), "no_product_or_house_block"),
-            (postcode.isNull() & url_postcode.isNull(), "no_postcode"),
-            (advert.isNull(), "no_id"),
+            (F.isnull("postcode"), "no_postcode"),
+            (F.isnull("source_id"), "no_id"),
         ),
     )
 
@@ -207,20 +218,20 @@ def product_house(p: Page) -> Layout:
 def split_blocks(p: Page) -> Layout:
     """Address, coordinates and text in blocks of their own; specs in meta text."""
     address, geo, house = p.slot["address"], p.slot["geo"], p.slot["house"]
-    og_title = M.meta_content(p.tags, "og:title")
-    spec = _texts(M.meta_content(p.tags, "twitter:description", "name"),
-                  M.meta_content(p.tags, "twitter:description"), og_title)
+    og_title = M.meta_content(p.metas, "og:title")
+    spec = _texts(M.meta_content(p.metas, "twitter:description", "name"),
+                  M.meta_content(p.metas, "twitter:description"), og_title)
     street, _, city = _address(address)
     description = X.strip(
         F.coalesce(
             X.blank_to_null(J.as_string(J.child(house, "description"))),
-            M.meta_content(p.tags, "og:description"),
+            M.meta_content(p.metas, "og:description"),
         )
     )
     advert = p.grammar.advert_id(p.url)
 
     def spec_first(read) -> Column:
-        return X.first_truthy(read(spec), read(p.html))
+        return X.first_nonzero(read(spec), read(p.html))
 
     return Layout(
         slots={
@@ -245,9 +256,9 @@ def split_blocks(p: Page) -> Layout:
             "staat": X.condition(_texts(og_title, description)),
             "titel": F.coalesce(og_title, F.lit("")),
             "korte_beschrijving": F.substring(description, 1, DESCRIPTION_LIMIT),
-            "hoofd_foto_url": M.meta_content(p.tags, "og:image"),
+            "hoofd_foto_url": M.meta_content(p.metas, "og:image"),
         },
-        reject=_reject((advert.isNull(), "url_not_parseable")),
+        reject=_reject((F.isnull("source_id"), "url_not_parseable")),
     )
 
 
@@ -263,20 +274,20 @@ def classified(
     description = X.strip(J.as_string(J.child(main, "description")))
 
     def first_int(*paths: tuple[str, ...]) -> Column:
-        return X.first_truthy(*[J.as_int(J.child(main, *q)) for q in paths])
+        return X.first_nonzero(*[J.as_int(J.child(main, *q)) for q in paths])
 
-    postcode = X.first_truthy(
+    postcode = X.first_nonzero(
         J.as_int(J.child(address, "postalCode")), J.as_int(J.child(address, "postcode"))
     )
     city = X.blank_to_null(
-        X.first_truthy(
+        X.first_nonempty(
             J.as_text(J.child(address, "city")), J.as_text(J.child(address, "locality"))
         )
     )
     advert = X.blank_to_null(
-        X.first_truthy(J.as_text(J.child(main, "id")), p.grammar.advert_id(p.url))
+        X.first_nonempty(J.as_text(J.child(main, "id")), p.grammar.advert_id(p.url))
     )
-    number = X.first_truthy(
+    number = X.first_nonempty(
         J.as_text(J.child(address, "houseNumber")), J.as_text(J.child(address, "number"))
     )
     photos = J.child(main, "media", "photos")
@@ -284,7 +295,8 @@ def classified(
         F.coalesce(J.child(main, "epc", "label"), J.child(main, "epcLabel"))
     )
     return Layout(
-        slots={"state": M.page_state(p.tags), "main": M.classified(M.page_state(p.tags))},
+        slots={"state": M.page_state(p.tags)},
+        late_slots={"main": M.classified(state)},
         fields={
             "source_id": advert,
             "source_url": F.coalesce(X.blank_to_null(J.as_string(J.child(main, "url"))), p.url),
@@ -314,9 +326,9 @@ def classified(
         reject=_reject(
             (state.isNull(), "no_page_state"),
             (main.isNull(), "no_classified"),
-            (postcode.isNull(), "no_postcode"),
-            (city.isNull(), "no_city"),
-            (advert.isNull(), "no_id"),
+            (F.isnull("postcode"), "no_postcode"),
+            (F.isnull("gemeente"), "no_city"),
+            (F.isnull("source_id"), "no_id"),
         ),
     )
 
@@ -384,6 +396,7 @@ def _extract_declared(pages: DataFrame, specs: Mapping[str, SourceSpec], layouts
                 url=F.col("ref_url"),
                 tags=F.col("_tags"),
                 nodes=F.col("_nodes"),
+                metas=F.col("_metas"),
                 slot={s: F.col(f"_{s}") for s in SLOTS},
                 grammar=spec.grammar,
             )
@@ -407,20 +420,35 @@ def _extract_declared(pages: DataFrame, specs: Mapping[str, SourceSpec], layouts
         "fetched_at",
         page_text(F.col("body")).alias("_html"),
     )
+    keys = ["source_name", "ref_url", "fetched_at", "_html"]
+    slots = [f"_{s}" for s in SLOTS]
     tagged = read.withColumn("_tags", M.tags(F.col("_html")))
-    noded = tagged.withColumn("_nodes", M.ld_nodes(M.json_ld(F.col("_tags"))))
-    slotted = noded.select(
-        "source_name",
-        "ref_url",
-        "fetched_at",
-        "_html",
+    noded = tagged.select(
+        *keys,
         "_tags",
+        M.ld_nodes(M.json_ld(F.col("_tags"))).alias("_nodes"),
+        M.metas(F.col("_tags")).alias("_metas"),
+    )
+    slotted = noded.select(
+        *keys,
+        "_metas",
         *[choose(lambda la, s=s: la.slots.get(s), "variant").alias(f"_{s}") for s in SLOTS],
     )
-    return slotted.select(
-        "source_name",
-        "ref_url",
-        "fetched_at",
+    opened = slotted.select(
+        *keys,
+        "_metas",
+        *[
+            F.coalesce(f"_{s}", choose(lambda la, s=s: la.late_slots.get(s), "variant")).alias(f"_{s}")
+            for s in SLOTS
+        ],
+    )
+    filled = opened.select(
+        *keys,
+        *slots,
         *[choose(lambda la, f=f: la.fields.get(f), t).alias(f) for f, t in CANDIDATE_FIELDS.items()],
-        choose(lambda la: la.reject, "string").alias("reject"),
     )
+    judged = filled.withColumn("reject", choose(lambda la: la.reject, "string"))
+    # Through inline() a filter on a parsed column stays above the parsing; a plain
+    # projection would let the optimizer copy the whole parse into the filter.
+    # Filters on the key columns still reach the scan.
+    return judged.select(*keys[:3], F.inline(F.array(F.struct(*CANDIDATE_FIELDS, "reject"))))
