@@ -33,6 +33,10 @@ def _present(name: str, dtype: T.DataType) -> Column:
     return there & (F.col(name) != "") if isinstance(dtype, T.StringType) else there
 
 
+def _texts(types: dict[str, T.DataType]) -> list[str]:
+    return [c for c in FILL_FIELDS if isinstance(types.get(c), T.StringType)]
+
+
 def lift(rows: DataFrame, order: str | None, order_type: T.DataType | None = None) -> DataFrame:
     """One-row fold state per row.
 
@@ -46,11 +50,16 @@ def lift(rows: DataFrame, order: str | None, order_type: T.DataType | None = Non
         (F.lit(None).cast(order_type) if stored else F.col(order)).alias("ord"),
     )
     first = [c for c in (*FIRST_FIELDS, "updated_at") if c in types]
+    # Which texts the row has as '': where no row has more, '' must stay ''.
+    blank = sum(
+        (F.when(F.col(c) == "", 1 << i).otherwise(0) for i, c in enumerate(_texts(types))),
+        F.lit(0),
+    )
     return rows.select(
         KEY,
         F.lit(0 if stored else 1).cast("bigint").alias("n_new"),
         F.lit(1 if stored else 0).cast("bigint").alias("n_stored"),
-        F.struct(at.alias("at"), *first).alias("head"),
+        F.struct(at.alias("at"), blank.alias("blank"), *first).alias("head"),
         *[
             F.when(_present(c, types[c]), F.struct(at.alias("at"), F.col(c).alias("v"))).alias(c)
             for c in FILL_FIELDS
@@ -74,14 +83,26 @@ def finish(state: DataFrame, run_ts: Column) -> DataFrame:
     ``updated_at`` becomes ``run_ts`` only where a row was merged into another.
     ``n_new`` and ``n_stored`` stay, for counting.
     """
-    head_fields = [f.name for f in state.schema["head"].dataType.fields if f.name != "at"]
+    head_fields = [
+        f.name for f in state.schema["head"].dataType.fields if f.name not in ("at", "blank")
+    ]
+    types = {c: state.schema[c].dataType["v"].dataType for c in FILL_FIELDS if c in state.columns}
+    texts = _texts(types)
+
+    def filled(c: str) -> Column:
+        value = F.col(f"{c}.v")
+        if c not in texts:
+            return value
+        was_blank = F.col("head.blank").bitwiseAND(1 << texts.index(c)) != 0
+        return F.coalesce(value, F.when(was_blank, ""))
+
     merged = F.col("n_new") + F.col("n_stored") > 1
     before = [f"head.{c}" for c in ("updated_at", "created_at") if c in head_fields]
     kept = F.coalesce(*before) if before else F.lit(None).cast("timestamp")
     return state.select(
         KEY,
         *[F.col(f"head.{c}").alias(c) for c in head_fields if c != "updated_at"],
-        *[F.col(f"{c}.v").alias(c) for c in FILL_FIELDS if c in state.columns],
+        *[filled(c).alias(c) for c in types],
         F.when(merged, run_ts).otherwise(kept).alias("updated_at"),
         "n_new",
         "n_stored",

@@ -29,7 +29,10 @@ _TEXT = ("titel", "straat", "korte_beschrijving")
 def _fold_sql(source: str) -> str:
     def fill(c: str) -> str:
         there = f"{c} IS NOT NULL" + (f" AND {c} <> ''" if c in _TEXT else "")
-        return f"arg_min({c}, ord) FILTER (WHERE {there}) AS {c}"
+        found = f"arg_min({c}, ord) FILTER (WHERE {there})"
+        if c in _TEXT:
+            found = f"coalesce({found}, CASE WHEN arg_min(coalesce({c}, '~'), ord) = '' THEN '' END)"
+        return f"{found} AS {c}"
 
     return f"""SELECT fingerprint, arg_min(postcode, ord) AS postcode, arg_min(gemeente, ord) AS gemeente,
       min(created) AS created_at, {', '.join(fill(c) for c in _FILL)},

@@ -15,6 +15,7 @@ from plotmerge.operators import refresh as R
 from plotmerge.plans import inputs as I
 from plotmerge.plans.catalog import Tables, query
 from plotmerge.schemas import LISTING, LISTING_SOURCE, empty
+from plotmerge.session import materialize
 from plotmerge.sources import layouts
 
 P = I.PAGE_CTE
@@ -112,11 +113,9 @@ _STORED = """stored AS (SELECT * FROM good WHERE h % 5 = 0)"""
 
 def _store(t: Tables):
     """Every fifth page as already stored, with gaps for the refresh to fill."""
-    from plotmerge.session import materialize
-
     h = F.floor((F.unix_micros("fetched_at") - F.unix_micros(F.lit(datetime(2024, 1, 1)))) / 60_000_000 / 4)
     pages = I.landed_pages(t).where(h % 5 == 0)
-    good = R.usable(R.observations(pages, F.lit(datetime(2024, 5, 1))))
+    good = materialize(R.usable(R.observations(pages, F.lit(datetime(2024, 5, 1)))), "usable")
     listings = C.consolidate(good, F.lit(datetime(2024, 5, 1))).drop("n_new", "n_stored")
     gaps = listings.withColumn("straat", F.lit(None).cast("string")).withColumn("epc_kwh", F.lit(0).cast("bigint"))
     sources = R.page_sources(good).withColumn("listing_id", C.listing_id(F.col("fingerprint")))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -386,35 +386,49 @@ def extract_candidates(
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def _extract_declared(pages: DataFrame, specs: Mapping[str, SourceSpec], layouts) -> DataFrame:
-    source = F.col("source_name")
-
-    def built(spec: SourceSpec) -> Layout:
-        return layouts[spec.layout](
+def _chosen(specs: tuple[SourceSpec, ...], layouts) -> dict[str, dict[str, Column]]:
+    """Per step and name, the expression that picks the row's own layout."""
+    made = {
+        spec.name: layouts[spec.layout](
             Page(
                 html=F.col("_html"),
                 url=F.col("ref_url"),
-                tags=F.col("_tags"),
                 nodes=F.col("_nodes"),
+                tags=F.col("_tags"),
                 metas=F.col("_metas"),
                 slot={s: F.col(f"_{s}") for s in SLOTS},
                 grammar=spec.grammar,
             )
         )
-
-    made = {name: built(spec) for name, spec in specs.items()}
+        for spec in specs
+    }
 
     def choose(pick, dtype: str) -> Column:
-        out = None
+        out = F
         for name, layout in made.items():
             value = pick(layout)
-            if value is None:
-                continue
-            hit = source == name
-            out = F.when(hit, value) if out is None else out.when(hit, value)
-        return F.lit(None).cast(dtype) if out is None else out.cast(dtype)
+            if value is not None:
+                out = out.when(F.col("source_name") == name, value)
+        return F.lit(None).cast(dtype) if out is F else out.cast(dtype)
+
+    return {
+        "slots": {s: choose(lambda la, s=s: la.slots.get(s), "variant") for s in SLOTS},
+        "late": {s: choose(lambda la, s=s: la.late_slots.get(s), "variant") for s in SLOTS},
+        "fields": {
+            f: choose(lambda la, f=f: la.fields.get(f), t) for f, t in CANDIDATE_FIELDS.items()
+        },
+        "reject": {"reject": choose(lambda la: la.reject, "string")},
+    }
+
+
+# Expressions name columns and nothing else, so they serve every DataFrame.
+_chosen_standard = lru_cache(maxsize=16)(lambda specs: _chosen(specs, LAYOUTS))
 
-    read = pages.where(source.isin(*specs)).select(
+
+def _extract_declared(pages: DataFrame, specs: Mapping[str, SourceSpec], layouts) -> DataFrame:
+    known = tuple(specs.values())
+    step = _chosen_standard(known) if layouts is LAYOUTS else _chosen(known, layouts)
+    read = pages.where(F.col("source_name").isin(*specs)).select(
         "source_name",
         F.col("source_url").alias("ref_url"),
         "fetched_at",
@@ -429,25 +443,12 @@ def _extract_declared(pages: DataFrame, specs: Mapping[str, SourceSpec], layouts
         M.ld_nodes(M.json_ld(F.col("_tags"))).alias("_nodes"),
         M.metas(F.col("_tags")).alias("_metas"),
     )
-    slotted = noded.select(
-        *keys,
-        "_metas",
-        *[choose(lambda la, s=s: la.slots.get(s), "variant").alias(f"_{s}") for s in SLOTS],
-    )
+    slotted = noded.select(*keys, "_metas", *[c.alias(f"_{s}") for s, c in step["slots"].items()])
     opened = slotted.select(
-        *keys,
-        "_metas",
-        *[
-            F.coalesce(f"_{s}", choose(lambda la, s=s: la.late_slots.get(s), "variant")).alias(f"_{s}")
-            for s in SLOTS
-        ],
-    )
-    filled = opened.select(
-        *keys,
-        *slots,
-        *[choose(lambda la, f=f: la.fields.get(f), t).alias(f) for f, t in CANDIDATE_FIELDS.items()],
+        *keys, "_metas", *[F.coalesce(f"_{s}", c).alias(f"_{s}") for s, c in step["late"].items()]
     )
-    judged = filled.withColumn("reject", choose(lambda la: la.reject, "string"))
+    filled = opened.select(*keys, *slots, *[c.alias(f) for f, c in step["fields"].items()])
+    judged = filled.withColumns(step["reject"])
     # Through inline() a filter on a parsed column stays above the parsing; a plain
     # projection would let the optimizer copy the whole parse into the filter.
     # Filters on the key columns still reach the scan.
