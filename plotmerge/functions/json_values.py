@@ -27,8 +27,16 @@ def kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
+def members(value: Column) -> Column:
+    """Keys and values of an object, NULL for anything else.
+
+    Opens one level only; ``kind`` of an object would describe it to the bottom.
+    """
+    return F.try_variant_get(value, "$", "map<string,variant>")
+
+
 def is_object(value: Column) -> Column:
-    return kind(value).startswith("OBJECT<")
+    return members(value).isNotNull()
 
 
 def object_only(value: Column) -> Column:
@@ -37,7 +45,7 @@ def object_only(value: Column) -> Column:
 
 def non_empty_object(value: Column) -> Column:
     """The value if it is an object with at least one key, else NULL."""
-    return let(value, lambda v: F.when(kind(v).rlike("^OBJECT<[^>]"), v))
+    return let(value, lambda v: F.when(F.size(members(v)) > 0, v))
 
 
 def items(value: Column) -> Column:
@@ -95,5 +103,5 @@ def first_or_self(value: Column) -> Column:
     """First element of an array, any other value as it is."""
     return let(
         value,
-        lambda v: F.when(kind(v).startswith("ARRAY<"), F.get(items(v), F.lit(0))).otherwise(v),
+        lambda v: let(items(v), lambda a: F.when(a.isNull(), v).otherwise(F.get(a, F.lit(0)))),
     )

@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from plotmerge.functions import json_values as J
+from plotmerge.functions.binding import let
 from plotmerge.functions.text import blank_to_null, unescape
 
 _ATTRS = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
@@ -120,10 +121,11 @@ def classified(state: Column) -> Column:
 
 def _attr(tag: Column, name: str) -> Column:
     """Value of an attribute of an opening tag, in any quoting; NULL if absent."""
-    value = r"(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
-    pattern = rf"(?is)^<\w++{_ATTRS_BEFORE}\s{name}\s*=\s*{value}"
-    return F.when(
-        tag.rlike(pattern), F.concat(*[F.regexp_extract(tag, pattern, g) for g in (1, 2, 3)])
+    value = r"(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
+    written = F.regexp_extract(tag, rf"(?is)^<\w++{_ATTRS_BEFORE}\s{name}\s*=\s*{value}", 1)
+    return let(
+        written,
+        lambda w: F.when(w.rlike("^[\"']"), F.substr(w, F.lit(2), F.length(w) - 2)).when(w != "", w),
     )
 
 

@@ -1,8 +1,8 @@
 """Fields read from free text, and small text conversions.
 
 Patterns carry ``(?U)`` so that ``\\s``, ``\\d`` and ``\\b`` are Unicode-aware: a
-no-break space inside "415 000 EUR" is a space. Runs are matched possessively
-behind a look-behind, which keeps a scan over a page linear in its length.
+no-break space inside "415 000 EUR" is a space. No pattern can backtrack over a
+long run of digits or spaces, so a scan over a page is linear in its length.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ from plotmerge.schemas import EPC_LABELS
 BEDROOMS_PATTERN = r"(?iU)(\d+)\s*slaapkamer"
 SURFACE_PATTERN = r"(?iU)(\d{2,4})\s*m[²2]"
 SURFACE_RANGE = (20, 2000)
-PRICE_BEFORE_SIGN = r"(?U)(?<![\d\s.,])([\d\s.,]++)(?:€|EUR)"
-PRICE_AFTER_SIGN = r"(?U)(?:€|EUR)\s*+(\d[\d\s.,]*+)"
+EURO_SIGN = r"€|EUR"
+AMOUNT = r"(?U)^[\d\s.,]+"
+AMOUNT_AFTER_SIGN = r"(?U)^\s*(\d[\d\s.,]*)"
 PRICE_RANGE = (1_000, 100_000_000)
 EPC_LABEL_PATTERN = r"(?U)EPC[^A-Z]{0,30}([A-F]\+?)\b"
 EPC_KWH_PATTERN = r"(?U)(\d{2,4})\s*kWh/m"
@@ -46,12 +47,13 @@ CONDITION_RULES = (
 )
 # ----------------------------------------------------------------------------
 
+WHITE_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 DOUBLE_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
 def strip(text: Column) -> Column:
     """Trim Unicode white space at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s++|(?<!\s)\s++$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def blank_to_null(text: Column) -> Column:
@@ -84,19 +86,29 @@ def surface(text: Column) -> Column:
 
 
 def price(text: Column) -> Column:
-    """First plausible amount: those before a euro sign, else those after one."""
+    """First plausible amount: those before a euro sign, else those after one.
+
+    The text is cut at the signs, and only the ends of the pieces are matched: the
+    end before a sign is read backwards, from the sign on.
+    """
     low, high = PRICE_RANGE
 
-    def first_plausible(t: Column, pattern: str) -> Column:
-        found = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)), parse_int_eu)
-        return F.get(F.filter(found, lambda n: n.between(low, high)), F.lit(0))
+    def first_plausible(amounts: Column) -> Column:
+        found = F.filter(F.transform(amounts, parse_int_eu), lambda n: n.between(low, high))
+        return F.get(found, F.lit(0))
 
-    return let(
-        text,
-        lambda t: F.coalesce(
-            first_plausible(t, PRICE_BEFORE_SIGN), first_plausible(t, PRICE_AFTER_SIGN)
-        ),
-    )
+    def read(pieces: Column) -> Column:
+        signs = F.size(pieces) - 1
+        before = F.transform(
+            F.slice(pieces, 1, signs),
+            lambda p: F.reverse(F.regexp_extract(F.reverse(p), AMOUNT, 0)),
+        )
+        after = F.transform(
+            F.slice(pieces, 2, signs), lambda p: F.regexp_extract(p, AMOUNT_AFTER_SIGN, 1)
+        )
+        return F.coalesce(first_plausible(before), first_plausible(after))
+
+    return let(F.split(text, EURO_SIGN), read)
 
 
 def epc_label_in(text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from plotmerge.functions.binding import let
 from plotmerge.functions.text import city_from_slug
 
 
@@ -41,6 +42,20 @@ class UrlGrammar:
         value = F.regexp_extract(url, self.pattern, self.groups[name])
         return F.when(self.matches(url), F.nullif(value, F.lit("")))
 
+    def parse(self, url: Column) -> Column:
+        """(postcode, gemeente, source_id) of a URL that fits, else NULL."""
+
+        def parts(u: Column) -> Column:
+            value = {n: F.regexp_extract(u, self.pattern, g) for n, g in self.groups.items()}
+            found = F.struct(
+                value["postcode"].cast("int").alias("postcode"),
+                city_from_slug(value["city"]).alias("gemeente"),
+                value["advert"].alias("source_id"),
+            )
+            return F.when(self.matches(u), found)
+
+        return let(url, parts)
+
     def postcode(self, url: Column) -> Column:
         return self.group(url, "postcode").cast("int")
 

@@ -17,13 +17,9 @@ KEYS = ["source_name", "url"]
 
 def match_urls(locs: DataFrame, sources: Mapping[str, SourceSpec] = SOURCES) -> DataFrame:
     """Keep URLs that fit their source's grammar; add postcode, city and advert id."""
-    name, url = F.col("source_name"), F.col("url")
-    return locs.where(by_source(name, lambda s: s.grammar.matches(url), sources)).select(
-        "*",
-        by_source(name, lambda s: s.grammar.postcode(url), sources).alias("postcode"),
-        by_source(name, lambda s: s.grammar.city(url), sources).alias("gemeente"),
-        by_source(name, lambda s: s.grammar.advert_id(url), sources).alias("source_id"),
-    )
+    parsed = by_source(F.col("source_name"), lambda s: s.grammar.parse(F.col("url")), sources)
+    # inline() drops the NULLs, and later filters cannot copy the patterns.
+    return locs.select("*", F.inline(F.array_compact(F.array(parsed))))
 
 
 def in_scope(postcode: Column, ranges: Iterable[tuple[int, int]] = SCOPE_RANGES) -> Column:

@@ -132,7 +132,7 @@ def json_paths(
     out = None
     for _ in range(depth):
         keys = (
-            level.select("path", F.explode(F.map_entries(_members(F.col("v")))).alias("e"))
+            level.select("path", F.explode(F.map_entries(J.members(F.col("v")))).alias("e"))
             .select(
                 F.concat_ws(".", F.nullif(F.col("path"), F.lit("")), F.col("e.key")).alias("path"),
                 F.col("e.key").alias("name"),
@@ -157,12 +157,6 @@ def json_paths(
     return out.where(hit)
 
 
-def _members(value: Column) -> Column:
-    return F.when(
-        J.is_object(value), F.try_variant_get(value, "$", "map<string,variant>")
-    )
-
-
 def json_key_profile(docs: DataFrame, text: str, depth: int = 4, words=None) -> DataFrame:
     """Per path and JSON type: rows that have it and the smallest preview."""
     return json_paths(docs, text, depth, words).groupBy("path", "type").agg(
