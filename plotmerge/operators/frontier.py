@@ -84,8 +84,8 @@ def skipped_counts(
     ends = kept.groupBy("source_name").agg(
         F.count(F.lit(1)).alias("discovered"), F.max(order).alias("_last")
     )
-    # One row per source: small whatever the frontier's size.
-    counted = flagged.join(ends, "source_name", "left").groupBy("source_name").agg(
+    # One row per source of the registry, whatever the frontier's size.
+    counted = flagged.join(F.broadcast(ends), "source_name", "left").groupBy("source_name").agg(
         F.coalesce(F.any_value("discovered", True), F.lit(0)).alias("discovered"),
         F.count_if(
             F.col("known")

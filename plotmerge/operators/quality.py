@@ -106,8 +106,12 @@ def error_samples(
 
 def location_counts(found: DataFrame, pins: DataFrame) -> DataFrame:
     """Results, pins, and results without a place on the map."""
-    counts = found.agg(F.count(F.lit(1)).alias("results")).join(
-        F.broadcast(pins.agg(F.count(F.lit(1)).alias("pins")))
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    marks = found.select(one.alias("r"), none.alias("p")).unionAll(
+        pins.select(none.alias("r"), one.alias("p"))
+    )
+    counts = marks.agg(
+        F.coalesce(F.sum("r"), none).alias("results"), F.coalesce(F.sum("p"), none).alias("pins")
     )
     return counts.withColumn("without_location", F.col("results") - F.col("pins"))
 
@@ -128,26 +132,38 @@ def json_paths(
     Objects are opened level by level down to ``depth``; of a list the first few
     items are opened. With ``words`` only keys whose name contains one are kept.
     """
-    level = docs.select(F.lit("").alias("path"), J.parse_strict(F.col(text)).alias("v"))
-    out = None
-    for _ in range(depth):
-        keys = (
-            level.select("path", F.explode(F.map_entries(J.members(F.col("v")))).alias("e"))
-            .select(
-                F.concat_ws(".", F.nullif(F.col("path"), F.lit("")), F.col("e.key")).alias("path"),
-                F.col("e.key").alias("name"),
-                F.col("e.value").alias("v"),
-            )
-        )
-        rows = keys.select(
-            "path",
-            "name",
-            F.regexp_extract(J.kind(F.col("v")), r"^\w+", 0).alias("type"),
-            F.substring(F.to_json("v"), 1, PREVIEW_LENGTH).alias("preview"),
+    entry = "array<struct<path:string,name:string,v:variant>>"
+
+    def keys_of(value: Column, path: Column) -> Column:
+        return F.transform(
+            F.map_entries(J.members(value)),
+            lambda m: F.struct(
+                F.concat_ws(".", F.nullif(path, F.lit("")), m["key"]).alias("path"),
+                m["key"].alias("name"),
+                m["value"].alias("v"),
+            ),
         )
-        out = rows if out is None else out.unionByName(rows)
-        opened = F.coalesce(F.slice(J.items(F.col("v")), 1, PROFILED_LIST_ITEMS), F.array("v"))
-        level = keys.select("path", F.explode(opened).alias("v"))
+
+    def below(level: Column) -> Column:
+        def inside(e: Column) -> Column:
+            opened = F.coalesce(F.slice(J.items(e["v"]), 1, PROFILED_LIST_ITEMS), F.array(e["v"]))
+            return _concat(F.transform(opened, lambda v: keys_of(v, e["path"])), entry)
+
+        return _concat(F.transform(level, inside), entry)
+
+    # Level by level within the row: the documents are read and parsed once.
+    levels = docs.select(J.parse_strict(F.col(text)).alias("v")).select(
+        F.coalesce(keys_of(F.col("v"), F.lit("")), F.array().cast(entry)).alias("l0")
+    )
+    for n in range(1, depth):
+        levels = levels.withColumn(f"l{n}", below(F.col(f"l{n - 1}")))
+    found = levels.select(F.inline(F.concat(*levels.columns)))
+    out = found.select(
+        "path",
+        "name",
+        F.regexp_extract(J.kind(F.col("v")), r"^\w+", 0).alias("type"),
+        F.substring(F.to_json("v"), 1, PREVIEW_LENGTH).alias("preview"),
+    )
     if words is None:
         return out
     name = F.lower("name")
@@ -157,6 +173,11 @@ def json_paths(
     return out.where(hit)
 
 
+def _concat(arrays: Column, dtype: str) -> Column:
+    """One array of arrays' elements; missing arrays count as empty."""
+    return F.coalesce(F.flatten(F.array_compact(arrays)), F.array().cast(dtype))
+
+
 def json_key_profile(docs: DataFrame, text: str, depth: int = 4, words=None) -> DataFrame:
     """Per path and JSON type: rows that have it and the smallest preview."""
     return json_paths(docs, text, depth, words).groupBy("path", "type").agg(

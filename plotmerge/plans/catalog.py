@@ -42,6 +42,15 @@ class Tables:
     def path(self, name: str) -> str:
         return f"{self.sf_dir}/{name}.parquet"
 
+    def spread(self, name: str) -> DataFrame:
+        """A table to compute much on per row.
+
+        The given files are single and small, which is one task; their rows are
+        dealt out to all cores. A table of as many splits as cores is left alone.
+        """
+        df, cores = getattr(self, name), self.spark.sparkContext.defaultParallelism
+        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)

@@ -71,7 +71,7 @@ def _locs(t: Tables):
         .otherwise(text("https://www.site3.example/nl/classified/huis/te-koop/gent-zuid/", pc, "/", part))
     )
     name = F.element_at(F.array(*[F.lit(s) for s in SOURCES]), (k % 4 + 1).cast("int"))
-    return t.lineitem.select(
+    return t.spread("lineitem").select(
         (c("l_orderkey") * 8 + c("l_linenumber")).alias("ord"), name.alias("source_name"), url.alias("url")
     )
 
@@ -197,11 +197,15 @@ def robots_admission(t: Tables):
     """First matching path rule of the URL's host decides; no rule allows."""
     from plotmerge.functions import urls
 
-    kinds = t.spark.createDataFrame(_RULES, "prefix_of string, ord int, allow boolean, prefix string")
-    hosts = t.pages.select(urls.host(F.col("url")).alias("host")).distinct()
-    rules = hosts.join(F.broadcast(kinds), F.startswith("host", "prefix_of")).select(
-        "host", "ord", "allow", "prefix"
+    kinds = F.array(
+        *[
+            F.struct(F.lit(h).alias("of"), F.lit(o).alias("ord"), F.lit(a).alias("allow"), F.lit(p).alias("prefix"))
+            for h, o, a, p in _RULES
+        ]
     )
+    hosts = t.pages.select(urls.host(F.col("url")).alias("host")).distinct()
+    fitting = F.filter(kinds, lambda r: F.startswith(F.col("host"), r["of"]))
+    rules = hosts.select("host", F.inline(fitting)).drop("of")
     return Fr.admit(t.pages.select("page_id", "url"), rules).select("page_id", "host", "allowed")
 
 

@@ -63,7 +63,7 @@ def with_cte(body: str, *ctes: str) -> str:
     return f"WITH {', '.join(ctes)}\n{body}"
 
 
-def listings(t: Tables) -> DataFrame:
+def listings(t: Tables, part: DataFrame | None = None) -> DataFrame:
     k = F.col("p_partkey")
 
     def unless(n: int, value, residue: int = 0):
@@ -72,7 +72,7 @@ def listings(t: Tables) -> DataFrame:
     created = F.timestamp_micros(
         F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp")) + k * 60_000_000
     )
-    return t.part.select(
+    return (t.part if part is None else part).select(
         k.cast("string").alias("id"),
         F.md5(F.concat(F.lit("part:"), k.cast("string"))).alias("fingerprint"),
         (8000 + F.col("p_size") * 20).cast("int").alias("postcode"),
@@ -188,7 +188,7 @@ def page_facts(t: Tables) -> DataFrame:
     """The same in Spark."""
     k = F.col("id").cast("bigint")
     facts = (
-        listings(t)
+        listings(t, t.spread("part"))
         .withColumn("k", k)
         .withColumn("h", F.floor(k / 4))
         .withColumn("fault", F.col("h") % 40)

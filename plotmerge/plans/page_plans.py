@@ -303,7 +303,7 @@ def meta_content(t: Tables):
 def page_heads(t: Tables):
     """Head elements and URL parts of raw web pages."""
     html, url = F.col("html"), F.col("url")
-    return t.pages.select(
+    return t.spread("pages").select(
         "page_id",
         urls.scheme(url).alias("scheme"),
         urls.host(url).alias("host"),

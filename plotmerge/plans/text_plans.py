@@ -64,7 +64,7 @@ def _adverts(t: Tables):
         .when(k % 7 == 4, text(" ", b, "M² en 8 slaapkamers of 9 slaapkamers"))
         .otherwise("")
     )
-    return t.documents.select("doc_id", F.concat(head, "text", tail).alias("text"))
+    return t.spread("documents").select("doc_id", F.concat(head, "text", tail).alias("text"))
 
 
 def _field_query(name: str, column: str, read, sql: str) -> None:
@@ -335,7 +335,7 @@ def enum_map(t: Tables):
 )
 def address_key(t: Tables):
     """Normalised key of whole texts."""
-    return t.documents.select("doc_id", X.address_key("text").alias("key"))
+    return t.spread("documents").select("doc_id", X.address_key("text").alias("key"))
 
 
 @query(
@@ -371,6 +371,6 @@ def unescape_entities(t: Tables):
         ("è", "&#232;"), ("ç", "&#xE7;"), ("ñ", "&#xf1;"), ("ß", "&szlig;"), ("'", "&#39;"),
     ):
         written = F.replace(written, F.lit(char), F.lit(reference))
-    return t.documents.select("doc_id", written.alias("w")).select(
+    return t.spread("documents").select("doc_id", written.alias("w")).select(
         "doc_id", X.unescape(F.col("w")).alias("text")
     )

@@ -95,14 +95,14 @@ def child_sitemaps(
     Where no child of a source matches, some sources fall back to all children.
     """
     name = F.col("source_name")
-    matched = index_locs.withColumn(
+    matched = index_locs.where(name.isin(*sources)).withColumn(
         "_match", by_source(name, lambda s: F.col("loc").rlike(s.child_sitemap_pattern), sources)
     )
-    # One row per source; an aggregate and a join keep a large index out of one task.
+    # One row per source of the registry; no index, however large, is in one task.
     any_match = matched.groupBy("source_name").agg(F.bool_or("_match").alias("_any"))
     fallback = by_source(name, lambda s: F.lit(s.all_children_if_none_match), sources, F.lit(False))
     return (
-        matched.join(any_match, "source_name")
+        matched.join(F.broadcast(any_match), "source_name")
         .where(F.col("_match") | (fallback & ~F.col("_any")))
         .drop("_match", "_any")
     )
