@@ -26,6 +26,9 @@ def is_http_url(url: Column) -> Column:
     return url.rlike(r"(?i)^https?://[^\s/?#]+(?:[/?#]\S*)?$")
 
 
+SEPARATOR = "\x01"
+
+
 class UrlGrammar:
     """One source's advert URLs: a pattern and which groups mean what."""
 
@@ -43,18 +46,23 @@ class UrlGrammar:
         return F.when(self.matches(url), F.nullif(value, F.lit("")))
 
     def parse(self, url: Column) -> Column:
-        """(postcode, gemeente, source_id) of a URL that fits, else NULL."""
+        """(postcode, gemeente, source_id) of a URL that fits, else NULL.
+
+        One match: the URL is rewritten to its three parts, or stays as it is.
+        """
+
+        order = [self.groups[n] for n in ("postcode", "city", "advert")]
+        rewritten = F.regexp_replace(url, "^.*?" + self.pattern, SEPARATOR.join(f"${g}" for g in order))
 
-        def parts(u: Column) -> Column:
-            value = {n: F.regexp_extract(u, self.pattern, g) for n, g in self.groups.items()}
+        def of_parts(p: Column) -> Column:
             found = F.struct(
-                value["postcode"].cast("int").alias("postcode"),
-                city_from_slug(value["city"]).alias("gemeente"),
-                value["advert"].alias("source_id"),
+                F.get(p, F.lit(0)).cast("int").alias("postcode"),
+                city_from_slug(F.get(p, F.lit(1))).alias("gemeente"),
+                F.get(p, F.lit(2)).alias("source_id"),
             )
-            return F.when(self.matches(u), found)
+            return F.when((F.size(p) == 3) & F.contains(url, F.lit(self.must_contain)), found)
 
-        return let(url, parts)
+        return let(F.split(rewritten, SEPARATOR), of_parts)
 
     def postcode(self, url: Column) -> Column:
         return self.group(url, "postcode").cast("int")

@@ -30,13 +30,28 @@ def in_scope(postcode: Column, ranges: Iterable[tuple[int, int]] = SCOPE_RANGES)
     return out
 
 
-def first_occurrences(frontier: DataFrame, order: str = "ord") -> DataFrame:
-    """One row per (source, URL): the earliest. Copies collapse before the shuffle."""
-    rest = [c for c in frontier.columns if c not in KEYS and c != order]
-    # A URL decides its parsed columns, so any of its rows serves for those.
-    return frontier.groupBy(*KEYS).agg(
-        F.min(order).alias(order), *[F.any_value(c).alias(c) for c in rest]
-    ).select(frontier.columns)
+def first_occurrences(found: DataFrame, order: str = "ord") -> DataFrame:
+    """One row per (source, URL): its earliest position.
+
+    Only the key and a number are aggregated, so copies of a URL collapse in a hash
+    map before the shuffle, and the result stays partitioned for a join on the URL.
+    """
+    return found.groupBy(*KEYS).agg(F.min(order).alias(order))
+
+
+def discover(
+    locs: DataFrame,
+    sources: Mapping[str, SourceSpec] = SOURCES,
+    ranges: Iterable[tuple[int, int]] = SCOPE_RANGES,
+    order: str = "ord",
+) -> DataFrame:
+    """The frontier: distinct advert URLs in scope, with what the URL says.
+
+    URLs that fit no grammar or lie elsewhere go before the shuffle. The parsed
+    columns do not travel; they are read from the distinct URLs again.
+    """
+    found = match_urls(locs, sources).where(in_scope(F.col("postcode"), ranges))
+    return match_urls(first_occurrences(found, order), sources)
 
 
 def flag_known(frontier: DataFrame, known: DataFrame) -> DataFrame:

@@ -26,12 +26,13 @@ def row_numbers(
 ) -> DataFrame:
     """Number the rows of each key by the integer column ``order``, from 1.
 
-    ``ties`` are further columns to order by where ``order`` is equal.
+    ``ties`` are further columns to order by where ``order`` is equal. The input is
+    read twice, once for two columns; hand over a stored table if it is costly.
 
     With ``at_most`` only the first so many rows of each key are kept; buckets
     behind the limit are dropped before any row of theirs is shuffled for ranking.
     """
-    bucketed = df.withColumn("_bucket", F.floor(F.col(order) / F.lit(width)))
+    bucketed = df.withColumn("_bucket", F.col(order) - F.pmod(F.col(order), F.lit(width)))
     sizes = bucketed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, Window.currentRow

@@ -10,7 +10,7 @@ from plotmerge.operators import frontier as Fr
 from plotmerge.operators.ranking import row_numbers
 from plotmerge.plans import inputs as I
 from plotmerge.plans.catalog import Tables, query
-from plotmerge.session import shared_dir
+from plotmerge.session import materialize, shared_dir
 from plotmerge.sources import registry, sitemaps
 from plotmerge.sources.layouts import page_text
 
@@ -77,8 +77,7 @@ def _locs(t: Tables):
 
 
 def _frontier(t: Tables):
-    found = Fr.match_urls(_locs(t)).where(Fr.in_scope(F.col("postcode")))
-    return Fr.first_occurrences(found)
+    return Fr.discover(_locs(t))
 
 
 def _flagged(t: Tables):
@@ -135,7 +134,7 @@ def url_known_anti(t: Tables):
 )
 def url_cap(t: Tables):
     """The first unknown URLs of each source in discovery order."""
-    return Fr.cap_per_source(_flagged(t), CAP, width=20_000).select("source_name", "url", "ord", "rn")
+    return Fr.cap_per_source(materialize(_flagged(t), "frontier"), CAP, width=20_000).select("source_name", "url", "ord", "rn")
 
 
 @query(
@@ -154,7 +153,7 @@ def url_cap(t: Tables):
 )
 def url_skip_counts(t: Tables):
     """URLs taken, and known ones passed over before the cap was reached."""
-    return Fr.skipped_counts(_flagged(t), CAP, width=20_000)
+    return Fr.skipped_counts(materialize(_flagged(t), "frontier"), CAP, width=20_000)
 
 
 @query(
