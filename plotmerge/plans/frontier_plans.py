@@ -309,7 +309,8 @@ def sitemap_locs(t: Tables):
     "sitemap_walk",
     I.with_cte(
         """SELECT source_name, sitemap_url, url FROM page_loc
-        WHERE source_name = 'immoweb' OR (source_name <> 'immovlan' AND contains(sitemap_url, 'te-koop'))""",
+        WHERE contains(sitemap_url, 'te-koop') OR (source_name IN ('zimmo', 'immoweb') AND source_name NOT IN (
+          SELECT source_name FROM part_loc WHERE source_name IN ('zimmo', 'immoscoop') AND doc % 3 <> 0))""",
         _SITEMAPS,
     ),
 )
