@@ -46,14 +46,14 @@ def place_all(t: Tables):
     )
 
 
-_PINS = f"""found AS (SELECT * FROM hashed WHERE prijs_eur >= 95000 AND user_status NOT IN ('afgewezen') ORDER BY created_at DESC, id LIMIT 2000),
+_PINS = f"""found AS (SELECT * FROM hashed WHERE prijs_eur >= 91000 AND user_status NOT IN ('afgewezen') ORDER BY created_at DESC, id LIMIT 2000),
 pc AS (SELECT postcode, avg(lat) AS c_lat, avg(lng) AS c_lng FROM found WHERE lat IS NOT NULL AND lng IS NOT NULL GROUP BY postcode),
 pins AS ({_PLACE}, postcode, gemeente, prijs_eur, type, oppervlakte_bewoonbaar_m2 AS m2, slaapkamers, epc_label, titel, straat, hoofd_foto_url
   FROM found f LEFT JOIN pc USING (postcode) WHERE f.lat IS NOT NULL AND f.lng IS NOT NULL OR c_lat IS NOT NULL),
 firsts AS (SELECT listing_id, arg_min(source_name, (first_seen, source_name, source_id)) AS source_name,
   arg_min(source_id, (first_seen, source_name, source_id)) AS source_id FROM fx_source GROUP BY listing_id)"""
 
-_FILTERS = {"prijs_min": 95000, "exclude_user_status": ["afgewezen"]}
+_FILTERS = {"prijs_min": 91000, "exclude_user_status": ["afgewezen"]}
 
 
 @query(

@@ -30,7 +30,7 @@ def _filter_query(name: str, where: str, **filters) -> None:
     "listing_query_semi_topk",
     I.with_cte(
         f"""SELECT {SHOWN} FROM fx_listing
-        WHERE prijs_eur >= 95000 AND user_status NOT IN ('afgewezen')
+        WHERE prijs_eur >= 91000 AND user_status NOT IN ('afgewezen')
           AND id IN (SELECT listing_id FROM fx_source WHERE source_name IN ('s0', 's1'))
         ORDER BY created_at DESC, id LIMIT 500""",
         L,
@@ -42,7 +42,7 @@ def listing_query_semi_topk(t: Tables):
     return Q.query_listings(
         I.listings(t),
         I.sources(t),
-        prijs_min=95000,
+        prijs_min=91000,
         exclude_user_status=["afgewezen"],
         source_in=["s0", "s1"],
         limit=Q.LIST_LIMIT,
@@ -53,8 +53,8 @@ _filter_query("listing_filter_city", "contains(lower(gemeente), 'brand#2')", gem
 _filter_query("listing_filter_postcode", "postcode = 8500", postcode=8500)
 _filter_query(
     "listing_filter_price_range",
-    "prijs_eur >= 95000 AND prijs_eur <= 140000",
-    prijs_min=95000,
+    "prijs_eur >= 91000 AND prijs_eur <= 140000",
+    prijs_min=91000,
     prijs_max=140000,
 )
 _filter_query("listing_filter_bedrooms_min", "slaapkamers >= 3", slaapkamers_min=3)
