@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotmerge.llm import exact_dedup, mixing, packing
+from plotmerge.llm import exact_dedup, mixing, packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -56,3 +56,12 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and its component."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"),
+        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id",
+    )
