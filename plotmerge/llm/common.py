@@ -20,6 +20,14 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have, for a helper beside the given columns."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def partitions(rows: int, per_partition: int) -> int:
     """How many partitions of at most so many rows hold them all."""
     return max(1, ceil(rows / per_partition))

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotmerge.llm.common import partitions, stored, whole_text
+from plotmerge.llm.common import free_name, partitions, stored, whole_text
 
 #: Distinct digests in one partition of the index, on average.
 PART_ROWS = 200_000
@@ -195,14 +195,18 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     same = verdict.groupBy("id", "digest").agg(
         F.max("kept").alias("kept"), F.count("*").alias("n")
     ).where("kept")
-    keep = stored(same.select(F.col("id").alias("_id"), F.col("digest").alias("_keep"), "n"), "kept")
-    marked = docs.withColumn("_digest", F.unhex(F.sha2(whole_text(text_col), 256)))
+    id_name, digest_name, own = (free_name(docs, c) for c in ("_id", "_keep", "_digest"))
+    keep = stored(
+        same.select(F.col("id").alias(id_name), F.col("digest").alias(digest_name), "n"), "kept"
+    )
+    marked = docs.withColumn(own, F.unhex(F.sha2(whole_text(text_col), 256)))
 
     def those(chosen: DataFrame) -> DataFrame:
-        on = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_keep"))
+        chosen = chosen.drop("n")
+        on = F.col(id_col).eqNullSafe(F.col(id_name)) & (F.col(own) == F.col(digest_name))
         return marked.join(chosen, on, "left_semi")
 
     out = those(keep.where("n = 1"))
     if not keep.where("n > 1").isEmpty():
-        out = out.union(those(keep.where("n > 1")).dropDuplicates([id_col, "_digest"]))
-    return out.drop("_digest")
+        out = out.union(those(keep.where("n > 1")).dropDuplicates([id_col, own]))
+    return out.drop(own)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotmerge.llm.common import rank_in_class, stored, whole_text
+from plotmerge.llm.common import free_name, rank_in_class, stored, whole_text
 
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -174,3 +174,25 @@ def mix(
         "id", "source", "size", "source_size", "target",
         F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).alias("copies"),
     )
+
+
+def draw(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+         seed: int = SEED) -> DataFrame:
+    """The mix itself: every document as often as it is taken, with all its columns.
+
+    Rows that repeat an id, a source and a size are taken alike, as often as the least of them.
+    """
+    plan = mix(docs, id_col, text_col, source_col, seed).groupBy("id", "source", "size").agg(
+        F.min("copies").alias("copies")
+    ).where("copies > 0")
+    names = {c: free_name(docs, f"_mix_{c}") for c in ("id", "source", "size", "copies", "n")}
+    plan = stored(plan.select(*[F.col(c).alias(names[c]) for c in plan.columns]), "mix-plan")
+    same = (
+        F.col(id_col).eqNullSafe(F.col(names["id"]))
+        & F.col(source_col).cast("string").eqNullSafe(F.col(names["source"]))
+        & (word_count(text_col) == F.col(names["size"]))
+    )
+    taken = docs.join(plan, same).withColumn(
+        names["n"], F.explode(F.array_repeat(F.lit(0), F.col(names["copies"]).cast("int")))
+    )
+    return taken.select(*docs.columns)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotmerge.llm.common import components, stored, whole_text
+from plotmerge.llm.common import components, free_name, stored, whole_text
 
 WORDS = 4
 SEED = 42
@@ -194,5 +194,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents whose id is the smallest of their component, with all their columns."""
     kept = near_duplicates(docs, id_col, text_col).where(F.col("id").eqNullSafe(F.col("component_id")))
-    kept = stored(kept.select(F.col("id").alias("_kept")).distinct(), "simhash-kept")
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    name = free_name(docs, "_kept")
+    kept = stored(kept.select(F.col("id").alias(name)).distinct(), "simhash-kept")
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
