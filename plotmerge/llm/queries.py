@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotmerge.llm import exact_dedup, html_text, mixing, packing, simhash, topk, toxicity, warc
+from plotmerge.llm import exact_dedup, html_text, line_dedup, mixing, packing, simhash, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -125,3 +125,12 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+@query
+def op3_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document with the line of its class that stays."""
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "line", F.col("keep_id").alias("keep_doc_id"), "keep_line",
+        "class_size", "kept",
+    )
