@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotmerge.llm import exact_dedup, html_text, line_dedup, mixing, packing, simhash, topk, toxicity, warc
+from plotmerge.llm import exact_dedup, html_text, line_dedup, mixing, packing, pii, simhash, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -134,3 +134,9 @@ def op3_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "line", F.col("keep_id").alias("keep_doc_id"), "keep_line",
         "class_size", "kept",
     )
+
+
+@query
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced by surrogates."""
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
