@@ -16,9 +16,10 @@ from plotmerge.functions.text import blank_to_null, unescape
 
 _ATTRS = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
 _TAGS = (
-    r"(?is)<!--.*?-->"
-    rf"|<script\b{_ATTRS}>.*?</script"
-    rf"|<style\b{_ATTRS}>.*?</style"
+    # What is not closed runs to the end of the page, so each character is read once.
+    r"(?is)<!--.*?(?:-->|\z)"
+    rf"|<script\b{_ATTRS}>.*?(?:</script|\z)"
+    rf"|<style\b{_ATTRS}>.*?(?:</style|\z)"
     rf"|<meta\b{_ATTRS}>"
 )
 _OPEN_SCRIPT = rf"(?is)^<script\b{_ATTRS}>"

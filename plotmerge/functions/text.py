@@ -8,9 +8,10 @@ long run of digits or spaces, so a scan over a page is linear in its length.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import unicodedata
-from html.entities import name2codepoint
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -22,14 +23,14 @@ from plotmerge.schemas import EPC_LABELS
 
 # ---- fixed values: what the fields look like in text -----------------------
 BEDROOMS_PATTERN = r"(?iU)(\d+)\s*slaapkamer"
-SURFACE_PATTERN = r"(?iU)(\d{2,4})\s*m[²2]"
+SURFACE_PATTERN = r"(?iU)(\d{2,4})\s*m\s*[²2]"
 SURFACE_RANGE = (20, 2000)
-EURO_SIGN = r"€|EUR"
+EURO_SIGN = r"€|(?i)(?<!\p{L})EUR(?!\p{L})"
 AMOUNT = r"(?U)^[\d\s.,]+"
 AMOUNT_AFTER_SIGN = r"(?U)^\s*(\d[\d\s.,]*)"
 PRICE_RANGE = (1_000, 100_000_000)
-EPC_LABEL_PATTERN = r"(?U)EPC[^A-Z]{0,30}([A-F]\+?)\b"
-EPC_KWH_PATTERN = r"(?U)(\d{2,4})\s*kWh/m"
+EPC_LABEL_PATTERN = r"(?U)\bEPC[^A-Z]{0,30}([A-F]\+?)\b"
+EPC_KWH_PATTERN = r"(?iU)(\d{2,4})\s*kWh\s*/\s*m"
 TYPE_RULES = (
     ("appartement", "appartement"),
     ("studio", "appartement"),
@@ -210,18 +211,13 @@ def price_display(amount: Column, unknown: str = "onbekend", zero_is_unknown: bo
 
 
 def unescape(text: Column) -> Column:
-    """Decode character references: HTML 4 names, decimal and hexadecimal numbers.
+    """Decode character references: HTML names, decimal and hexadecimal numbers.
 
     A decoded ampersand is put in last, so "&amp;lt;" becomes "&lt;" and no more.
     """
-    names = F.create_map(
-        *[
-            F.lit(part)
-            for name, point in name2codepoint.items()
-            if name != "amp"
-            for part in (name, chr(point))
-        ]
-    )
+    # One constant, folded once, not thousands of literals.
+    table = {name[:-1]: text for name, text in html5.items() if name.endswith(";") and name != "amp;"}
+    names = F.from_json(F.lit(json.dumps(table)), "map<string,string>")
 
     def numbered(base: int, value: Column) -> Column:
         def char(point: Column) -> Column:
@@ -229,7 +225,9 @@ def unescape(text: Column) -> Column:
             code = F.when(is_char, point).otherwise(0xFFFD)
             return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
 
-        return let(F.conv(value, base, 10).cast("bigint"), char)
+        # Leading zeros say nothing; seven digits left are beyond any character.
+        digits = F.substring(F.regexp_replace(value, "^0+(?=.)", ""), 1, 8)
+        return let(F.conv(digits, base, 10).cast("bigint"), char)
 
     def each(acc: Column, pattern: str, left: str, value) -> Column:
         return let(
@@ -250,9 +248,10 @@ def unescape(text: Column) -> Column:
             "&",
             lambda n: F.coalesce(F.try_element_at(names, n), F.concat(F.lit("&"), n, F.lit(";"))),
         )
-        out = each(out, r"&#(?!0*38;)([0-9]{1,7});", "&#", lambda n: numbered(10, n))
-        out = each(out, r"&#x(?!0*26;)([0-9A-Fa-f]{1,6});", "&#x", lambda n: numbered(16, n))
-        return F.regexp_replace(out, r"&(?:amp|#0*38|#x0*26);", "&")
+        out = each(out, r"&#(?!0*38;)([0-9]+);", "&#", lambda n: numbered(10, n))
+        out = each(out, r"&#x(?!0*26;)([0-9A-Fa-f]+);", "&#x", lambda n: numbered(16, n))
+        out = each(out, r"&#X(?!0*26;)([0-9A-Fa-f]+);", "&#X", lambda n: numbered(16, n))
+        return F.regexp_replace(out, r"&(?:amp|#0*38|#[xX]0*26);", "&")
 
     return let(text, lambda t: F.when(t.contains("&"), decoded(t)).otherwise(t))
 

@@ -21,6 +21,10 @@ def path(url: Column) -> Column:
     return F.try_parse_url(url, F.lit("PATH"))
 
 
+def query(url: Column) -> Column:
+    return F.try_parse_url(url, F.lit("QUERY"))
+
+
 def is_http_url(url: Column) -> Column:
     """http or https with a host; NULL in, NULL out."""
     return url.rlike(r"(?i)^https?://[^\s/?#]+(?:[/?#]\S*)?$")

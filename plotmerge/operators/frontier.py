@@ -13,6 +13,8 @@ from plotmerge.schemas import SCOPE_RANGES
 from plotmerge.sources.registry import SOURCES, SourceSpec, by_source
 
 KEYS = ["source_name", "url"]
+#: Tasks that share the URLs of one host where its rules are joined.
+SPREAD = 16
 
 
 def match_urls(locs: DataFrame, sources: Mapping[str, SourceSpec] = SOURCES) -> DataFrame:
@@ -114,22 +116,28 @@ def admit(frontier: DataFrame, rules: DataFrame) -> DataFrame:
     """Add ``allowed`` from allow/deny path-prefix rules of the URL's host.
 
     ``rules`` has host, ord, allow, prefix. The first rule in order whose prefix
-    starts the path decides; a host without rules, or no host, is allowed. The
-    rules of one host come from one rule file and become one short array, so each
-    URL stays one row and is tested where it is.
+    starts the path with its query decides; a host without rules, or no host, is
+    allowed. The rules of one host come from one rule file and become one short
+    array, so each URL stays one row. Few hosts hold most URLs: both sides meet on
+    the host and one of ``SPREAD`` salts, where Spark does not broadcast the rules.
     """
     per_host = rules.groupBy("host").agg(
         F.array_sort(F.collect_list(F.struct("ord", "allow", "prefix"))).alias("_rules")
     )
-    located = frontier.withColumn("host", urls.host(F.col("url"))).withColumn(
-        "_path", F.coalesce(F.nullif(urls.path(F.col("url")), F.lit("")), F.lit("/"))
+    per_host = per_host.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    path = F.coalesce(F.nullif(urls.path(F.col("url")), F.lit("")), F.lit("/"))
+    located = frontier.withColumn("host", urls.host(F.col("url"))).withColumns(
+        {
+            "_path": F.concat_ws("?", path, urls.query(F.col("url"))),
+            "_salt": F.pmod(F.xxhash64("url"), F.lit(SPREAD)).cast("int"),
+        }
     )
-    joined = located.join(per_host, "host", "left")
+    joined = located.join(per_host, ["host", "_salt"], "left")
     decisive = F.get(
         F.filter("_rules", lambda r: F.startswith(F.col("_path"), r["prefix"])), F.lit(0)
     )
     return joined.withColumn("allowed", F.coalesce(decisive["allow"], F.lit(True))).drop(
-        "_rules", "_path"
+        "_rules", "_path", "_salt"
     )
 
 

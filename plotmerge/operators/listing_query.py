@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plotmerge.operators.ranking import positions
+
 LIST_LIMIT = 500
 MAP_LIMIT = 2000
 
@@ -113,38 +115,30 @@ def first_sources(sources: DataFrame) -> DataFrame:
     )
 
 
-def grouped_sources(
-    sources: DataFrame, fields: Sequence[str] = ("source_name", "source_id"), per_row: int = 10_000
-) -> DataFrame:
-    """Sources of each listing as sorted arrays: (listing_id, part, sources).
+def sorted_sources(sources: DataFrame) -> DataFrame:
+    """Sources of each listing in name order, one row each: (listing_id, n_sources,
+    first_source, pos, source_name, source_id).
 
-    A listing has one row (part 0) unless it has more than ``per_row`` sources;
-    those are spread over several rows, so no array grows without bound and no
-    source is left out.
+    Rows are numbered where they lie after a range sort, so a listing may have any
+    number of sources; the count and the first source come from one aggregate.
     """
-    big = (
-        sources.groupBy("listing_id")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > per_row)
-    )
-    spread = F.pmod(
-        F.xxhash64("source_name", "source_id"), F.ceil(F.col("_n") / F.lit(per_row)) * 2
+    placed = positions(
+        sources.select("listing_id", "source_name", "source_id", "first_seen"),
+        ["listing_id"], ["source_name", "source_id"],
     )
-    return (
-        sources.join(big, "listing_id", "left")
-        .withColumn("part", F.when(F.col("_n").isNull(), 0).otherwise(spread).cast("int"))
-        .groupBy("listing_id", "part")
-        .agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("sources"))
+    facts = placed.groupBy("listing_id").agg(
+        F.count(F.lit(1)).alias("n_sources"),
+        F.min(F.struct("first_seen", "source_name", "source_id")).alias("first_source"),
     )
+    return placed.drop("first_seen").join(facts, "listing_id")
 
 
-def with_sources(
-    listings: DataFrame, sources: DataFrame, fields: Sequence[str] = ("source_name", "source_id"),
-    per_row: int = 10_000,
-) -> DataFrame:
-    """Listings with their sources nested; one without sources keeps its row."""
-    nested = grouped_sources(sources, fields, per_row).withColumnRenamed("listing_id", "id")
-    return listings.join(nested, "id", "left")
+def with_sources(listings: DataFrame, sources: DataFrame) -> DataFrame:
+    """Listings with a row for each source; one without sources keeps one row."""
+    nested = sorted_sources(sources).withColumnRenamed("listing_id", "id")
+    return listings.join(nested, "id", "left").withColumn(
+        "n_sources", F.coalesce("n_sources", F.lit(0).cast("bigint"))
+    )
 
 
 def all_listings(listings: DataFrame) -> DataFrame:

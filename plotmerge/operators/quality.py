@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotmerge.functions import json_values as J
+from plotmerge.session import materialize
 
 # ---- fixed values ----------------------------------------------------------
 GEO_WORDS = ("lat", "lng", "lon", "geo", "coord", "location")
@@ -124,13 +125,18 @@ def run_window(observations: DataFrame, at: str = "fetched_at") -> DataFrame:
     )
 
 
-def json_paths(
-    docs: DataFrame, text: str, depth: int = 4, words: Sequence[str] | None = None
-) -> DataFrame:
+#: Levels opened within one row before the deeper ones are taken up again.
+LEVELS_AT_ONCE = 4
+
+
+def json_paths(docs: DataFrame, text: str, words: Sequence[str] | None = None) -> DataFrame:
     """One row per key of each document: (path, name, type, preview).
 
-    Objects are opened level by level down to ``depth``; of a list the first few
-    items are opened. With ``words`` only keys whose name contains one are kept.
+    Objects are opened level by level until none is left; of a list the first few
+    items are opened. Some levels are opened within the row, so that documents are
+    read and parsed once; values below them are stored and opened in another round,
+    which flat documents never need. With ``words`` only keys whose name contains one
+    are kept.
     """
     entry = "array<struct<path:string,name:string,v:variant>>"
 
@@ -144,33 +150,41 @@ def json_paths(
             ),
         )
 
-    def below(level: Column) -> Column:
-        def inside(e: Column) -> Column:
-            opened = F.coalesce(F.slice(J.items(e["v"]), 1, PROFILED_LIST_ITEMS), F.array(e["v"]))
-            return _concat(F.transform(opened, lambda v: keys_of(v, e["path"])), entry)
+    def inside(e: Column) -> Column:
+        opened = F.coalesce(F.slice(J.items(e["v"]), 1, PROFILED_LIST_ITEMS), F.array(e["v"]))
+        return _concat(F.transform(opened, lambda v: keys_of(v, e["path"])), entry)
 
+    def below(level: Column) -> Column:
         return _concat(F.transform(level, inside), entry)
 
-    # Level by level within the row: the documents are read and parsed once.
-    levels = docs.select(J.parse_strict(F.col(text)).alias("v")).select(
-        F.coalesce(keys_of(F.col("v"), F.lit("")), F.array().cast(entry)).alias("l0")
-    )
-    for n in range(1, depth):
-        levels = levels.withColumn(f"l{n}", below(F.col(f"l{n - 1}")))
-    found = levels.select(F.inline(F.concat(*levels.columns)))
-    out = found.select(
-        "path",
-        "name",
-        F.regexp_extract(J.kind(F.col("v")), r"^\w+", 0).alias("type"),
-        F.substring(F.to_json("v"), 1, PREVIEW_LENGTH).alias("preview"),
+    def opened(levels: DataFrame) -> DataFrame:
+        for n in range(1, LEVELS_AT_ONCE):
+            levels = levels.withColumn(f"l{n}", below(F.col(f"l{n - 1}")))
+        last = f"l{LEVELS_AT_ONCE - 1}"
+        deeper = F.filter(F.col(last), lambda e: F.size(inside(e)) > 0)
+        names = [F.transform(F.col(c), lambda e: F.struct(
+            e["path"].alias("path"), e["name"].alias("name"),
+            F.regexp_extract(J.kind(e["v"]), r"^\w+", 0).alias("type"),
+            F.substring(F.to_json(e["v"]), 1, PREVIEW_LENGTH).alias("preview"),
+        )) for c in levels.columns]
+        return materialize(levels.select(F.concat(*names).alias("found"), deeper.alias("deeper")), "json-paths")
+
+    rows = opened(
+        docs.select(J.parse_strict(F.col(text)).alias("v")).select(
+            F.coalesce(keys_of(F.col("v"), F.lit("")), F.array().cast(entry)).alias("l0")
+        )
     )
+    found = rows.select(F.inline("found"))
+    while not (rows := rows.where(F.size("deeper") > 0)).isEmpty():
+        rows = opened(rows.select(below(F.col("deeper")).alias("l0")))
+        found = found.union(rows.select(F.inline("found")))
     if words is None:
-        return out
+        return found
     name = F.lower("name")
     hit = F.lit(False)
     for w in words:
         hit = hit | name.contains(w)
-    return out.where(hit)
+    return found.where(hit)
 
 
 def _concat(arrays: Column, dtype: str) -> Column:
@@ -178,8 +192,8 @@ def _concat(arrays: Column, dtype: str) -> Column:
     return F.coalesce(F.flatten(F.array_compact(arrays)), F.array().cast(dtype))
 
 
-def json_key_profile(docs: DataFrame, text: str, depth: int = 4, words=None) -> DataFrame:
+def json_key_profile(docs: DataFrame, text: str, words=None) -> DataFrame:
     """Per path and JSON type: rows that have it and the smallest preview."""
-    return json_paths(docs, text, depth, words).groupBy("path", "type").agg(
+    return json_paths(docs, text, words).groupBy("path", "type").agg(
         F.count(F.lit(1)).alias("n"), F.min("preview").alias("preview")
     )

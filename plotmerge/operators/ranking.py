@@ -12,9 +12,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plotmerge.session import materialize
+
 DEFAULT_WIDTH = 1_000_000
 
 
+def positions(df: DataFrame, keys: list[str], order: list[str], out: str = "pos") -> DataFrame:
+    """Number the rows of each key by ``order``, from 1; any types, ties and gaps.
+
+    Rows are range-sorted by key and order and stored with their place. A key may spread
+    over many partitions: the number of a row is its place plus an offset for its
+    (partition, key), summed up along the partitions that the key lies in.
+    """
+    columns = [F.col(c) for c in (*keys, *order)]
+    placed = materialize(
+        df.repartitionByRange(*columns)
+        .sortWithinPartitions(*columns)
+        .withColumn("_at", F.monotonically_increasing_id()),
+        "positions",
+    )
+    part = F.shiftright("_at", 33)
+    runs = placed.groupBy(*keys, part.alias("_part")).agg(
+        F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")
+    )
+    upto = Window.partitionBy(*keys).orderBy("_part")
+    runs = runs.select(
+        *[F.col(k).alias(f"_key_{k}") for k in keys],
+        "_part",
+        (F.sum("_n").over(upto) - F.col("_n") - F.col("_first") + 1).alias("_shift"),
+    )
+    same = part == F.col("_part")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return placed.join(runs, same).withColumn(out, F.col("_at") + F.col("_shift")).drop(
+        "_at", "_part", "_shift", *[f"_key_{k}" for k in keys]
+    )
+
+
 def row_numbers(
     df: DataFrame,
     keys: list[str],

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from plotmerge.functions.text import fingerprint
 from plotmerge.operators import consolidate as C
 from plotmerge.operators import validate as V
-from plotmerge.operators.frontier import drop_known
+from plotmerge.operators.frontier import flag_known
 from plotmerge.session import materialize
 from plotmerge.sources.layouts import extract_candidates
 from plotmerge.sources.registry import SOURCES, SourceSpec
@@ -83,6 +83,30 @@ def failures(checked: DataFrame) -> DataFrame:
     )
 
 
+def new_pages(pages: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pages at URLs that their source has not stored, and an outcome row per other page.
+
+    Only URL columns are shuffled to tell them apart. The keys of new pages go back to
+    the bodies by a semi-join: broadcast where Spark finds them small (a scan over mostly
+    known pages), and none at all where no page is known (a first load).
+    """
+    landed = pages.select("source_name", F.col("source_url").alias("url"))
+    flagged = materialize(flag_known(landed, sources.select("source_name", "source_url")), "landed")
+    known = flagged.where("known")
+    skipped = known.select(
+        "source_name",
+        F.col("url").alias("ref_url"),
+        F.lit("skipped_known").alias("stage"),
+        F.lit(None).cast("string").alias("message"),
+    )
+    if known.isEmpty():
+        return pages, skipped
+    new = flagged.where(~F.col("known")).select("source_name", F.col("url").alias("source_url"))
+    return pages.join(new.distinct(), ["source_name", "source_url"], "left_semi").select(
+        *pages.columns
+    ), skipped
+
+
 def refresh(
     pages: DataFrame,
     listings: DataFrame,
@@ -90,22 +114,21 @@ def refresh(
     run_ts: Column,
     specs: Mapping[str, SourceSpec] = SOURCES,
     skip_known: bool = True,
+    fingerprint_mode: str = "md5",
 ) -> Refresh:
     """Consolidate the pages with the store; write the result as new versions.
 
-    Pages are parsed once, where they lie, into rows without a body; those rows are
-    written to the shared folder, and known URLs are dropped from them. No page
-    body is shuffled. With ``skip_known=False`` known pages come in again and can
-    fill gaps only.
+    Known URLs are found first, from the URL columns alone, and their pages are not
+    parsed; they count as ``skipped_known``. The other pages are parsed once, into rows
+    without a body, which are written to the shared folder like the merged store. With
+    ``skip_known=False`` known pages come in again and can fill gaps only.
     """
-    checked = materialize(observations(pages, run_ts, specs), "checked")
+    skipped = None
     if skip_known:
-        known = sources.select("source_name", "source_url")
-        checked = drop_known(checked.withColumnRenamed("ref_url", "url"), known).withColumnRenamed(
-            "url", "ref_url"
-        )
+        pages, skipped = new_pages(pages, sources)
+    checked = materialize(observations(pages, run_ts, specs, fingerprint_mode), "checked")
     good = usable(checked)
-    merged = C.consolidate(good, run_ts, listings)
+    merged = materialize(C.consolidate(good, run_ts, listings), "merged")
     new_sources = C.merge_sources(page_sources(good)).join(
         merged.select("fingerprint", F.col("id").alias("listing_id")), "fingerprint"
     )
@@ -120,4 +143,6 @@ def refresh(
             F.lit(None).cast("string").alias("message"),
         )
     )
+    if skipped is not None:
+        outcomes = outcomes.unionByName(skipped)
     return Refresh(merged, sources.select(stored).unionByName(added), outcomes)

@@ -175,12 +175,13 @@ def row_numbers_in_buckets(t: Tables):
 _RULES = (
     ("www.", 1, True, "/en/"), ("www.", 2, False, "/en"), ("www.", 3, False, "/fr/8"),
     ("blog.", 1, False, "/"), ("m.", 1, False, "/de/"), ("m.", 2, True, "/"),
+    ("www.", 0, False, "/en/133?utm_"), ("m.", 0, False, "/en/82?page="),
 )
 
 _RULE_CTE = f"""kinds(prefix_of, ord, allow, prefix) AS (VALUES {', '.join(
     f"('{h}', {o}, {str(a).lower()}, '{p}')" for h, o, a, p in _RULES)}),
 located AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host,
-  coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), ''), '/') AS path FROM pages),
+  concat(coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), ''), '/'), regexp_extract(url, '\\?[^#]*')) AS path FROM pages),
 rules AS (SELECT DISTINCT l.host, k.ord, k.allow, k.prefix FROM located l JOIN kinds k ON starts_with(l.host, k.prefix_of))"""
 
 

@@ -229,7 +229,8 @@ def json_key_profile(t: Tables):
           SELECT unnest([
             {'path': 'place.geo', 'type': 'OBJECT', 'preview': concat('{"lat":', k % 90, ',"tags":["a",{"lng":', k % 7, '}]}')},
             {'path': 'place.geo.lat', 'type': 'BIGINT', 'preview': CAST(k % 90 AS VARCHAR)},
-            {'path': 'place.geo.tags.lng', 'type': 'BIGINT', 'preview': CAST(k % 7 AS VARCHAR)}], recursive := true)
+            {'path': 'place.geo.tags.lng', 'type': 'BIGINT', 'preview': CAST(k % 7 AS VARCHAR)},
+            {'path': 'a.b.c.d.e.f.lat', 'type': 'BIGINT', 'preview': CAST(k % 5 AS VARCHAR)}], recursive := true)
           FROM (SELECT p_partkey AS k FROM part)) GROUP BY path, type""",
         L,
     ),
@@ -240,6 +241,6 @@ def json_geo_keys(t: Tables):
     inner = F.struct((k % 7).alias("lng"))
     tags = F.concat(F.lit('["a",'), F.to_json(inner), F.lit("]"))
     doc = F.concat(
-        F.lit('{"id": 1, "place": {"geo": {"lat": '), (k % 90).cast("string"), F.lit(', "tags": '), tags, F.lit("}}}")
+        F.lit('{"id": 1, "place": {"geo": {"lat": '), (k % 90).cast("string"), F.lit(', "tags": '), tags, F.lit('}}, "a": {"b": {"c": {"d": {"e": {"f": {"lat": '), (k % 5).cast("string"), F.lit("}}}}}}}")
     )
     return quality.json_key_profile(t.part.select(doc.alias("doc")), "doc", words=quality.GEO_WORDS)

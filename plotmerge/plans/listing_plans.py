@@ -124,34 +124,29 @@ def listing_filter_source_in(t: Tables):
 @query(
     "listing_with_sources",
     I.with_cte(
-        """SELECT id, coalesce(n, 0) AS n_sources, coalesce(joined, '') AS sources,
-          first_name AS first_source, first_id AS first_source_id
+        """SELECT id, coalesce(n, 0) AS n_sources, first_name AS first_source, first_id AS first_source_id,
+          pos, source_name, source_id
         FROM fx_listing LEFT JOIN (
-          SELECT listing_id, count(*) AS n,
-            string_agg(concat(source_name, ':', source_id), ',' ORDER BY source_name, source_id) AS joined
-          FROM fx_source GROUP BY listing_id) a ON a.listing_id = id
-        LEFT JOIN (
-          SELECT listing_id, source_name AS first_name, source_id AS first_id,
-            row_number() OVER (PARTITION BY listing_id ORDER BY first_seen, source_name, source_id) AS rn
-          FROM fx_source) f ON f.listing_id = id AND f.rn = 1""",
+          SELECT listing_id, source_name, source_id, count(*) OVER one AS n,
+            row_number() OVER (PARTITION BY listing_id ORDER BY source_name, source_id) AS pos,
+            first_value(source_name) OVER seen AS first_name, first_value(source_id) OVER seen AS first_id
+          FROM fx_source
+          WINDOW one AS (PARTITION BY listing_id),
+            seen AS (PARTITION BY listing_id ORDER BY first_seen, source_name, source_id)) s ON s.listing_id = id""",
         L,
         S,
     ),
 )
 def listing_with_sources(t: Tables):
-    """Sources nested in name order, and the source a listing links to."""
-    sources = I.sources(t)
-    nested = Q.with_sources(I.listings(t).select("id"), sources)
-    firsts = Q.first_sources(sources).withColumnRenamed("listing_id", "id")
-    shown = F.transform(
-        "sources", lambda s: F.concat_ws(":", s["source_name"], s["source_id"])
-    )
-    return nested.join(firsts, "id", "left").select(
+    """A row for each source in name order, and the source a listing links to."""
+    return Q.with_sources(I.listings(t).select("id"), I.sources(t)).select(
         "id",
-        F.coalesce(F.size("sources").cast("bigint"), F.lit(0)).alias("n_sources"),
-        F.coalesce(F.array_join(shown, ","), F.lit("")).alias("sources"),
+        "n_sources",
         F.col("first_source.source_name").alias("first_source"),
         F.col("first_source.source_id").alias("first_source_id"),
+        "pos",
+        "source_name",
+        "source_id",
     )
 
 

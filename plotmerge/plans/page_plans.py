@@ -14,7 +14,6 @@ from plotmerge.operators import quality
 from plotmerge.operators import refresh as R
 from plotmerge.plans import inputs as I
 from plotmerge.plans.catalog import Tables, query
-from plotmerge.schemas import LISTING, LISTING_SOURCE, empty
 from plotmerge.session import materialize
 from plotmerge.sources import layouts
 
@@ -167,21 +166,24 @@ def refresh_everything_again(t: Tables):
 @query(
     "refresh_stats",
     I.with_cte(
-        """SELECT source_name, count(*) AS discovered, CAST(0 AS BIGINT) AS skipped_known, count(*) AS fetched,
-          count(*) FILTER (WHERE reject IS NULL) AS parsed,
-          count(*) FILTER (WHERE reject IS NULL AND coalesce(lat, 0) <> 59.0) AS inserted, CAST(0 AS BIGINT) AS merged,
-          count(*) FILTER (WHERE reject IS NOT NULL OR lat = 59.0) AS errors
-        FROM expected GROUP BY ROLLUP (source_name)""",
+        """SELECT source_name, count(*) FILTER (WHERE NOT known) AS discovered, count(*) FILTER (WHERE known) AS skipped_known,
+          count(*) FILTER (WHERE NOT known) AS fetched,
+          count(*) FILTER (WHERE NOT known AND reject IS NULL) AS parsed,
+          count(*) FILTER (WHERE NOT known AND reject IS NULL AND coalesce(lat, 0) <> 59.0 AND NOT stored) AS inserted,
+          count(*) FILTER (WHERE NOT known AND reject IS NULL AND coalesce(lat, 0) <> 59.0 AND stored) AS merged,
+          count(*) FILTER (WHERE NOT known AND (reject IS NOT NULL OR lat = 59.0)) AS errors
+        FROM (SELECT *, reject IS NULL AND fault <> 15 AND h % 5 = 0 AS stored,
+            reject IS NULL AND fault <> 15 AND h % 5 = 0 AND source_url = ref_url AS known FROM expected)
+        GROUP BY ROLLUP (source_name)""",
         P,
         _EXPECTED,
     ),
 )
 def refresh_stats(t: Tables):
-    """Counters of a first refresh into an empty store."""
-    first = R.refresh(
-        I.landed_pages(t), empty(t.spark, LISTING), empty(t.spark, LISTING_SOURCE), F.lit(RUN_TS)
-    )
-    return quality.run_stats(first.outcomes)
+    """Counters of a refresh into a store that knows some of the pages."""
+    listings, sources = _store(t)
+    again = R.refresh(I.landed_pages(t), listings, sources, F.lit(RUN_TS))
+    return quality.run_stats(again.outcomes)
 
 
 @query(

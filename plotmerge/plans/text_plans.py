@@ -23,13 +23,15 @@ SELECT doc_id, text,
     WHEN 1 THEN concat('Vanaf EUR ', a, '.000 ')
     WHEN 2 THEN concat('999 € of ', a, '.000,00 € ')
     WHEN 3 THEN concat('€ ', a, ' 000 | ', a, ' 500 EUR ')
-    WHEN 4 THEN concat('€', a, ' ') ELSE '' END AS head,
+    WHEN 4 THEN concat('€', a, ' ')
+    ELSE CASE doc_id % 4 WHEN 0 THEN concat(a, '000 eur ') WHEN 1 THEN concat(a, '00 EUROPESE ') ELSE '' END END AS head,
   CASE doc_id % 7
     WHEN 0 THEN concat(' ', b, ' m2, tuin 1.', b, ' m², ', b % 9, ' slaapkamers. EPC: C+ ', b, ' kWh/m²')
     WHEN 1 THEN concat(' 1', b, '00 m2 grond, 1', b, chr(160), 'm² EPC-label B (', b, ' kWh/m2) ', b % 5, chr(160), 'SLAAPKAMERS')
     WHEN 2 THEN concat(' EPC waarde van deze woning is F. ', b, b, 'kWh/m2 12 m²')
     WHEN 3 THEN ' 19 m2, 2001 m2, slaapkamers: 3, EPC G'
     WHEN 4 THEN concat(' ', b, 'M² en 8 slaapkamers of 9 slaapkamers')
+    WHEN 5 THEN concat(' ', b, ' m ² NEPC A EPC B ', b, ' KWH / m²')
     ELSE '' END AS tail
 FROM (SELECT *, CAST(100 + n_chars % 800 AS VARCHAR) AS a, 10 + n_chars % 90 AS b FROM documents)))"""
 
@@ -48,6 +50,8 @@ def _adverts(t: Tables):
         .when(k % 6 == 2, text("999 € of ", a, ".000,00 € "))
         .when(k % 6 == 3, text("€ ", a, " 000 | ", a, " 500 EUR "))
         .when(k % 6 == 4, text("€", a, " "))
+        .when(k % 4 == 0, text(a, "000 eur "))
+        .when(k % 4 == 1, text(a, "00 EUROPESE "))
         .otherwise("")
     )
     tail = (
@@ -62,6 +66,7 @@ def _adverts(t: Tables):
         .when(k % 7 == 2, text(" EPC waarde van deze woning is F. ", b, b, "kWh/m2 12 m²"))
         .when(k % 7 == 3, " 19 m2, 2001 m2, slaapkamers: 3, EPC G")
         .when(k % 7 == 4, text(" ", b, "M² en 8 slaapkamers of 9 slaapkamers"))
+        .when(k % 7 == 5, text(" ", b, " m ² NEPC A EPC B ", b, " KWH / m²"))
         .otherwise("")
     )
     return t.spread("documents").select("doc_id", F.concat(head, "text", tail).alias("text"))
@@ -77,6 +82,10 @@ def _digits(x: str) -> str:
     return f"TRY_CAST(regexp_replace({x}, '[^0-9]', '', 'g') AS BIGINT)"
 
 
+# The comparison side has no look-around: a word boundary stands for "no letter".
+_EURO = "€|(?i:\\bEUR\\b)"
+
+
 def _plausible(pattern: str) -> str:
     return f"""list_filter(list_transform(regexp_extract_all(text, '{pattern}', 1), lambda x: {_digits('x')}),
       lambda n: n BETWEEN 1000 AND 100000000)[1]"""
@@ -86,13 +95,13 @@ _field_query(
     "price_text",
     "price",
     X.price,
-    f"""coalesce({_plausible('([0-9][0-9 ,.\\s]*)(?:€|EUR)')}, {_plausible('(?:€|EUR)\\s*([0-9][0-9 ,.\\s]*)')})""",
+    f"""coalesce({_plausible(f'([0-9][0-9 ,.\\s]*)(?:{_EURO})')}, {_plausible(f'(?:{_EURO})\\s*([0-9][0-9 ,.\\s]*)')})""",
 )
 _field_query(
     "surface_text",
     "m2",
     X.surface,
-    """list_max(list_filter(list_transform(regexp_extract_all(text, '(?i)([0-9]{2,4})\\s*m[²2]', 1),
+    """list_max(list_filter(list_transform(regexp_extract_all(text, '(?i)([0-9]{2,4})\\s*m\\s*[²2]', 1),
       lambda x: CAST(x AS BIGINT)), lambda n: n BETWEEN 20 AND 2000))""",
 )
 _field_query(
@@ -105,13 +114,13 @@ _field_query(
     "epc_text",
     "label",
     X.epc_label_in,
-    "nullif(regexp_extract(text, 'EPC[^A-Z]{0,30}([A-F]\\+?)\\b', 1), '')",
+    "nullif(regexp_extract(text, '\\bEPC[^A-Z]{0,30}([A-F]\\+?)\\b', 1), '')",
 )
 _field_query(
     "kwh_text",
     "kwh",
     X.epc_kwh_in,
-    "TRY_CAST(nullif(regexp_extract(text, '([0-9]{2,4})\\s*kWh/m', 1), '') AS BIGINT)",
+    "TRY_CAST(nullif(regexp_extract(text, '(?i)([0-9]{2,4})\\s*kWh\\s*/\\s*m', 1), '') AS BIGINT)",
 )
 
 
@@ -361,10 +370,14 @@ def street_and_city(t: Tables):
 
 @query(
     "unescape_entities",
-    """SELECT doc_id, text FROM documents""",
+    """SELECT doc_id, concat(text, chr(39), chr(39), 'A', chr(8364), chr(65533), '&bogus;', '&lt;', chr(8734)) AS text FROM documents""",
 )
 def unescape_entities(t: Tables):
-    """Whole texts, written with character references and decoded again."""
+    """Whole texts, written with character references and decoded again.
+
+    References as they come follow the text: names of either standard, leading
+    zeros, numbers that are no character, unknown names, an escaped reference.
+    """
     written = F.col("text")
     for char, reference in (
         ("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("é", "&eacute;"),
@@ -372,5 +385,8 @@ def unescape_entities(t: Tables):
     ):
         written = F.replace(written, F.lit(char), F.lit(reference))
     return t.spread("documents").select("doc_id", written.alias("w")).select(
-        "doc_id", X.unescape(F.col("w")).alias("text")
+        "doc_id",
+        X.unescape(
+            F.concat("w", F.lit("&apos;&#0000000039;&#x000000041;&#X20AC;&#99999999999;&bogus;&amp;lt;&infin;"))
+        ).alias("text"),
     )

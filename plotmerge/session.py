@@ -46,11 +46,14 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, **conf: str) ->
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder name under the cluster's shared checkpoint folder.
 
-    Only where the session names no folder (tests, a laptop) is a temporary one
-    chosen, and it is then kept as the session's setting.
+    Where the session names no folder, a local master (tests, a laptop) gets a temporary
+    one, kept as its setting; a cluster is refused, as its executors would not see it.
     """
-    base = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
+    base = spark.conf.get(CHECKPOINT_DIR, None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="plotmerge-")
         spark.conf.set(CHECKPOINT_DIR, base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

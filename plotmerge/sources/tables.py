@@ -7,6 +7,7 @@ so a lost job leaves the former version current.
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
@@ -44,8 +45,16 @@ def get_meta(spark: SparkSession, path: str, key: str) -> str | None:
     return row["value"] if row else None
 
 
+class WriteConflict(Exception):
+    """Another writer made a version while this one was written."""
+
+
 class VersionedTable:
-    """A dataset whose versions are folders below one base path."""
+    """A dataset whose versions are folders below one base path.
+
+    Every write has a folder of its own, so writers never touch each other's files. A
+    version counts from when its record is there; the record names the folder.
+    """
 
     def __init__(self, spark: SparkSession, base: str, name: str, schema: T.StructType):
         self.spark, self.base, self.name, self.schema = spark, base.rstrip("/"), name, schema
@@ -54,27 +63,37 @@ class VersionedTable:
     def _meta(self) -> str:
         return f"{self.base}/meta"
 
+    def _current(self) -> tuple[int, str]:
+        number, _, folder = (get_meta(self.spark, self._meta, f"{self.name}.version") or "0").partition(" ")
+        return int(number), folder or f"v={number}"
+
     def version(self) -> int:
-        return int(get_meta(self.spark, self._meta, f"{self.name}.version") or 0)
+        return self._current()[0]
 
-    def path(self, version: int) -> str:
-        return f"{self.base}/{self.name}/v={version}"
+    def path(self) -> str:
+        """Folder of the current version."""
+        return f"{self.base}/{self.name}/{self._current()[1]}"
 
     def read(self) -> DataFrame:
-        return read_or_empty(self.spark, self.path(self.version()), self.schema)
+        return read_or_empty(self.spark, self.path(), self.schema)
 
     def write(self, df: DataFrame, at: datetime, cluster_by: tuple[str, ...] = ()) -> int:
         """Write the next version and make it current.
 
         ``cluster_by`` range-partitions and sorts the files, so a filter on those
-        columns skips files; end it with a unique column to split hot values.
+        columns skips files; end it with a unique column to split hot values. If the
+        version has moved meanwhile, nothing is recorded and ``WriteConflict`` is raised.
         """
-        new = self.version() + 1
+        before = self._current()
+        new = before[0] + 1
+        folder = f"v={new}-{uuid.uuid4().hex[:12]}"
         out = align(df, self.schema)
         if cluster_by:
             out = out.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
-        out.write.mode("overwrite").parquet(self.path(new))
-        put_meta(self.spark, self._meta, f"{self.name}.version", str(new), at)
+        out.write.parquet(f"{self.base}/{self.name}/{folder}")
+        if self._current() != before:
+            raise WriteConflict(f"{self.name}: version {before[0]} is no longer the current one")
+        put_meta(self.spark, self._meta, f"{self.name}.version", f"{new} {folder}", at)
         return new
 
 

@@ -104,11 +104,31 @@ def test_good_listing(spark):
     assert V.accepted(checked).count() == 1 and V.quarantined(checked).count() == 0
 
 
-def test_big_listing_is_split_not_cut(spark):
-    s = spark.range(1000).select(F.when(F.col("id") < 900, "big").otherwise("small").alias("listing_id"), F.lit("s").alias("source_name"), F.col("id").cast("string").alias("source_id"))
-    rows = Q.grouped_sources(s, per_row=100).collect()
-    assert sum(len(r["sources"]) for r in rows) == 1000
-    assert max(len(r["sources"]) for r in rows) <= 150 and sum(r["listing_id"] == "small" for r in rows) == 1
+def test_sources_have_one_row_contract_at_every_size(spark):
+    s = spark.range(1000).repartition(7).select(
+        F.when(F.col("id") < 900, "big").otherwise("small").alias("listing_id"), F.lit("s").alias("source_name"),
+        F.col("id").cast("string").alias("source_id"), (1000 - F.col("id")).alias("first_seen"))
+    rows = Q.sorted_sources(s).collect()
+    for name, ids in (("big", range(900)), ("small", range(900, 1000))):
+        mine = sorted((r["pos"], r["source_id"], r["n_sources"], r["first_source"]["source_id"]) for r in rows if r["listing_id"] == name)
+        first = str(max(ids))
+        assert mine == [(k, i, len(ids), first) for k, i in enumerate(sorted(map(str, ids)), 1)]
+
+
+def test_positions_of_ties_and_gaps(spark):
+    from collections import defaultdict
+
+    from plotmerge.operators.ranking import positions
+
+    rows = [(None if k % 3 == 0 else k % 3, 10 ** (k % 17) if k % 5 else 7) for k in range(400)]
+    found = defaultdict(list)
+    for r in positions(spark.createDataFrame(rows, "k int, o long").repartition(5), ["k"], ["o"]).collect():
+        found[r["k"]].append((r["pos"], r["o"]))
+    for mine in found.values():
+        mine.sort()
+        assert [n for n, _ in mine] == list(range(1, len(mine) + 1))
+        assert [o for _, o in mine] == sorted(o for _, o in mine)
+    assert sum(map(len, found.values())) == 400
 
 
 def test_filters_are_pushed_to_the_scan(spark, tmp_path):
@@ -123,9 +143,9 @@ def test_filters_are_pushed_to_the_scan(spark, tmp_path):
 
 def test_listing_without_sources_stays(spark):
     listings = spark.createDataFrame([("1",), ("2",)], "id string")
-    sources = spark.createDataFrame([("1", "b", "2"), ("1", "a", "1")], "listing_id string, source_name string, source_id string")
-    got = {r["id"]: r["sources"] and [tuple(s) for s in r["sources"]] for r in Q.with_sources(listings, sources).collect()}
-    assert got == {"1": [("a", "1"), ("b", "2")], "2": None}
+    sources = spark.createDataFrame([("1", "b", "2", 1), ("1", "a", "1", 2)], "listing_id string, source_name string, source_id string, first_seen int")
+    got = sorted((r["id"], r["n_sources"], r["pos"], r["source_name"], r["source_id"]) for r in Q.with_sources(listings, sources).collect())
+    assert got == [("1", 2, 1, "a", "1"), ("1", 2, 2, "b", "2"), ("2", 0, None, None, None)]
 
 
 def test_jitter_range_and_stability(spark):
