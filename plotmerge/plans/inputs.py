@@ -250,7 +250,10 @@ def _residence_page():
             AT_type=wanted,
             name=c("title"),
             description=c("about"),
-            url=F.when(h % 2 == 0, F.concat("url", F.lit("#advert"))),
+            url=F.when(h % 8 == 0, F.concat("url", F.lit("#advert"))).when(
+                h % 2 == 0,
+                F.concat(F.lit("https://www.site0.example/nl/"), "pc", F.lit("-"), "slug", F.lit("/te-koop/huis/5550000000"), "id", F.lit("-advert/")),
+            ),
             address=_obj(
                 streetAddress=c("straat"),
                 postalCode=F.when(c("fault") != 9, c("pc")),
@@ -307,7 +310,13 @@ def _product_house_page():
             description=c("about"),
             image=F.array("hoofd_foto_url", F.lit("https://img.example/second.jpg")),
             sku=F.when(h % 3 != 0, F.concat(F.lit("P"), "id")),
-            offers=_obj(price=c("prijs_eur").cast("string"), url=F.when(h % 2 == 0, F.concat("url", F.lit("?o=1")))),
+            offers=_obj(
+                price=c("prijs_eur").cast("string"),
+                url=F.when(
+                    h % 12 == 6,
+                    F.concat(F.lit("https://www.site1.example/te-koop/"), "pc", F.lit("-"), "slug", F.lit("/6660000000"), "id"),
+                ).when(h % 2 == 0, F.concat("url", F.lit("?o=1"))),
+            ),
         )
     )
     house = F.to_json(
@@ -316,8 +325,10 @@ def _product_house_page():
             address=_obj(
                 streetAddress=c("straat"),
                 postalCode=F.when(c("fault") != 9, c("postcode")),
-                addressLocality=F.when(c("fault") != 11, c("gemeente")),
+                addressLocality=F.when((c("fault") != 11) & ~((c("fault") == 13) & (h % 3 == 1)), c("gemeente")),
             ),
+            description=F.lit("Nieuwbouw, maar niet dit huis"),
+            image=F.lit("https://img.example/house.jpg"),
             geo=_obj(latitude=F.lit(50.5), longitude=F.lit(4.5)),
         )
     )
@@ -382,7 +393,7 @@ def _classified_page():
     kind, staat = c("type"), c("staat")
     advert = F.to_json(
         _obj(
-            id=F.when(h % 3 != 0, c("k") + 1_000_000),
+            id=F.when(h % 9 != 0, c("k") + 1_000_000),
             title=c("title"),
             description=c("about"),
             url=F.when(h % 2 == 0, F.concat("url", F.lit("?c=1"))),

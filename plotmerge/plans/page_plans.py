@@ -25,11 +25,14 @@ _EXPECTED = """expected AS (
 SELECT k, h, fault, url AS ref_url, created_at AS fetched_at,
   ['zimmo', 'immoscoop', 'immovlan', 'immoweb'][1 + k % 4] AS source_name,
   CASE k % 4
-    WHEN 0 THEN CASE WHEN fault = 13 THEN NULL ELSE id END
-    WHEN 1 THEN CASE WHEN fault = 7 THEN id WHEN h % 3 <> 0 THEN concat('P', id) WHEN fault = 13 THEN NULL ELSE id END
+    WHEN 0 THEN CASE WHEN fault = 13 OR h % 8 = 0 THEN NULL WHEN h % 2 = 0 THEN concat('5550000000', id) ELSE id END
+    WHEN 1 THEN CASE WHEN fault = 7 THEN id WHEN h % 3 <> 0 THEN concat('P', id) WHEN fault = 13 OR h % 12 = 0 THEN NULL
+      WHEN h % 12 = 6 THEN concat('6660000000', id) ELSE id END
     WHEN 2 THEN CASE WHEN fault = 13 THEN NULL ELSE concat('vbe', id) END
-    ELSE CASE WHEN fault <> 7 AND h % 3 <> 0 THEN CAST(k + 1000000 AS VARCHAR) WHEN fault = 13 THEN NULL ELSE id END END AS source_id,
+    ELSE CASE WHEN fault <> 7 AND h % 9 <> 0 THEN CAST(k + 1000000 AS VARCHAR) END END AS source_id,
   CASE WHEN fault = 7 OR k % 4 = 2 OR h % 2 = 1 THEN url
+    WHEN k % 4 = 0 AND h % 8 <> 0 THEN concat('https://www.site0.example/nl/', postcode, '-', slug, '/te-koop/huis/5550000000', id, '-advert/')
+    WHEN k % 4 = 1 AND h % 12 = 6 THEN concat('https://www.site1.example/te-koop/', postcode, '-', slug, '/6660000000', id)
     ELSE concat(url, ['#advert', '?o=1', '', '?c=1'][1 + k % 4]) END AS source_url,
   CASE k % 4
     WHEN 1 THEN CASE WHEN fault = 13 OR fault <> 9 AND fault <> 7 THEN postcode ELSE postcode END
@@ -43,22 +46,23 @@ SELECT k, h, fault, url AS ref_url, created_at AS fetched_at,
     WHEN k % 8 = 3 THEN concat_ws(' ', straat, CAST(k % 50 AS VARCHAR)) ELSE straat END AS straat,
   CASE WHEN fault = 7 THEN NULL WHEN k % 4 = 1 THEN coalesce(page_lat, 50.5) ELSE page_lat END AS lat,
   CASE WHEN fault = 7 THEN NULL WHEN k % 4 = 1 THEN CASE WHEN h % 10 = 3 THEN 4.5 ELSE coalesce(lng, 4.5) END ELSE lng END AS lng,
-  CASE WHEN fault = 7 THEN NULL WHEN k % 4 = 1 AND prijs_eur IS NULL AND h % 2 = 0 THEN 123456 ELSE prijs_eur END AS prijs_eur,
+  CASE WHEN fault <> 7 THEN prijs_eur END AS prijs_eur,
   CASE WHEN fault = 7 THEN 'other' ELSE type END AS type,
   CASE WHEN fault = 7 THEN NULL WHEN k % 4 IN (1, 2) AND oppervlakte_bewoonbaar_m2 < 20 THEN NULL ELSE oppervlakte_bewoonbaar_m2 END AS oppervlakte_bewoonbaar_m2,
   CASE WHEN fault = 7 THEN NULL WHEN k % 4 = 3 THEN nullif(slaapkamers, 0) ELSE slaapkamers END AS slaapkamers,
   CASE WHEN fault <> 7 THEN epc_label END AS epc_label,
   CASE WHEN fault <> 7 THEN epc_kwh END AS epc_kwh,
-  CASE WHEN fault <> 7 THEN staat END AS staat,
+  CASE WHEN fault <> 7 AND NOT (k % 4 = 2 AND h % 4 = 1) THEN staat END AS staat,
   CASE WHEN fault <> 7 THEN title ELSE '' END AS titel,
-  CASE WHEN fault = 7 THEN '' WHEN k % 4 IN (1, 2) THEN substr(about, 1, 500) ELSE about END AS korte_beschrijving,
+  CASE WHEN fault = 7 OR k % 4 = 2 AND h % 4 = 1 THEN '' WHEN k % 4 IN (1, 2) THEN substr(about, 1, 500) ELSE about END AS korte_beschrijving,
   CASE WHEN fault = 7 THEN NULL WHEN hoofd_foto_url IS NULL AND k % 4 = 1 THEN NULL ELSE hoofd_foto_url END AS hoofd_foto_url,
   CASE k % 4
-    WHEN 0 THEN CASE fault WHEN 7 THEN 'no_residence_block' WHEN 9 THEN 'no_postcode' WHEN 11 THEN 'no_city' WHEN 13 THEN 'no_id_in_url' END
-    WHEN 1 THEN CASE WHEN fault = 7 THEN 'no_product_or_house_block' WHEN fault = 13 AND h % 3 = 0 THEN 'no_id' END
+    WHEN 0 THEN CASE fault WHEN 7 THEN 'no_residence_block' WHEN 9 THEN 'no_postcode' WHEN 11 THEN 'no_city' WHEN 13 THEN 'no_id_in_url' ELSE CASE WHEN h % 8 = 0 THEN 'no_id_in_url' END END
+    WHEN 1 THEN CASE WHEN fault = 7 THEN 'no_product_or_house_block' WHEN fault = 13 AND h % 3 = 1 THEN 'no_city'
+      WHEN fault = 13 AND h % 3 = 0 OR h % 12 = 0 THEN 'no_id' END
     WHEN 2 THEN CASE WHEN fault = 13 THEN 'url_not_parseable' END
     ELSE CASE WHEN fault = 7 THEN 'no_page_state' WHEN fault = 9 THEN 'no_postcode' WHEN fault = 11 THEN 'no_city'
-      WHEN fault = 13 AND h % 3 = 0 THEN 'no_id' END END AS reject
+      WHEN h % 9 = 0 THEN 'no_id' END END AS reject
 FROM page1), good AS (
 SELECT *, md5(concat(source_name, ':', source_id)) AS fingerprint FROM expected
 WHERE reject IS NULL AND fault <> 15)"""

@@ -117,31 +117,41 @@ def _texts(*parts: Column) -> Column:
     return F.concat_ws(" ", *parts)
 
 
+def _told(description: Column, name: Column) -> Column:
+    """Text that the condition is read from: the description, a title only without one."""
+    return F.coalesce(X.blank_to_null(description), name)
+
+
 def residence(p: Page) -> Layout:
-    """One linked-data object of a residence-like type has everything."""
+    """One linked-data object of a residence-like type has everything.
+
+    The advert is the one that the object's own URL names; the page's URL counts only
+    where the object has none.
+    """
     main = p.slot["main"]
     street, postcode, city = _address(J.child(main, "address"))
     name = X.strip(J.as_string(J.child(main, "name")))
     description = X.strip(J.as_string(J.child(main, "description")))
-    advert = p.grammar.advert_id(p.url)
+    kind = J.as_string(J.first_or_self(J.child(main, "@type")))
+    declared = F.coalesce(X.blank_to_null(J.as_string(J.child(main, "url"))), p.url)
     geo = J.child(main, "geo")
     return Layout(
         slots={"main": M.node_of_types(p.nodes, RESIDENCE_TYPES)},
         fields={
-            "source_id": advert,
-            "source_url": F.coalesce(X.blank_to_null(J.as_string(J.child(main, "url"))), p.url),
+            "source_id": p.grammar.advert_id(declared),
+            "source_url": declared,
             "postcode": postcode,
             "gemeente": city,
             "straat": street,
             "lat": J.as_float(J.child(geo, "latitude")),
             "lng": J.as_float(J.child(geo, "longitude")),
             "prijs_eur": J.as_int(J.child(J.first_or_self(J.child(main, "offers")), "price")),
-            "type": X.property_type(_texts(name, description)),
+            "type": X.property_type(_texts(kind, name)),
             "oppervlakte_bewoonbaar_m2": J.as_int(J.child(main, "floorSize", "value")),
             "slaapkamers": J.as_int(J.child(main, "numberOfRooms")),
             "epc_label": X.epc_exact(J.as_string(J.child(main, "energyEfficiencyScaleMin"))),
             "epc_kwh": J.as_int(J.child(main, "energyConsumption")),
-            "staat": X.condition(_texts(name, description)),
+            "staat": X.condition(_told(description, name)),
             "titel": name,
             "korte_beschrijving": description,
             "hoofd_foto_url": _image(J.child(main, "image")),
@@ -156,20 +166,21 @@ def residence(p: Page) -> Layout:
 
 
 def product_house(p: Page) -> Layout:
-    """Product and House blocks; the page state has the trusted coordinates."""
+    """Product and House blocks; the page state has the trusted coordinates.
+
+    What a Product can tell (name, description, image, price) is not looked for in the
+    House or the page. Without a city the URL must be an advert's.
+    """
     product, house, state = p.slot["main"], p.slot["house"], p.slot["state"]
     street, postcode, city = _address(J.child(house, "address"))
     url_postcode = p.grammar.postcode(p.url)
-    name = X.strip(J.as_string(J.child(product, "name")))
-    description = X.strip(
-        F.coalesce(
-            X.blank_to_null(J.as_string(J.child(product, "description"))),
-            J.as_string(J.child(house, "description")),
-        )
-    )
+    main = F.coalesce(product, house)
+    name = X.strip(J.as_string(J.child(main, "name")))
+    description = X.strip(J.as_string(J.child(main, "description")))
     offer = J.first_or_self(J.child(product, "offers"))
+    declared = F.coalesce(X.blank_to_null(J.as_string(J.child(offer, "url"))), p.url)
     advert = F.coalesce(
-        X.blank_to_null(J.as_text(J.child(product, "sku"))), p.grammar.advert_id(p.url)
+        X.blank_to_null(J.as_text(J.child(product, "sku"))), p.grammar.advert_id(declared)
     )
 
     def coordinate(state_key: str, house_key: str) -> Column:
@@ -188,28 +199,27 @@ def product_house(p: Page) -> Layout:
         },
         fields={
             "source_id": advert,
-            "source_url": F.coalesce(X.blank_to_null(J.as_string(J.child(offer, "url"))), p.url),
+            "source_url": declared,
             "postcode": F.coalesce(postcode, url_postcode),
             "gemeente": F.coalesce(city, F.lit(UNKNOWN_CITY)),
             "straat": street,
             "lat": coordinate("lat", "latitude"),
             "lng": coordinate("long", "longitude"),
-            "prijs_eur": X.first_nonzero(price, X.price(p.html)),
+            "prijs_eur": price,
             "type": X.property_type(_texts(name, description)),
             "oppervlakte_bewoonbaar_m2": X.surface(p.html),
             "slaapkamers": X.bedrooms(p.html),
             "epc_label": label,
             "epc_kwh": X.epc_kwh_in(p.html),
-            "staat": X.condition(_texts(name, description)),
+            "staat": X.condition(_told(description, name)),
             "titel": name,
             "korte_beschrijving": F.substring(description, 1, DESCRIPTION_LIMIT),
-            "hoofd_foto_url": F.coalesce(
-                _image(J.child(product, "image")), _image(J.child(house, "image"))
-            ),
+            "hoofd_foto_url": _image(J.child(main, "image")),
         },
         reject=_reject(
             (product.isNull() & house.isNull(), "no_product_or_house_block"),
             (F.isnull("postcode"), "no_postcode"),
+            (city.isNull() & ~p.grammar.matches(p.url), "no_city"),
             (F.isnull("source_id"), "no_id"),
         ),
     )
@@ -222,12 +232,7 @@ def split_blocks(p: Page) -> Layout:
     spec = _texts(M.meta_content(p.metas, "twitter:description", "name"),
                   M.meta_content(p.metas, "twitter:description"), og_title)
     street, _, city = _address(address)
-    description = X.strip(
-        F.coalesce(
-            X.blank_to_null(J.as_string(J.child(house, "description"))),
-            M.meta_content(p.metas, "og:description"),
-        )
-    )
+    description = X.strip(J.as_string(J.child(house, "description")))
     advert = p.grammar.advert_id(p.url)
 
     def spec_first(read) -> Column:
@@ -248,12 +253,12 @@ def split_blocks(p: Page) -> Layout:
             "lat": J.as_float(J.child(geo, "latitude"), comma=True),
             "lng": J.as_float(J.child(geo, "longitude"), comma=True),
             "prijs_eur": spec_first(X.price),
-            "type": X.property_type(_texts(og_title, description)),
+            "type": X.property_type(spec),
             "oppervlakte_bewoonbaar_m2": spec_first(X.surface),
             "slaapkamers": spec_first(X.bedrooms),
             "epc_label": X.epc_lenient(X.epc_label_in(p.html)),
             "epc_kwh": X.epc_kwh_in(p.html),
-            "staat": X.condition(_texts(og_title, description)),
+            "staat": X.condition(_told(description, og_title)),
             "titel": F.coalesce(og_title, F.lit("")),
             "korte_beschrijving": F.substring(description, 1, DESCRIPTION_LIMIT),
             "hoofd_foto_url": M.meta_content(p.metas, "og:image"),
@@ -276,17 +281,13 @@ def classified(
     def first_int(*paths: tuple[str, ...]) -> Column:
         return X.first_nonzero(*[J.as_int(J.child(main, *q)) for q in paths])
 
-    postcode = X.first_nonzero(
-        J.as_int(J.child(address, "postalCode")), J.as_int(J.child(address, "postcode"))
-    )
+    postcode = J.as_int(J.child(address, "postalCode"))
     city = X.blank_to_null(
         X.first_nonempty(
             J.as_text(J.child(address, "city")), J.as_text(J.child(address, "locality"))
         )
     )
-    advert = X.blank_to_null(
-        X.first_nonempty(J.as_text(J.child(main, "id")), p.grammar.advert_id(p.url))
-    )
+    advert = X.blank_to_null(J.as_text(J.child(main, "id")))
     number = X.first_nonempty(
         J.as_text(J.child(address, "houseNumber")), J.as_text(J.child(address, "number"))
     )
@@ -317,7 +318,7 @@ def classified(
             "epc_kwh": first_int(("epc", "consumption"), ("epcScore",)),
             "staat": F.coalesce(
                 code(J.as_string(J.child(main, "buildingCondition")), conditions),
-                X.condition(description),
+                X.condition(_told(description, name)),
             ),
             "titel": name,
             "korte_beschrijving": description,
