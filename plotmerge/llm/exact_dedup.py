@@ -202,7 +202,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marked = docs.withColumn(own, F.unhex(F.sha2(whole_text(text_col), 256)))
 
     def those(chosen: DataFrame) -> DataFrame:
-        chosen = chosen.drop("n")
+        # Ids are as many as documents: both sides are dealt by key at every size.
+        chosen = chosen.drop("n").hint("merge")
         on = F.col(id_col).eqNullSafe(F.col(id_name)) & (F.col(own) == F.col(digest_name))
         return marked.join(chosen, on, "left_semi")
 

@@ -192,7 +192,8 @@ def draw(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         & F.col(source_col).cast("string").eqNullSafe(F.col(names["source"]))
         & (word_count(text_col) == F.col(names["size"]))
     )
-    taken = docs.join(plan, same).withColumn(
+    # The plan has as many rows as documents: both sides are dealt by key at every size.
+    taken = docs.join(plan.hint("merge"), same).withColumn(
         names["n"], F.explode(F.array_repeat(F.lit(0), F.col(names["copies"]).cast("int")))
     )
     return taken.select(*docs.columns)

@@ -196,4 +196,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kept = near_duplicates(docs, id_col, text_col).where(F.col("id").eqNullSafe(F.col("component_id")))
     name = free_name(docs, "_kept")
     kept = stored(kept.select(F.col("id").alias(name)).distinct(), "simhash-kept")
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
+    # Ids are as many as documents: both sides are dealt by key at every size.
+    return docs.join(kept.hint("merge"), F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
