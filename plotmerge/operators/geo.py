@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotmerge.operators.listing_query import MAP_LIMIT, first_sources, query_listings
-from plotmerge.schemas import POSTCODE_MAX, POSTCODE_MIN
+from plotmerge.session import materialize
 
 # ---- fixed values: spread of pins around a postcode centre ------------------
 JITTER_CELLS = 1000
@@ -52,24 +52,12 @@ def _placed(joined: DataFrame) -> DataFrame:
 def place(listings: DataFrame, centres: DataFrame | None = None) -> DataFrame:
     """Own coordinates, else the postcode's centre with jitter, else no row.
 
-    Up to ±0.0075 degrees of latitude and ±0.01 of longitude. Postcodes have four
-    digits, so the centres are at most 9,000 rows and are broadcast.
+    Up to ±0.0075 degrees of latitude and ±0.01 of longitude. Centres are one row per
+    postcode, any number counts; Spark broadcasts them where it finds them small.
     """
     if centres is None:
         centres = centroids(listings)
-    bounded = centres.where(F.col("postcode").between(POSTCODE_MIN, POSTCODE_MAX))
-    return _placed(listings.join(F.broadcast(bounded), "postcode", "left"))
-
-
-def place_limited(listings: DataFrame) -> DataFrame:
-    """``place`` for an already limited result: centres of the same rows, one pass."""
-    here = Window.partitionBy("postcode")
-    own = F.col("lat").isNotNull() & F.col("lng").isNotNull()
-    return _placed(
-        listings.withColumn("c_lat", F.avg(F.when(own, F.col("lat"))).over(here)).withColumn(
-            "c_lng", F.avg(F.when(own, F.col("lng"))).over(here)
-        )
-    )
+    return _placed(listings.join(centres, "postcode", "left"))
 
 
 def map_pins(
@@ -80,19 +68,16 @@ def map_pins(
     centroid_scope: str = "filtered",
     **filters,
 ) -> DataFrame:
-    """Pins of the filtered listings with the source each one links to."""
-    found = query_listings(listings, sources, limit=limit, **filters)
-    if centroid_scope == "all":
-        placed = place(found, centroids(listings))
-    elif limit is None:
-        placed = place(found)
-    else:
-        placed = place_limited(found)
-    links = first_sources(
-        sources if limit is None else sources.join(
-            placed.select(F.col("id").alias("listing_id")), "listing_id", "left_semi"
-        )
-    ).withColumnRenamed("listing_id", "id")
+    """Pins of the filtered listings with the source and URL each one links to.
+
+    The result is stored once: its centres, its pins and its links are read from it.
+    """
+    found = materialize(query_listings(listings, sources, limit=limit, **filters), "found")
+    placed = place(found, centroids(listings if centroid_scope == "all" else found))
+    shown = found.select(F.col("id").alias("listing_id"))
+    links = first_sources(sources.join(shown, "listing_id", "left_semi")).withColumnRenamed(
+        "listing_id", "id"
+    )
     return placed.join(links, "id", "left").select(
         "id",
         F.col("pin_lat").alias("lat"),
@@ -110,6 +95,8 @@ def map_pins(
         "hoofd_foto_url",
         F.col("first_source.source_name").alias("source_name"),
         F.col("first_source.source_id").alias("source_id"),
+        F.col("first_source.source_url").alias("source_url"),
+        "user_status",
     )
 
 

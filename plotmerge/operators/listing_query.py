@@ -109,9 +109,12 @@ def query_listings(
 
 
 def first_sources(sources: DataFrame) -> DataFrame:
-    """The source a listing is linked to: first seen, then by name and id."""
+    """The source a listing is linked to: first seen, then by name and id; with its URL."""
+    url = F.col("source_url") if "source_url" in sources.columns else F.lit(None).cast("string")
     return sources.groupBy("listing_id").agg(
-        F.min(F.struct("first_seen", "source_name", "source_id")).alias("first_source")
+        F.min(
+            F.struct("first_seen", "source_name", "source_id", url.alias("source_url"))
+        ).alias("first_source")
     )
 
 

@@ -91,7 +91,8 @@ def new_pages(pages: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFram
     known pages), and none at all where no page is known (a first load).
     """
     landed = pages.select("source_name", F.col("source_url").alias("url"))
-    flagged = materialize(flag_known(landed, sources.select("source_name", "source_url")), "landed")
+    keys = [c for c in ("source_name", "source_url", "ref_url") if c in sources.columns]
+    flagged = materialize(flag_known(landed, sources.select(*keys)), "landed")
     known = flagged.where("known")
     skipped = known.select(
         "source_name",

@@ -48,10 +48,11 @@ def place_all(t: Tables):
 
 _PINS = f"""found AS (SELECT * FROM hashed WHERE prijs_eur >= 91000 AND user_status NOT IN ('afgewezen') ORDER BY created_at DESC, id LIMIT 2000),
 pc AS (SELECT postcode, avg(lat) AS c_lat, avg(lng) AS c_lng FROM found WHERE lat IS NOT NULL AND lng IS NOT NULL GROUP BY postcode),
-pins AS ({_PLACE}, postcode, gemeente, prijs_eur, type, oppervlakte_bewoonbaar_m2 AS m2, slaapkamers, epc_label, titel, straat, hoofd_foto_url
+pins AS ({_PLACE}, postcode, gemeente, prijs_eur, type, oppervlakte_bewoonbaar_m2 AS m2, slaapkamers, epc_label, titel, straat, hoofd_foto_url, user_status
   FROM found f LEFT JOIN pc USING (postcode) WHERE f.lat IS NOT NULL AND f.lng IS NOT NULL OR c_lat IS NOT NULL),
 firsts AS (SELECT listing_id, arg_min(source_name, (first_seen, source_name, source_id)) AS source_name,
-  arg_min(source_id, (first_seen, source_name, source_id)) AS source_id FROM fx_source GROUP BY listing_id)"""
+  arg_min(source_id, (first_seen, source_name, source_id)) AS source_id,
+  arg_min(concat('https://', source_name, '.example/', source_id), (first_seen, source_name, source_id)) AS source_url FROM fx_source GROUP BY listing_id)"""
 
 _FILTERS = {"prijs_min": 91000, "exclude_user_status": ["afgewezen"]}
 
@@ -59,12 +60,13 @@ _FILTERS = {"prijs_min": 91000, "exclude_user_status": ["afgewezen"]}
 @query(
     "map_pins",
     I.with_cte(
-        "SELECT pins.*, source_name, source_id FROM pins LEFT JOIN firsts ON listing_id = id", L, S, _HASHED, _PINS
+        "SELECT pins.*, source_name, source_id, source_url FROM pins LEFT JOIN firsts ON listing_id = id", L, S, _HASHED, _PINS
     ),
 )
 def map_pins(t: Tables):
     """The newest 2,000 results as pins, centres taken from the same results."""
-    pins = geo.map_pins(I.listings(t), I.sources(t), **_FILTERS)
+    url = F.concat(F.lit("https://"), "source_name", F.lit(".example/"), "source_id")
+    pins = geo.map_pins(I.listings(t), I.sources(t).withColumn("source_url", url), **_FILTERS)
     return pins.withColumn("lat", F.round("lat", 6)).withColumn("lng", F.round("lng", 6))
 
 

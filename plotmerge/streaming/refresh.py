@@ -8,8 +8,10 @@ associative, so any split into batches gives the table one batch would give.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,17 @@ from pyspark.sql.streaming import StreamingQuery
 from plotmerge.operators import consolidate as C
 from plotmerge.operators import refresh as R
 from plotmerge.operators.frontier import KEYS
+from plotmerge.schemas import empty
+from plotmerge.sources.registry import SOURCES, SourceSpec
+
+_SOURCE_KEYS = T.StructType(
+    [
+        T.StructField("source_name", T.StringType()),
+        T.StructField("source_url", T.StringType()),
+        T.StructField("ord", T.StructType([T.StructField("ref_url", T.StringType())])),
+        T.StructField("batch", T.StringType()),
+    ]
+)
 
 
 def read_pages(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1000):
@@ -30,8 +43,14 @@ def read_pages(spark: SparkSession, path: str, schema: T.StructType, files_per_b
     return stream.parquet(path)
 
 
-def _append(df: DataFrame, base: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{base}/batch={batch_id}")
+def _folder(checkpoint: str, batch_id: int | str) -> str:
+    """Folder of a micro-batch. It names its checkpoint too, so a new checkpoint, which
+    counts from 0 again, never writes over what an earlier one has left."""
+    return f"batch=r{hashlib.md5(checkpoint.encode()).hexdigest()[:8]}-{batch_id}"
+
+
+def _append(df: DataFrame, base: str, folder: str) -> None:
+    df.write.mode("overwrite").parquet(f"{base}/{folder}")
 
 
 def fold_stream(
@@ -40,7 +59,7 @@ def fold_stream(
     """Fold a stream of observations into the state log at ``log``."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        _append(C.fold(C.lift(batch, order)), log, batch_id)
+        _append(C.fold(C.lift(batch, order)), log, _folder(checkpoint, batch_id))
 
     return _run(stream, step, checkpoint)
 
@@ -57,41 +76,70 @@ def current(spark: SparkSession, log: str, run_ts: Column) -> DataFrame:
 
 def compact(spark: SparkSession, log: str, target: str) -> None:
     """Write the folded log as the first folder of a new log."""
-    _append(folded(spark, log), target, -1)
+    _append(folded(spark, log), target, "batch=compacted")
+
+
+def compact_refresh(spark: SparkSession, base: str, target: str) -> None:
+    """Write all outputs of ``refresh_stream`` below a new base, each as one folder."""
+    compact(spark, f"{base}/listings", f"{target}/listings")
+    sources = spark.read.parquet(f"{base}/sources").drop("batch")
+    _append(_earliest(sources), f"{target}/sources", "batch=compacted")
+    for name in ("checked", "failures"):
+        _append(spark.read.parquet(f"{base}/{name}").drop("batch"), f"{target}/{name}", "batch=compacted")
 
 
 def refresh_stream(
-    pages: DataFrame, base: str, checkpoint: str, run_ts: Column, skip_known: bool = True
+    pages: DataFrame,
+    base: str,
+    checkpoint: str,
+    run_ts: Column,
+    skip_known: bool = True,
+    known: DataFrame | None = None,
+    specs: Mapping[str, SourceSpec] = SOURCES,
+    fingerprint_mode: str = "md5",
 ) -> StreamingQuery:
     """Refresh from a stream of landed pages.
 
     Below ``base``: ``checked`` (parsed rows), ``listings`` (fold states), ``sources``
     (source rows with their order) and ``failures`` (pages without a usable row).
+    Known pages are told by their URL columns and not parsed: those of earlier
+    micro-batches, and those of a store from before the stream (``known``: source_name,
+    source_url). ``compact_refresh`` keeps the number of folders small.
     """
     spark = pages.sparkSession
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        _append(R.observations(batch, run_ts), f"{base}/checked", batch_id)
-        checked = spark.read.parquet(f"{base}/checked/batch={batch_id}")
-        earlier = _earlier_urls(spark, base, batch_id) if skip_known else None
-        if earlier is not None:
-            checked = checked.join(earlier, ["source_name", "ref_url"], "left_anti")
+        folder = _folder(checkpoint, batch_id)
+        if skip_known:
+            batch, _ = R.new_pages(batch, _earlier_urls(spark, base, folder, known))
+        _append(R.observations(batch, run_ts, specs, fingerprint_mode), f"{base}/checked", folder)
+        checked = spark.read.parquet(f"{base}/checked/{folder}")
         good = R.usable(checked)
-        _append(R.failures(checked), f"{base}/failures", batch_id)
-        _append(C.fold(C.lift(good, "ord")), f"{base}/listings", batch_id)
-        _append(_earliest(R.page_sources(good)), f"{base}/sources", batch_id)
+        _append(R.failures(checked), f"{base}/failures", folder)
+        _append(C.fold(C.lift(good, "ord")), f"{base}/listings", folder)
+        _append(_earliest(R.page_sources(good)), f"{base}/sources", folder)
 
     return _run(pages, step, checkpoint)
 
 
-def _earlier_urls(spark: SparkSession, base: str, batch_id: int) -> DataFrame | None:
-    """URLs stored by earlier micro-batches, as declared and as discovered."""
-    if batch_id == 0:
-        return None
-    rows = spark.read.parquet(f"{base}/sources").where(F.col("batch") < batch_id)
-    declared = rows.select("source_name", F.col("source_url").alias("ref_url"))
-    found = rows.select("source_name", "ord.ref_url")
-    return declared.unionByName(found).distinct()
+def _earlier_urls(
+    spark: SparkSession, base: str, folder: str, known: DataFrame | None
+) -> DataFrame:
+    """URLs stored before this micro-batch, as declared and as discovered."""
+    try:
+        rows = spark.read.schema(_SOURCE_KEYS).parquet(f"{base}/sources")
+    except AnalysisException as e:  # the first micro-batch
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = empty(spark, _SOURCE_KEYS)
+    # A retry must not see what its own first attempt has written.
+    rows = rows.where(F.coalesce("batch", F.lit("")) != folder.removeprefix("batch="))
+    urls = rows.select("source_name", "source_url", F.col("ord.ref_url").alias("ref_url"))
+    if known is not None:
+        urls = urls.unionByName(
+            known.select("source_name", "source_url", F.lit(None).cast("string").alias("ref_url"))
+        )
+    return urls
 
 
 def _earliest(rows: DataFrame) -> DataFrame:

@@ -70,3 +70,31 @@ def test_page_stream_equals_batch_refresh(spark, tmp_path):
     assert rows(S.current_sources(spark, base), *source) == rows(whole.sources, *source)
     bad = whole.outcomes.where(F.col("message").isNotNull())
     assert rows(spark.read.parquet(f"{base}/failures"), "ref_url", "message") == rows(bad, "ref_url", "message")
+
+
+def test_page_stream_restarts_and_skips_what_is_stored(spark, tmp_path):
+    """A new checkpoint on the same base writes beside the old folders and parses nothing again."""
+    pages = I.landed_pages(Tables(spark, SF_DIR))
+    pages.repartition(2, "source_url").write.parquet(str(tmp_path / "pages"))
+    base, names = str(tmp_path / "out"), ["fingerprint", "id", "prijs_eur", "titel"]
+
+    def run(checkpoint, into=base, **more):
+        stream = S.read_pages(spark, str(tmp_path / "pages"), RAW_PAGE, files_per_batch=1)
+        S.refresh_stream(stream, into, str(tmp_path / checkpoint), F.lit(RUN), **more).awaitTermination()
+
+    run("ck1")
+    before = rows(S.current(spark, f"{base}/listings", F.lit(RUN)), *names)
+    parsed = spark.read.parquet(f"{base}/checked").where("reject IS NULL and size(reasons) = 0").count()
+    run("ck2")
+    assert rows(S.current(spark, f"{base}/listings", F.lit(RUN)), *names) == before
+    assert len([p for p in (tmp_path / "out" / "listings").iterdir() if p.name.startswith("batch=")]) == 4
+    again = spark.read.parquet(f"{base}/checked").where("reject IS NULL and size(reasons) = 0").count()
+    assert again == parsed
+    S.compact_refresh(spark, base, str(tmp_path / "small"))
+    assert rows(S.current(spark, f"{tmp_path}/small/listings", F.lit(RUN)), *names) == before
+    # A store from before the stream: its pages are left alone, the others come in.
+    known = spark.read.parquet(f"{base}/sources").where("source_name = 'zimmo'").selectExpr("source_name", "ord.ref_url AS source_url")
+    run("ck3", into=str(tmp_path / "new"), known=known, fingerprint_mode="blake2b")
+    got = spark.read.parquet(f"{tmp_path}/new/sources")
+    assert "zimmo" not in {r["source_name"] for r in got.select("source_name").distinct().collect()}
+    assert got.count() > 0
