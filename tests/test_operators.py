@@ -200,3 +200,63 @@ def test_error_samples(spark):
     df = spark.createDataFrame([("x", i, f"m{i}") for i in range(8)] + [("y", 1, "only")], "source_name string, o int, message string")
     got = {r["source_name"]: (r["errors"], r["messages"], r["suppressed"]) for r in quality.error_samples(df, "o").collect()}
     assert got == {"x": (8, ["m0", "m1", "m2", "m3", "m4"], 3), "y": (1, ["only"], 0)}
+
+
+def test_known_pages_are_told_by_their_urls(spark):
+    """No body is needed to tell them, and every known page is counted."""
+    from plotmerge.operators import refresh as R
+
+    pages = spark.createDataFrame(
+        [("a", "u1", b"x"), ("a", "u2", b"x"), ("b", "u1", b"x"), ("a", "u2", b"y")], "source_name string, source_url string, body binary")
+    known = spark.createDataFrame([("a", "u2"), ("c", "u1")], "source_name string, source_url string")
+    new, skipped = R.new_pages(pages, known)
+    assert new.columns == pages.columns
+    assert sorted((r["source_name"], r["source_url"]) for r in new.collect()) == [("a", "u1"), ("b", "u1")]
+    assert [(r["source_name"], r["ref_url"], r["stage"]) for r in skipped.collect()] == [("a", "u2", "skipped_known")] * 2
+    none, nothing = R.new_pages(pages, known.where("source_name = 'c'"))
+    assert none.count() == 4 and nothing.count() == 0
+
+
+def test_rules_see_the_query(spark):
+    df = spark.createDataFrame([("https://a/x?page=2",), ("https://a/x?p=2",), ("https://a?page=1",)], "url string")
+    rules = spark.createDataFrame([("a", 1, False, "/x?page="), ("a", 2, False, "/?")], "host string, ord int, allow boolean, prefix string")
+    assert [r["allowed"] for r in Fr.admit(df, rules).orderBy("url").collect()] == [True, False, False]
+
+
+def test_a_second_writer_is_noticed(spark, tmp_path):
+    from datetime import datetime
+
+    from plotmerge.schemas import META
+
+    one = tables.VersionedTable(spark, str(tmp_path), "meta_rows", META)
+    two = tables.VersionedTable(spark, str(tmp_path), "meta_rows", META)
+    rows = spark.createDataFrame([("k", "v", datetime(2024, 1, 1))], META)
+    assert one.write(rows, datetime(2024, 1, 1)) == 1
+    before, calls = two._current(), []
+    real = two._current
+    # The other writer finishes between this one's start and its end.
+    def current():
+        calls.append(1)
+        if len(calls) == 2:
+            one.write(rows.union(rows), datetime(2024, 1, 2))
+        return real()
+    two._current = current
+    with pytest.raises(tables.WriteConflict):
+        two.write(rows, datetime(2024, 1, 3))
+    assert before[0] == 1 and one.version() == 2 and one.read().count() == 2
+
+
+def test_shared_folder_is_refused_on_a_cluster_without_one():
+    from plotmerge.session import shared_dir
+
+    class Conf(dict):
+        set = dict.__setitem__
+
+    class Session:
+        conf = Conf({"spark.master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        shared_dir(Session, "x")
+    Session.conf = Conf({"spark.master": "local[2]"})
+    first = shared_dir(Session, "x")
+    assert first.rsplit("/", 1)[0] == Session.conf["spark.checkpoint.dir"] == shared_dir(Session, "y").rsplit("/", 1)[0]
