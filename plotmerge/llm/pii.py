@@ -48,7 +48,26 @@ PATTERNS = {
              r"|\(\d{2,4}\) ?\d{3,4}[ .-]\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4}|0\d{2,4}[ /-]\d{3,8})(?!\d)",
     "person": rf"(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'-]++(?: \p{{Lu}}[\p{{L}}'-]++)?",
 }
-PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+
+
+def _any_of(*kinds: str) -> str:
+    return "(?:" + "|".join(f"(?:{PATTERNS[k]})" for k in kinds) + ")"
+
+
+#: All patterns, in their order. Inside a word one look back rules most of them out.
+_NOT_INSIDE = r"(?<![\p{L}\p{N}])"
+PATTERN = (
+    f"{_NOT_INSIDE}{_any_of('email', 'secret', 'iban')}|(?=\\d){_any_of('ip', 'card', 'ssn')}"
+    f"|{_NOT_INSIDE}{_any_of('phone', 'person')}"
+)
+
+
+def may_hold_entity(text: Column) -> Column:
+    """What every entity needs: a digit, an at sign, a key's beginning or a form of address."""
+    marks = text.rlike("[0-9@]|gh[a-z]_")
+    for word in ("sk-", "AKIA", *MALE, *FEMALE, *NEUTRAL):
+        marks = marks | text.contains(word)
+    return marks
 
 _SCRIPTS = {
     "latin": ("abcdefghijklmnopqrstuvwxyz", "ba do fe gi ka lo mi nu pe ra so ti ve wo zu sha", ("a", "o", "e")),
@@ -237,7 +256,7 @@ def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """All columns of ``docs`` with the text replaced, and the number of its entities."""
     text = F.col(text_col)
     matches = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    has = F.coalesce(text.rlike(PATTERN), F.lit(False))
+    has = F.coalesce(may_hold_entity(text) & text.rlike(PATTERN), F.lit(False))
     found = stored(docs.where(has).select(
         F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), matches.alias("raws")
     ).dropDuplicates(["id", "h"]), "pii-found")
