@@ -214,6 +214,42 @@ def test_line_dedup_of_large_meetings(spark, monkeypatch):
     assert all(g["kept"] for g in got if g["id"] >= 100)
 
 
+def test_line_dedup_of_drifting_chains(spark, monkeypatch):
+    """Variants that drift off a template meet in one bucket only: no link between them is lost."""
+    for name, value in (("SMALL", 3), ("LEADERS", 2), ("CHUNK", 16)):
+        monkeypatch.setattr(line_dedup, name, value, raising=False)
+    rng, texts = np.random.default_rng(11), []
+    for chain in range(3):
+        words = [f"term{chain}x{k}" for k in range(24)]
+        for _ in range(20):
+            texts.append(" ".join(words))
+            words = list(words)
+            words[rng.integers(0, 24)] = f"new{rng.integers(0, 10**6)}"
+    rows = list(zip(rng.permutation(len(texts)).tolist(), texts, strict=True))
+    content = spark.createDataFrame(rows, "h long, content string")
+    met = content.select(F.lit(1).cast("long").alias("bucket"), "h", F.lit(len(rows)).cast("long").alias("n"))
+    found = {r["u"]: r["v"] for r in components(line_dedup.links(met, content), "test").collect()}
+    want = {}
+    for places in brute_lines([{"doc_id": h, "text": t} for h, t in rows]).values():
+        want |= {h: min(places)[1] for _, h, _ in places}
+    assert {h: found.get(h, h) for h, _ in rows} == want
+
+
+def test_sketches_discard_no_link(spark):
+    """A pair that the sketches discard is below the threshold."""
+    rng = np.random.default_rng(3)
+    base = [f"w{k}" for k in range(40)]
+    texts = [" ".join(str(rng.integers(0, 9)) if rng.random() < p else w for w in base) for p in (0, 0.02, 0.05, 0.1) for _ in range(20)]
+    texts = sorted(set(texts) | {"abcdefg", "abcdefgh", "abc"})
+    content = spark.createDataFrame(list(enumerate(texts)), "h long, content string")
+    rows = line_dedup.sketches(content)
+    pairs = rows.join(rows.toDF(*[f"r_{c}" for c in rows.columns]), F.col("h") < F.col("r_h"))
+    open_pairs = {(r["h"], r["r_h"]) for r in pairs.where(line_dedup._may_be_similar()).collect()}
+    sets = [{s[k : k + 7] for k in range(max(1, len(s) - 6))} for s in texts]
+    close = {(a, b) for b in range(len(sets)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert close and close <= open_pairs and len(open_pairs) < len(sets) * (len(sets) - 1) // 2
+
+
 def test_line_dedup_texts(docs):
     new = line_dedup.without_repeats(docs)
     assert new.columns == docs.columns and new.count() == docs.count()
