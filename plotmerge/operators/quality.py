@@ -11,7 +11,7 @@ from plotmerge.functions import json_values as J
 from plotmerge.session import materialize
 
 # ---- fixed values ----------------------------------------------------------
-GEO_WORDS = ("lat", "lng", "longitude", "geo", "coord", "location", "position")
+GEO_WORDS = ("lat", "lng", "long", "geo", "coord", "location", "position")
 ERROR_SAMPLES = 5
 PROFILED_LIST_ITEMS = 5
 PREVIEW_LENGTH = 80

@@ -260,3 +260,9 @@ def test_shared_folder_is_refused_on_a_cluster_without_one():
     Session.conf = Conf({"spark.master": "local[2]"})
     first = shared_dir(Session, "x")
     assert first.rsplit("/", 1)[0] == Session.conf["spark.checkpoint.dir"] == shared_dir(Session, "y").rsplit("/", 1)[0]
+
+
+def test_location_words_find_long_keys(spark):
+    docs = spark.createDataFrame([('{"place": {"long": 4.5, "longitude": 3, "name": "x"}}',)], "doc string")
+    got = quality.json_key_profile(docs, "doc", words=quality.GEO_WORDS).collect()
+    assert {r["path"] for r in got} == {"place.long", "place.longitude"}
