@@ -213,7 +213,8 @@ def parts_of(raw: Column) -> Column:
     return (
         F.when(kind == "email", email).when(kind == "phone", phone)
         .when((kind == "person") & (last == ""), one_name).when(kind == "person", two_names)
-        .otherwise(F.array(part(kind, F.length(plain), plain, raw)))
+        # Addresses of all lengths share a scope: a draw may be longer or shorter than its original.
+        .otherwise(F.array(part(kind, F.when(kind == "ip", "").otherwise(F.length(plain).cast("string")), plain, raw)))
     )
 
 

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plotmerge.llm import html_text, pii, topk, warc
 
@@ -225,5 +226,18 @@ def test_surrogates_stay_distinct_when_draws_collide(spark):
     assert not {r["text"].split("@")[0] for r in got} & {t.split("@")[0] for _, t in rows}
 
 
+def draws_of(spark, raws):
+    docs = spark.createDataFrame(list(enumerate(raws)), "doc_id long, text string")
+    return {r["doc_id"]: r["text"] for r in pii.pseudonymise(docs).collect()}
+
+
+def test_addresses_of_all_lengths_stay_distinct(spark):
+    rng = np.random.default_rng(2)
+    raws = sorted({f"192.168.{a}.{b}" for a, b in rng.integers(0, 256, (3000, 2))} | {f"10.0.{k % 256}.{k // 256}" for k in range(500)})
+    got = draws_of(spark, raws)
+    assert len(set(got.values())) == len(raws) and not set(got.values()) & set(raws)
+    assert all(got[k].startswith(r[: r.index(".") + 1]) for k, r in enumerate(raws))
+
+
 def test_surrogates_of_nothing(spark):
     assert pii.pseudonymise(spark.createDataFrame([], "doc_id long, text string")).count() == 0
