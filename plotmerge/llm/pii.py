@@ -7,7 +7,10 @@ replaces, in the form of the original: digits for digits under the same punctuat
 check digit where there was one, letters of the same script and case, a given name of the
 same gender, an address octet in range, a private network again. Draws that collide with
 each other, or with anything that occurs in the corpus, are drawn again until all
-replacements are distinct. Texts without an entity are never shuffled.
+replacements are distinct. Of a form with few values (short phone numbers, private networks)
+whose originals fill much of it, unused values are dealt out in a keyed order; if they do not
+suffice, the originals are permuted without a fixed point, and a replacement is then another
+original of its form. Texts without an entity are never shuffled.
 
 Defined results: a null text stays null and has no entities; texts without entities are
 returned as they are; rows that repeat an id and text get equal results; an empty table
@@ -23,10 +26,13 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotmerge.llm.common import free_name, stored
+from plotmerge.llm.common import free_name, rank_in_class, stored
 
 #: Key of the hash for tests and examples; pass a secret one.
 KEY = "surrogate-key"
+#: A form is not drawn from once its originals are one in so many of its values.
+FULL = 4
+_BLOCK = 1 << 14
 
 # Forms of address by gender.
 MALE = ["Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "господин", "Господин"]
@@ -233,13 +239,75 @@ def in_form_of(piece: Column, kind: Column, drawn: Column) -> Column:
     ).otherwise(cased)
 
 
+def _form(kind: Column, norm: Column) -> tuple[Column, Column]:
+    """The fixed part and the number of values of a form that has few; null for all others.
+
+    The draws of cards, account numbers and keys have 10^10 values at least, and mail
+    addresses, domains and names grow with every redraw.
+    """
+    digits = kind.isin("phone", "ssn")
+    private = F.coalesce(
+        F.nullif(F.regexp_extract(norm, r"^(192\.168\.|172\.(1[6-9]|2\d|3[01])\.)", 1), F.lit("")),
+        F.nullif(F.regexp_extract(norm, r"^(10\.|127\.)", 1), F.lit("")),
+    )
+    form = F.when(digits, "").when(kind == "ip", private)
+    free = 4 - F.size(F.split(private, r"\.")) + 1
+    return form, F.when(digits, F.pow(F.lit(10.0), F.length(norm))).when(kind == "ip", F.pow(F.lit(254.0), free))
+
+
+def _dense(entities: DataFrame, taken: DataFrame, key: str) -> tuple[DataFrame | None, DataFrame]:
+    """Replacements for forms that are too full to draw from, and the entities of all others.
+
+    All values of such a form are listed. If enough of them occur nowhere, the originals get
+    those in a keyed order; otherwise each original gets the next one in a keyed order.
+    """
+    form, values = _form(F.col("kind"), F.col("norm"))
+    same = ["kind", "scope", "form"]
+    formed = stored(entities.withColumn("form", form).withColumn("values", values), "pii-forms")
+    sizes = formed.where("form is not null").groupBy(*same).agg(F.count("*").alias("n"), F.max("values").alias("values"))
+    full = stored(sizes.where(F.col("n") * FULL > F.col("values")), "pii-full")
+    if full.isEmpty():
+        return None, entities
+
+    def ranked(rows: DataFrame, name: str) -> DataFrame:
+        h = F.sha2(F.concat_ws("\x1f", F.lit(key), "kind", "value"), 256)
+        return stored(rank_in_class(rows.withColumn("_h", h), same, f"{name}-ranked").drop("_h"), name)
+
+    old = ranked(formed.join(full.drop("values", "n"), same).select(*same, F.col("norm").alias("value")), "pii-old")
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("values") / _BLOCK) - 1)).alias("block")
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_BLOCK - 1).cast("long"))).alias("at")
+    places = full.select(*same, "values", block).repartition("kind", "scope", "form", "block").select(*same, "values", "block", at)
+    places = places.select(*same, (F.col("block") * _BLOCK + F.col("at")).alias("k"), "values").where("k < values")
+    octet = [(F.floor(F.col("k") / 254**j) % 254 + 1).cast("string") for j in range(3)]
+    address = F.when(F.length("form") > 4, F.concat("form", octet[1], F.lit("."), octet[0])).otherwise(
+        F.concat("form", octet[2], F.lit("."), octet[1], F.lit("."), octet[0])
+    )
+    value = F.when(F.col("kind") == "ip", address).otherwise(F.lpad(F.col("k").cast("string"), F.col("scope").cast("int"), "0"))
+    unused = places.select(*same, value.alias("value")).join(
+        taken.withColumnRenamed("drawn", "value"), ["kind", "scope", "value"], "left_anti"
+    ).select(*same, "value")
+    unused = ranked(unused, "pii-unused")
+    enough = unused.groupBy(*same).agg(F.count("*").alias("unused"))
+    old = old.join(full.select(*same, "n"), same).join(enough, same, "left")
+    fits = F.coalesce(F.col("unused") >= F.col("n"), F.lit(False))
+    to_unused = old.where(fits).join(unused.withColumnRenamed("value", "drawn"), [*same, "_rank"])
+    following = old.select(*same, F.col("value").alias("drawn"), F.pmod(F.col("_rank") - 1, F.col("n")).alias("_rank"))
+    permuted = old.where(~fits).join(following, [*same, "_rank"])
+    columns = ["kind", "scope", F.col("value").alias("norm"), "drawn"]
+    done = stored(to_unused.select(*columns).union(permuted.select(*columns)), "pii-accepted")
+    return done, stored(entities.join(done, ["kind", "scope", "norm"], "left_anti"), "pii-pending")
+
+
 def distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, scope, norm, drawn): draws that differ from each other and from all originals."""
+    """(kind, scope, norm, drawn): draws that differ from each other and from all originals.
+
+    Where the originals leave too few values of their form, they are permuted.
+    """
     same = ["kind", "scope"]
     taken = entities.select(*same, F.col("norm").alias("drawn"))
     # Addresses are compared by their part before the sign, within their domain.
     taken = taken.withColumn("drawn", F.when(F.col("kind") == "local", F.regexp_extract("drawn", "^([^@]+)@", 1)).otherwise(F.col("drawn")))
-    pending, accepted = entities, None
+    accepted, pending = _dense(entities, taken, key)
     for attempt in count():
         drawn = stored(pending.withColumn("drawn", surrogate(F.col("kind"), F.col("norm"), key, attempt)), "pii-drawn")
         good = drawn.groupBy(*same, "drawn").agg(F.min("norm").alias("norm")).join(taken, [*same, "drawn"], "left_anti")

@@ -239,5 +239,15 @@ def test_addresses_of_all_lengths_stay_distinct(spark):
     assert all(got[k].startswith(r[: r.index(".") + 1]) for k, r in enumerate(raws))
 
 
+@pytest.mark.parametrize("n", [45, 80])
+def test_surrogates_of_full_forms(spark, n):
+    """Two digits behind the country: unused numbers while they suffice, then a permutation."""
+    raws = [f"+12{k:02d}" for k in range(n)]
+    got = draws_of(spark, raws)
+    assert len(set(got.values())) == n and all(len(t) == 5 and t.startswith("+12") for t in got.values())
+    assert all(got[k] != raws[k] for k in range(n))
+    assert set(got.values()) == set(raws) if n > 50 else not set(got.values()) & set(raws)
+
+
 def test_surrogates_of_nothing(spark):
     assert pii.pseudonymise(spark.createDataFrame([], "doc_id long, text string")).count() == 0
