@@ -46,9 +46,12 @@ PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
     "secret": r"(?<![0-9A-Za-z])(?:(?=[0-9a-fA-F]{0,128}?\d)(?=\d{0,128}[a-fA-F])[0-9a-fA-F]{32,128}"
               r"|AKIA[0-9A-Z]{16}|gh[a-z]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64})(?![0-9A-Za-z])",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2} ?(?:[A-Z]{4} ?)?(?:\d{4} ?){2,7}(?:\d{1,3})?(?<! )(?![\p{L}\p{N}])",
+    # 11 to 30 letters and digits in groups of four; a last group without a digit is a word behind it.
+    "iban": r"(?<![\p{L}\p{N}])(?=[A-Z]{2}\d{2})(?:SC\d{2}(?: ?[A-Z0-9]{4}){6} ?[A-Z]{3}|[A-Z]{2}\d{2}(?=(?: ?[A-Z0-9]){11})"
+            r"(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?<=\d[A-Z]{0,3}|\d[A-Z]{1,3} UR)"
+            r"|[A-Z]{2}\d{2} ?(?:[A-Z]{4} ?)?(?:\d{4} ?){2,7}(?:\d{1,3})?(?<! ))(?![\p{L}\p{N}])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
-    "card": r"(?<!\d)(?:\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{13,19})(?!\d)".replace(r"([ -])", "[ -]").replace(r"\1", "[ -]"),
+    "card": r"(?<!\d)(?:\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\1\d{4,5}|\d{13,19})(?!\d)".replace(r"([ -])", "[ -]").replace(r"\1", "[ -]"),
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}"
              r"|\(\d{2,4}\) ?\d{3,4}[ .-]\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4}|0\d{2,4}[ /-]\d{3,8})(?!\d)",

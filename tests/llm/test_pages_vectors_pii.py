@@ -249,5 +249,17 @@ def test_surrogates_of_full_forms(spark, n):
     assert set(got.values()) == set(raws) if n > 50 else not set(got.values()) & set(raws)
 
 
+@pytest.mark.parametrize("raw, kind", [
+    ("FR14 2004 1010 0505 0001 3M02 606", "iban"), ("IT60 X054 2811 1010 0000 0123 456", "iban"), ("NO93 8601 1117 947", "iban"),
+    ("MT84 MALT 0110 0001 2345 MTLC AST0 01S", "iban"), ("IT60X0542811101000000123456", "iban"), ("BE68 5390 0754 7034", "iban"),
+    ("MU17 BOMM 0101 1010 3030 0200 000M UR", "iban"), ("SC18 SSCB 1101 0000 0000 0000 1497 USD", "iban"),
+    ("3714 496353 98431", "card"), ("3714-496353-98431", "card"), ("3056 930902 5904", "card"),
+])
+def test_patterns_match_whole_entities(spark, raw, kind):
+    docs = spark.createDataFrame([(f"pay {raw} EUR, now",)], "text string")
+    found = docs.select(F.regexp_extract_all("text", F.lit(pii.PATTERN), F.lit(0)).alias("r"), pii.type_of(F.lit(raw)).alias("k")).first()
+    assert found["r"] == [raw] and found["k"] == kind
+
+
 def test_surrogates_of_nothing(spark):
     assert pii.pseudonymise(spark.createDataFrame([], "doc_id long, text string")).count() == 0
