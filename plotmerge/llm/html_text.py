@@ -45,6 +45,12 @@ BLOCKS = {
     "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p",
     "pre", "section", "summary", "table", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
+INLINE = {
+    "a", "abbr", "acronym", "audio", "b", "bdi", "bdo", "big", "canvas", "cite", "code", "data", "del", "dfn", "em",
+    "font", "i", "ins", "kbd", "label", "map", "mark", "meter", "nobr", "output", "picture", "progress", "q", "rp",
+    "rt", "ruby", "s", "samp", "slot", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var",
+    "video",
+}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 SIBLINGS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr"}, "th": {"tr"}}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
@@ -62,6 +68,7 @@ MARKED = {"article": 2, "main": 1}
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _HIDDEN = re.compile(r"""\shidden(?=[\s>/=])|display\s*:\s*none""", re.I)
+_HREF = re.compile(r"""[\s"'/]href\s*=""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -114,7 +121,9 @@ def lines_of(html: str) -> list[tuple[str, int, int]]:
     """(text, characters inside links, mark) of each block; left-out elements are gaps."""
     lines: list[tuple[str, int, int]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # name, left out, mark
+    stack: list[list] = []  # name (empty once ended inside an open block), left out, mark, link
+    where: dict[str, list[int]] = {}  # places of the open elements of each name in the stack
+    blocks: list[int] = []  # places of the open blocks
     out = links = 0  # open elements that are left out; open links
     linked = 0
     mark = 0
@@ -130,12 +139,31 @@ def lines_of(html: str) -> list[tuple[str, int, int]]:
 
     def pop() -> str:
         nonlocal out, links, mark
-        name, dropped, _ = stack.pop()
+        name, dropped, _, link = stack.pop()
+        if name:
+            where[name].pop()
+            if name in BLOCKS:
+                blocks.pop()
         out -= dropped
-        links -= name == "a"
+        links -= link
         mark = stack[-1][2] if stack else 0
         return name
 
+    def close(name: str) -> None:
+        """End the innermost open element of a name, at any depth."""
+        nonlocal out, links
+        if not where.get(name):
+            return
+        k = where[name][-1]
+        if name not in BLOCKS and blocks and blocks[-1] > k:  # blocks inside stay open
+            where[name].pop()
+            out -= stack[k][1]
+            links -= stack[k][3]
+            stack[k][0], stack[k][1], stack[k][3] = "", False, False
+            return
+        while len(stack) > k:
+            pop()
+
     at, quotes, size = 0, True, len(html)
     while at < size:
         start = html.find("<", at)
@@ -166,9 +194,7 @@ def lines_of(html: str) -> list[tuple[str, int, int]]:
         if html[start + 1] == "/":
             if name in BLOCKS:
                 flush()
-            if any(n == name for n, _, _ in reversed(stack[-64:])):
-                while pop() != name:
-                    pass
+            close(name)
             continue
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(html, at)
@@ -182,7 +208,7 @@ def lines_of(html: str) -> list[tuple[str, int, int]]:
         if block:
             flush()
             while stack and stack[-1][0] not in BLOCKS:  # inline elements left open
-                if stack[-1][1] or stack[-1][0] == "a":
+                if stack[-1][1] or stack[-1][3]:
                     break
                 pop()
             if stack and stack[-1][0] == "p":
@@ -198,16 +224,22 @@ def lines_of(html: str) -> list[tuple[str, int, int]]:
                         while len(stack) > k:
                             pop()
                         break
-        if name in VOID:
+        if name in VOID or html[at - 2 : at] == "/>" and not block and name not in INLINE | LEFT_OUT:
             continue
+        if name == "a":
+            close(name)
+        link = name == "a" and _HREF.search(html, start, at) is not None
         dropped = _left_out(name, html[start:at], mark)
         if dropped:
             flush()
             lines.extend([("", 0, 0)] * WINDOW)
         mark = max(mark, MARKED.get(name, 0))
-        stack.append((name, dropped, mark))
+        where.setdefault(name, []).append(len(stack))
+        if block:
+            blocks.append(len(stack))
+        stack.append([name, dropped, mark, link])
         out += dropped
-        links += name == "a"
+        links += link
     flush()
     return lines
 

@@ -84,6 +84,16 @@ HTML_CASES = {
 }
 
 
+HTML_CASES |= {  # end tags of elements at any depth, tags of unknown names, links
+    "<nav>" + "<a href=x>x" * 100 + f"</nav><p>{LONG}</p>": LONG,
+    "<aside>" + "<fb:like/>" * 100 + f"</aside><p>{LONG}</p>": LONG,
+    "<form>" + "<span>x" * 100 + f"</form><p>{LONG}</p>": LONG,
+    f"<body><a name=top><p>{LONG}</p><p>{LONG}</p>": f"{LONG}\n{LONG}",
+    f"<nav><a href=x>x<div>y</a></div></nav><div><p>{LONG}</p></div>": LONG,
+    f"<i><article><p>One.</i><p>Two.</p></article><p>{LONG}</p>": "One.\nTwo.",
+}
+
+
 @pytest.mark.parametrize("html", HTML_CASES)
 def test_main_text(html):
     assert html_text.main_text(html) == HTML_CASES[html]
