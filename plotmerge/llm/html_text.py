@@ -1,13 +1,18 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-Markup is stripped to lines, one per block of the page; scripts, styles, comments and the
-elements that pages mark as menu, header, footer, sidebar, notice, advert, form or reader
-comments leave a gap of blank lines. The text lengths of every ``WINDOW`` lines in a row
-are summed. Between two sums of zero lies one stretch of text; it counts from the point
-where its sums surge over a threshold to the point where they dive to zero, and it is kept
-whole, so short paragraphs inside stay. Where the page marks its article, lines outside
-are blank and any text surges; elsewhere a stretch needs ``SURGE`` characters in a window,
-lines that are mostly links count as blank, and the highest stretch always counts.
+Markup is stripped to lines, one per block of the page; scripts, styles, comments, hidden
+elements and those whose element name or role says menu, header, footer, aside, form or
+notice leave a gap of blank lines. Lines are dealt to classes by what holds them: an article,
+main without it, neither, or a container that a class or id calls advert, comments and the
+like. In each class the text lengths of every ``WINDOW`` lines in a row are summed. Between
+two sums of zero lies one stretch of text; it counts from the point where its sums, times
+the weight of the class, surge to ``SURGE`` to the point where they dive to zero, and it is
+kept whole, so short paragraphs inside stay. The innermost mark has the weight ``MARK``, so
+nearly any text in it surges; where it holds less than the rest of main, it marks teasers,
+and main weighs 1. Other lines weigh 1 on pages without marks, and less beside marks or in
+cued containers. Outside the innermost mark, lines that are mostly links count as blank. A stretch
+that does not surge stays if its neighbour does and has the same container. If nothing
+surges, cued containers count as any other, and at last the highest stretch without a cue.
 
 Defined results: null html is empty and gives an empty text; unclosed elements, comments
 and tags end where HTML ends them, at the latest with the page; repeated rows are each
@@ -32,6 +37,8 @@ from plotmerge.llm.common import whole_text
 WINDOW = 3
 #: Characters in a window from which on a stretch of an unmarked page is text.
 SURGE = 80
+#: Weights: in the innermost mark, of main beside larger articles, outside marks, of a cue.
+MARK, BESIDE, OUTSIDE, CUED = SURGE, 1 / 4, 1 / 16, 1 / 32
 #: Share of a line's characters inside links that makes it a menu line.
 LINKS = 0.6
 
@@ -62,6 +69,9 @@ CUES = {
     "related", "recommended", "widget", "toolbar", "pagination", "pager", "masthead", "topbar", "skip", "copyright",
 }
 HEADER_CUES = {"header"}
+#: Words beside 'widget' with which a page builder names the parts of an article.
+CONTENT_WORDS = {"content", "article", "entry", "post", "story", "text", "heading", "title"}
+PARAGRAPHS = {"p", "li", "dt", "dd", "blockquote", "pre", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6"}
 LAYOUT_WORDS = {"has", "no", "with", "without", "layout", "wrapper", "page"}
 MARKED = {"article": 2, "main": 1}
 
@@ -95,35 +105,40 @@ def _tag_end(html: str, at: int, quotes: bool) -> tuple[int, bool]:
     return end + 1, quotes
 
 
-def _left_out(name: str, tag: str, marked: int) -> bool:
-    """Whether an element is one of those that are not the article."""
+def _left_out(name: str, tag: str, marked: int) -> tuple[bool, bool]:
+    """Whether an element is left out, and whether its class or id is a cue against it."""
     if name in LEFT_OUT or name == "header" and not marked:
-        return True
+        return True, False
     if "=" not in tag and "hidden" not in tag or name in ("html", "body"):
-        return False
+        return False, False
     if _HIDDEN.search(tag):
-        return True
+        return True, False
     given = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(tag)}
     if given.get("role", "").lower() in ROLES:
-        return True
+        return True, False
     for names in (given.get("class", "").split(), given.get("id", "").split()):
         for one in names:
             words = {w.lower() for w in _WORD.findall(one)}
-            if words & CUES and not words & LAYOUT_WORDS:
+            cues = words & CUES
+            if cues == {"widget"} and words & CONTENT_WORDS:
+                continue
+            if cues and not words & LAYOUT_WORDS:
                 if name not in MARKED or words & {"comment", "comments", "reply"}:
-                    return True
+                    return False, True
             if words & HEADER_CUES and not marked and name not in MARKED and not words & LAYOUT_WORDS:
-                return True
-    return False
+                return False, True
+    return False, False
 
 
-def lines_of(html: str) -> list[tuple[str, int, int]]:
-    """(text, characters inside links, mark) of each block; left-out elements are gaps."""
-    lines: list[tuple[str, int, int]] = []
+def lines_of(html: str) -> list[tuple[str, int, int, bool, int]]:
+    """(text, characters inside links, mark, cue, container) of each block; left-out elements are gaps."""
+    lines: list[tuple[str, int, int, bool, int]] = []
     parts: list[str] = []
-    stack: list[list] = []  # name (empty once ended inside an open block), left out, mark, link
+    stack: list[list] = []  # name (empty once ended inside an open block), left out, mark, link, cue
     where: dict[str, list[int]] = {}  # places of the open elements of each name in the stack
     blocks: list[int] = []  # places of the open blocks
+    holders = [0]  # open containers of paragraphs, numbered in their order
+    opened = cued = 0  # containers so far; open elements with a cue
     out = links = 0  # open elements that are left out; open links
     linked = 0
     mark = 0
@@ -133,25 +148,28 @@ def lines_of(html: str) -> list[tuple[str, int, int]]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                lines.append((text, linked, mark))
+                lines.append((text, linked, mark, cued > 0, holders[-1]))
             parts.clear()
             linked = 0
 
     def pop() -> str:
-        nonlocal out, links, mark
-        name, dropped, _, link = stack.pop()
+        nonlocal out, links, mark, cued
+        name, dropped, _, link, cue = stack.pop()
         if name:
             where[name].pop()
             if name in BLOCKS:
                 blocks.pop()
+                if name not in PARAGRAPHS:
+                    holders.pop()
         out -= dropped
+        cued -= cue
         links -= link
         mark = stack[-1][2] if stack else 0
         return name
 
     def close(name: str) -> None:
         """End the innermost open element of a name, at any depth."""
-        nonlocal out, links
+        nonlocal out, links, cued
         if not where.get(name):
             return
         k = where[name][-1]
@@ -159,7 +177,8 @@ def lines_of(html: str) -> list[tuple[str, int, int]]:
             where[name].pop()
             out -= stack[k][1]
             links -= stack[k][3]
-            stack[k][0], stack[k][1], stack[k][3] = "", False, False
+            cued -= stack[k][4]
+            stack[k][0], stack[k][1], stack[k][3], stack[k][4] = "", False, False, False
             return
         while len(stack) > k:
             pop()
@@ -208,7 +227,7 @@ def lines_of(html: str) -> list[tuple[str, int, int]]:
         if block:
             flush()
             while stack and stack[-1][0] not in BLOCKS:  # inline elements left open
-                if stack[-1][1] or stack[-1][3]:
+                if stack[-1][1] or stack[-1][3] or stack[-1][4]:
                     break
                 pop()
             if stack and stack[-1][0] == "p":
@@ -229,45 +248,86 @@ def lines_of(html: str) -> list[tuple[str, int, int]]:
         if name == "a":
             close(name)
         link = name == "a" and _HREF.search(html, start, at) is not None
-        dropped = _left_out(name, html[start:at], mark)
-        if dropped:
+        dropped, cue = _left_out(name, html[start:at], mark)
+        if dropped or cue:
             flush()
-            lines.extend([("", 0, 0)] * WINDOW)
+            lines.extend([("", 0, 0, False, 0)] * WINDOW)
         mark = max(mark, MARKED.get(name, 0))
         where.setdefault(name, []).append(len(stack))
         if block:
             blocks.append(len(stack))
-        stack.append([name, dropped, mark, link])
+            if name not in PARAGRAPHS:
+                opened += 1
+                holders.append(opened)
+        stack.append([name, dropped, mark, link, cue])
+        cued += cue
         out += dropped
         links += link
     flush()
     return lines
 
 
-def main_text(html: str) -> str:
-    lines = lines_of(html)
-    if not lines:
-        return ""
-    marks = np.array([m for _, _, m in lines])
-    lengths = np.array([len(t) for t, _, _ in lines])
-    scope = max((m for (t, _, m) in lines if t), default=0)
-    if scope:
-        lengths[marks < scope] = 0
-    else:
-        linked = np.array([n for _, n, _ in lines])
-        lengths[linked > LINKS * np.maximum(lengths, 1)] = 0
+def _stretches(lengths: np.ndarray) -> list[tuple[int, int, int]]:
+    """(first line, behind the last, highest window sum) between every two sums of zero."""
     # A gap on both sides; window k holds the lines k .. k + WINDOW - 1.
     padded = np.concatenate([np.zeros(WINDOW, int), lengths, np.zeros(WINDOW, int)])
     total = np.cumsum(padded)
     windows = total[WINDOW:] - total[:-WINDOW]
     dives = np.flatnonzero(windows == 0)
-    surge = 1 if scope else min(SURGE, int(windows.max()))
-    kept = np.zeros(len(padded), bool)
-    for a, b in zip(np.append(-1, dives), np.append(dives, len(windows)), strict=True):
-        if b > a + 1 and windows[a + 1 : b].max() >= max(surge, 1):
-            kept[a + 1 : b + WINDOW] = True
-    kept = kept[WINDOW : WINDOW + len(lines)] & (lengths > 0)
-    return "\n".join(lines[k][0] for k in np.flatnonzero(kept))
+    spans = zip(np.append(-1, dives), np.append(dives, len(windows)), strict=True)
+    return [(max(a + 1 - WINDOW, 0), min(b, len(lengths)), windows[a + 1 : b].max()) for a, b in spans if b > a + 1]
+
+
+def _surging(lengths: np.ndarray, holders: np.ndarray, weight: float, surge: float) -> np.ndarray:
+    """The lines of the stretches that surge, and of their neighbours in the same container."""
+    spans, kept = _stretches(lengths), np.zeros(len(lengths), bool)
+    good = [weight * top >= surge for _, _, top in spans]
+    ends = []
+    for a, b, _ in spans:
+        full = a + np.flatnonzero(lengths[a:b])
+        ends.append((holders[full[0]], holders[full[-1]]))
+    joined = list(good)
+    if any(good):
+        for order in (range(1, len(spans)), range(len(spans) - 2, -1, -1)):
+            for k in order:
+                other = k - 1 if order.step > 0 else k + 1
+                near, far = (ends[k][0], ends[other][1]) if order.step > 0 else (ends[k][1], ends[other][0])
+                joined[k] = joined[k] or joined[other] and near == far
+    for (a, b, _), keep in zip(spans, joined, strict=True):
+        if keep:
+            kept[a:b] = True
+    return kept & (lengths > 0)
+
+
+def main_text(html: str) -> str:
+    lines = lines_of(html)
+    if not lines:
+        return ""
+    texts, linked, marks, cues, holders = (list(c) for c in zip(*lines, strict=True))
+    linked, marks, cues, holders = np.array(linked), np.array(marks), np.array(cues), np.array(holders)
+    lengths = np.array([len(t) for t in texts])
+    scope = int(marks[(lengths > 0) & ~cues].max(initial=0))
+    sums = [int(lengths[(marks == m) & ~cues].sum()) for m in range(3)]
+    teasers = scope == 2 and sums[1] > sums[2]  # articles that hold less than the rest of main
+
+    def weight(m: int) -> float:
+        if scope == 0 or m == 1 and teasers:
+            return 1
+        return MARK if m == scope else BESIDE if m else OUTSIDE
+
+    text = np.where(linked > LINKS * np.maximum(lengths, 1), 0, lengths)
+    text[(marks == scope) & (scope > 0)] = lengths[(marks == scope) & (scope > 0)]
+    kept = np.zeros(len(lines), bool)
+    for m in range(3):
+        kept |= _surging(np.where((marks == m) & ~cues, text, 0), holders, weight(m), SURGE)
+        kept |= _surging(np.where((marks == m) & cues, text, 0), holders, min(weight(m), 1) * CUED, SURGE)
+    if not kept.any():
+        kept = _surging(text, holders, 1, SURGE)
+    if not kept.any():
+        plain = np.where(cues, 0, text)
+        top = max((t for _, _, t in _stretches(plain)), default=0)
+        kept = _surging(plain, holders, 1, max(top, 1))
+    return "\n".join(texts[k] for k in np.flatnonzero(kept))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -93,6 +93,15 @@ HTML_CASES |= {  # end tags of elements at any depth, tags of unknown names, lin
     f"<i><article><p>One.</i><p>Two.</p></article><p>{LONG}</p>": "One.\nTwo.",
 }
 
+HTML_CASES |= {  # marks and cues are weights
+    f"<main><h1>T</h1><p>{LONG}</p><p>{LONG}</p><div><article>teaser</article></div></main>": f"T\n{LONG}\n{LONG}\nteaser",
+    f"<main><article><p>{LONG}</p><p>{LONG}</p></article><section><p>more</p></section></main>": f"{LONG}\n{LONG}",
+    f"<div><p>{LONG}</p><div class=ad>Buy</div><p>Last one.</p><div class=share>Share</div></div>": f"{LONG}\nLast one.",
+    f"<div class='elementor-widget-theme-post-content'><p>{LONG}</p></div>": LONG,
+    f"<div class='widget'><article><p>{LONG}</p><p>Of.</p></article></div>": f"{LONG}\nOf.",
+    f"<article><p>{LONG}</p></article><div><p>{LONG * 16}</p></div>": f"{LONG}\n{LONG * 16}",
+}
+
 
 @pytest.mark.parametrize("html", HTML_CASES)
 def test_main_text(html):
