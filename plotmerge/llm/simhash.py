@@ -66,14 +66,19 @@ def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): the fingerprint of every document, as a signed long."""
+    """(id, text_h, fp): a hash and the fingerprint of every document's text, as signed longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(t.as_py()) for t in batch[1]), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch[0], pa.array(found.view(np.int64))], ["id", "fp"])
-
-    return docs.select(F.col(id_col).cast("long"), whole_text(text_col)).mapInArrow(run, "id bigint, fp bigint")
+            found = np.fromiter((fingerprint(t.as_py()) for t in batch[2]), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays(
+                [batch[0], batch[1], pa.array(found.view(np.int64))], ["id", "text_h", "fp"]
+            )
+
+    text = whole_text(text_col)
+    return docs.select(F.col(id_col).cast("long"), F.xxhash64(text), text).mapInArrow(
+        run, "id bigint, text_h bigint, fp bigint"
+    )
 
 
 def _block_masks(blocks: int) -> list[int]:
@@ -180,21 +185,42 @@ def _with_end(batches):
     yield None
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component_id): every document with the smallest id of its component."""
+def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text_h, fp, root, component_id) of every document; the root names the component."""
     found = stored(fingerprints(docs, id_col, text_col), "fingerprints")
     nodes = stored(found.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
     roots = components(links(nodes.select("fp")), "simhash").select(F.col("u").alias("fp"), F.col("v").alias("root"))
     nodes = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = stored(nodes.join(least, "root").select("fp", "component_id"), "simhash-components")
-    return found.join(of_fp, "fp").select("id", "fp", "component_id")
+    of_fp = stored(nodes.join(least, "root").select("fp", "root", "component_id"), "simhash-components")
+    return found.join(of_fp, "fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp, component_id): every document with the smallest id of its component."""
+    return _judged(docs, id_col, text_col).select("id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose id is the smallest of their component, with all their columns."""
-    kept = near_duplicates(docs, id_col, text_col).where(F.col("id").eqNullSafe(F.col("component_id")))
-    name = free_name(docs, "_kept")
-    kept = stored(kept.select(F.col("id").alias(name)).distinct(), "simhash-kept")
-    # Ids are as many as documents: both sides are dealt by key at every size.
-    return docs.join(kept.hint("merge"), F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
+    """One document of each component, with all its columns: one with the smallest id.
+
+    Rows are found again by id and text. Where several rows of a component have its smallest
+    id, the text with the least hash stays, and rows that repeat both are reduced to one.
+    """
+    rows = _judged(docs, id_col, text_col).groupBy("root", "id", "text_h").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_h", "n")).alias("first")
+    name = {k: free_name(docs, f"_kept_{k}") for k in ("id", "text", "own")}
+    kept = stored(rows.groupBy("root").agg(first).select(
+        F.col("first.id").alias(name["id"]), F.col("first.text_h").alias(name["text"]), F.col("first.n").alias("n")
+    ), "simhash-kept")
+    marked = docs.withColumn(name["own"], F.xxhash64(whole_text(text_col)))
+    on = F.col(id_col).eqNullSafe(F.col(name["id"])) & (F.col(name["own"]) == F.col(name["text"]))
+
+    def those(chosen: DataFrame) -> DataFrame:
+        # Ids are as many as documents: both sides are dealt by key at every size.
+        return marked.join(chosen.drop("n").hint("merge"), on, "left_semi")
+
+    out = those(kept.where("n = 1"))
+    if not kept.where("n > 1").isEmpty():
+        out = out.union(those(kept.where("n > 1")).dropDuplicates([id_col, name["own"]]))
+    return out.drop(name["own"])

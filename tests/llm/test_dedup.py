@@ -112,6 +112,17 @@ def test_simhash(docs, no_docs):
     assert simhash.keep_one(docs).columns == docs.columns
 
 
+def test_simhash_keeps_one_row_of_each_component(spark):
+    """Id 7 is the smallest of one component and another row's id in the component of 3."""
+    one, two = ([f"{w}{k}" for k in range(200)] for w in ("left", "right"))
+    near = " ".join(one[:-1] + ["end"])
+    rows = [(3, " ".join(one)), (7, near), (7, " ".join(two)), (9, " ".join(two)), (7, " ".join(two)), (7, " ".join(two[:-1] + ["end"]))]
+    assert all(bin(brute_fingerprint(a) ^ brute_fingerprint(b)).count("1") <= 4 for a, b in ((rows[0][1], near), (rows[2][1], rows[5][1])))
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == [3, 7]
+    assert next(r["text"] for r in kept if r["doc_id"] == 7).startswith("right")
+
+
 def test_simhash_long_text_in_steps():
     text = " ".join(str(k % 977) for k in range(70_000))
     words = text.split()
