@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotmerge.llm import exact_dedup, html_text, line_dedup, mixing, packing, pii, simhash, topk, toxicity, warc
+from plotmerge.llm import (
+    exact_dedup,
+    html_text,
+    line_dedup,
+    mixing,
+    packing,
+    pii,
+    resampling,
+    simhash,
+    topk,
+    toxicity,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -140,3 +152,62 @@ def op3_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced by surrogates."""
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its importance weight and, if drawn, its rank."""
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return resampling.resample(docs, target).select(
+        F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank"
+    )
+
+
+#: The checksum of a feature, byte by byte over the table of all byte checksums.
+ORACLE_SQL["op11_importance_resampling"] = r"""
+WITH crc AS MATERIALIZED (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i] || range(8),
+      lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) r(i))
+), texts AS (
+  SELECT 'd' AS side, row_number() OVER () AS n, doc_id, text FROM documents
+  UNION ALL SELECT 'b', row_number() OVER (), NULL, text FROM benchmark
+), split AS MATERIALIZED (
+  SELECT side, n, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM texts
+), features AS MATERIALIZED (
+  SELECT side, n, unnest(w || list_transform(range(1, len(w)),
+    lambda i: w[i] || ' ' || w[i + 1])) AS f
+  FROM split
+), buckets AS MATERIALIZED (
+  SELECT f, xor(list_reduce([4294967295] || list_transform(range(octet_length(encode(f))),
+      lambda i: CAST('0x' || substr(hex(encode(f)), CAST(2 * i + 1 AS INT), 2) AS BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT f FROM features), crc
+), counts AS (
+  SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t
+  FROM features JOIN buckets USING (f) GROUP BY bucket
+), totals AS (SELECT sum(s) AS s, sum(t) AS t FROM counts
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST((c.t + 1) * (a.s + 10000) AS DOUBLE)
+    / CAST((c.s + 1) * (a.t + 10000) AS DOUBLE))) AS BIGINT) AS gain
+  FROM counts c, totals a
+), weights AS (
+  SELECT n, count(*) AS n_features, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight
+  FROM features JOIN buckets USING (f) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY n
+), scored AS (
+  SELECT n, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features,
+    coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || doc_id), 1, 8)
+      AS BIGINT) + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score
+  FROM split LEFT JOIN weights USING (n) WHERE side = 'd'
+), ranked AS (
+  SELECT n, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS total
+  FROM scored WHERE n_words >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * total // 100 THEN rank END AS rank
+FROM scored LEFT JOIN ranked USING (n)
+"""
