@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from functools import cache
+from pathlib import Path
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -19,10 +23,27 @@ SESSION_CONF = {
 }
 
 
+SHIPPED = "plotmerge.shipped"
+
+
+@cache
+def packaged() -> str:
+    """This package as a zip file on the driver's disk, from where Spark hands it out."""
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="plotmerge-py-")) / package.name
+    return shutil.make_archive(str(target), "zip", package.parent, package.name)
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Set the runtime options the operators rely on."""
+    """Set the runtime options the operators rely on, and hand the package to the Python workers."""
     for key, value in SESSION_CONF.items():
         spark.conf.set(key, value)
+    if spark.conf.get(SHIPPED, None) != packaged():
+        try:
+            spark.sparkContext.addPyFile(packaged())
+        except PySparkException:  # a remote session has no context
+            spark.addArtifacts(packaged(), pyfile=True)
+        spark.conf.set(SHIPPED, packaged())
     return spark
 
 
