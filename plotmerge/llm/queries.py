@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plotmerge.llm import (
     exact_dedup,
     html_text,
+    license_scan,
     line_dedup,
     mixing,
     packing,
@@ -211,3 +212,81 @@ WITH crc AS MATERIALIZED (
 SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * total // 100 THEN rank END AS rank
 FROM scored LEFT JOIN ranked USING (n)
 """
+
+
+@query
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its licences."""
+    return license_scan.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def _values(rows) -> str:
+    def cell(value):
+        return "'" + value.replace("'", "''") + "'" if isinstance(value, str) else str(value)
+
+    return "VALUES " + ", ".join("(" + ", ".join(map(cell, row)) + ")" for row in rows)
+
+
+#: Votes of rare words by relative position, then the key phrases read at their places.
+ORACLE_SQL["op12_license_scan"] = r"""
+WITH base(label, p) AS (
+  SELECT label, regexp_extract_all(text, '[a-z0-9]+') FROM (%(base)s) b(label, text)
+), templates(t, label, p) AS (
+  SELECT t, label, regexp_extract_all(lower(text), '[a-z0-9]+') FROM (%(templates)s) b(t, label, text)
+), keys(t, p) AS (
+  SELECT t, regexp_extract_all(text, '[a-z0-9]+') FROM (%(keys)s) b(t, text)
+), d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), words AS MATERIALIZED (
+  SELECT r, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM d
+), places AS MATERIALIZED (
+  SELECT r, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + len(p)] = p)) AS pos
+  FROM d, base
+), passages AS (
+  SELECT t, unnest(p) AS word, generate_subscripts(p, 1) - 1 AS q FROM templates
+), held AS (
+  SELECT word, count(DISTINCT r) AS n FROM words
+  WHERE word IN (SELECT word FROM passages) GROUP BY word
+), idf AS (
+  SELECT word, CAST(floor(1000 * ln(CAST(1 + (SELECT count(*) FROM d) AS DOUBLE)
+    / (1 + coalesce(n, 0)))) AS BIGINT) AS idf
+  FROM (SELECT DISTINCT word FROM passages) LEFT JOIN held USING (word)
+), ordered AS (
+  SELECT t, word, idf, row_number() OVER (PARTITION BY t ORDER BY idf DESC, word) AS k,
+    count(*) OVER (PARTITION BY t) AS n
+  FROM (SELECT DISTINCT t, word FROM passages) JOIN idf USING (word)
+), postings AS (
+  SELECT t, word, q, idf FROM passages JOIN ordered USING (t, word)
+  WHERE k <= least(%(rare)d, (n + 1) // 2)
+), totals AS (SELECT t, sum(idf) AS total FROM postings GROUP BY t
+), votes AS (
+  SELECT r, t, pos - q AS position, sum(idf) AS mass
+  FROM words JOIN postings USING (word) GROUP BY ALL
+), checks AS (
+  SELECT t, p, list_filter(range(len(whole)), lambda i: whole[i + 1:i + len(p)] = p)[1] AS q
+  FROM keys JOIN (SELECT t, p AS whole FROM templates) USING (t)
+), found AS (
+  SELECT r, label, CAST(mass AS DOUBLE) / CAST(total AS DOUBLE) AS score
+  FROM votes v JOIN totals USING (t) JOIN templates USING (t) JOIN d USING (r)
+  WHERE mass * 2 >= total AND v.t NOT IN (
+    SELECT c.t FROM checks c WHERE c.t = v.t
+      AND (position + q < 0 OR w[position + q + 1:position + q + len(c.p)] <> c.p))
+), own AS (SELECT r, list(label) AS labels, max(score) AS score FROM found GROUP BY r
+), b AS (
+  SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(label) AS labels
+  FROM places GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  array_to_string(list_sort(list_distinct(coalesce(b.labels, []))), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(coalesce(b.labels, []) || coalesce(own.labels, []))), ',') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(own.score, 0.0) END AS score
+FROM d LEFT JOIN b USING (r) LEFT JOIN own USING (r)
+""" % {
+    "base": _values(license_scan.BASE),
+    "templates": _values((t, x.label, x.text) for t, x in enumerate(license_scan.TEMPLATES)),
+    "keys": _values((t, key) for t, x in enumerate(license_scan.TEMPLATES) for key in x.keys),
+    "rare": license_scan.RARE_WORDS,
+}
