@@ -170,7 +170,7 @@ def words(text: Column) -> Column:
 
 
 def _array(values: list[str]) -> Column:
-    return F.array(*map(F.lit, values))
+    return F.array(*map(F.lit, values)).cast("array<string>")
 
 
 def _places(phrase: list[str], at: str = "_words", spelled: str = "_spelled") -> Column:
@@ -217,24 +217,27 @@ def _scanned(docs: DataFrame, id_col: str, text_col: str, base, keys, indexed: l
         F.col(id_col).cast("long").alias("id"), words(whole_text(text_col)).alias("_words")
     ).withColumn("_spelled", F.array_join("_words", " "))
 
+    none = F.array().cast("array<struct<k:int,at:int>>")
+
     def numbered(k: int, phrase: list[str]) -> Column:
         return F.transform(_places(phrase), lambda i: F.struct(F.lit(k).alias("k"), i.alias("at")))
 
     def tagged(phrases: list[list[str]]) -> Column:
-        return F.flatten(F.array(*[numbered(k, p) for k, p in enumerate(phrases)]))
+        found = [numbered(k, p) for k, p in enumerate(phrases)]
+        return F.flatten(F.array(*found)) if found else none
 
     hits = F.array_compact(F.transform(
         "_words", lambda w, i: F.when(w.isin(indexed), F.struct(w.alias("word"), i.alias("at")))
     ))
     # Without an indexed word there is no vote that a key phrase could confirm.
     votes = F.arrays_overlap("_words", _array(indexed))
-    no_hits, no_keys = F.array().cast("array<struct<word:string,at:int>>"), F.array().cast("array<struct<k:int,at:int>>")
+    no_hits = F.array().cast("array<struct<word:string,at:int>>")
     return stored(
         found.select(
             F.monotonically_increasing_id().alias("_row"), "id",
             F.size("_words").cast("long").alias("n_words"),
             tagged([split_words(p) for _, p in base]).alias("_base"),
-            F.when(votes, tagged(keys)).otherwise(no_keys).alias("_keys"),
+            F.when(votes, tagged(keys)).otherwise(none).alias("_keys"),
             F.when(votes, hits).otherwise(no_hits).alias("_hits"),
         ),
         "licence-places",
