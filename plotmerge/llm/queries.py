@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotmerge.llm import (
+    alignment,
     exact_dedup,
     html_text,
     license_scan,
@@ -290,3 +291,10 @@ FROM d LEFT JOIN b USING (r) LEFT JOIN own USING (r)
     "keys": _values((t, key) for t, x in enumerate(license_scan.TEMPLATES) for key in x.keys),
     "rare": license_scan.RARE_WORDS,
 }
+
+
+@query
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the numbers of its aligned tokens and links."""
+    documents, _ = alignment.align_documents(table(spark, sf_dir, "documents"))
+    return documents.drop("row")
