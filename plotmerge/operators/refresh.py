@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from datetime import datetime
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,7 @@ from plotmerge.operators.frontier import flag_known
 from plotmerge.session import materialize
 from plotmerge.sources.layouts import extract_candidates
 from plotmerge.sources.registry import SOURCES, SourceSpec
+from plotmerge.sources.tables import BucketedTable
 
 
 class Refresh(NamedTuple):
@@ -86,13 +88,21 @@ def failures(checked: DataFrame) -> DataFrame:
 def new_pages(pages: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pages at URLs that their source has not stored, and an outcome row per other page.
 
-    Only URL columns are shuffled to tell them apart. The keys of new pages go back to
-    the bodies by a semi-join: broadcast where Spark finds them small (a scan over mostly
-    known pages), and none at all where no page is known (a first load).
+    Only URL columns are shuffled to tell them apart, see ``split_known``.
     """
     landed = pages.select("source_name", F.col("source_url").alias("url"))
     keys = [c for c in ("source_name", "source_url", "ref_url") if c in sources.columns]
-    flagged = materialize(flag_known(landed, sources.select(*keys)), "landed")
+    return split_known(pages, flag_known(landed, sources.select(*keys)))
+
+
+def split_known(pages: DataFrame, flagged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same, from rows (source_name, url, known) of the pages.
+
+    The keys of new pages go back to
+    the bodies by a semi-join: broadcast where Spark finds them small (a scan over mostly
+    known pages), and none at all where no page is known (a first load).
+    """
+    flagged = materialize(flagged, "landed")
     known = flagged.where("known")
     skipped = known.select(
         "source_name",
@@ -147,3 +157,45 @@ def refresh(
     if skipped is not None:
         outcomes = outcomes.unionByName(skipped)
     return Refresh(merged, sources.select(stored).unionByName(added), outcomes)
+
+
+def refresh_store(
+    pages: DataFrame,
+    listings: BucketedTable,
+    sources: BucketedTable,
+    run_ts: Column,
+    at: datetime,
+    specs: Mapping[str, SourceSpec] = SOURCES,
+    skip_known: bool = True,
+    fingerprint_mode: str = "md5",
+) -> DataFrame:
+    """Consolidate the pages into bucketed stores in place; returns the outcomes, stored.
+
+    Listings are bucketed by fingerprint, sources by listing_id. Only the buckets that the new
+    pages touch are read, folded and written. The listings are made current first: a run that
+    is lost in between leaves listings without their new sources, and running it again adds these.
+    """
+    skipped = None
+    if skip_known:
+        pages, skipped = new_pages(pages, sources.read())
+    checked = materialize(observations(pages, run_ts, specs, fingerprint_mode), "checked")
+    good = usable(checked)
+    outcomes = failures(checked).unionByName(
+        C.classify(good, listings.read_for(good)).select(
+            "source_name", "ref_url", F.col("outcome").alias("stage"),
+            F.lit(None).cast("string").alias("message"),
+        )
+    )
+    if skipped is not None:
+        outcomes = outcomes.unionByName(skipped)
+    outcomes = materialize(outcomes, "outcomes")
+    listings.update(good, lambda stored, rows: C.consolidate(rows, run_ts, stored), at)
+    ids = listings.read_for(good).select(C.KEY, F.col("id").alias("listing_id"))
+    found = materialize(C.merge_sources(page_sources(good)).join(ids, C.KEY), "new-sources")
+
+    def add(stored: DataFrame, rows: DataFrame) -> DataFrame:
+        new = rows.join(stored.select(*C.SOURCE_KEY), C.SOURCE_KEY, "left_anti")
+        return stored.unionByName(new.select(stored.columns))
+
+    sources.update(found, add, at)
+    return outcomes

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from plotmerge.operators import frontier as Fr
+from plotmerge.operators import known as K
 from plotmerge.operators.ranking import row_numbers
 from plotmerge.plans import inputs as I
 from plotmerge.plans.catalog import Tables, query
@@ -82,8 +83,13 @@ def _frontier(t: Tables):
 
 def _flagged(t: Tables):
     frontier = _frontier(t)
+    return Fr.flag_known(frontier, _stored(frontier))
+
+
+def _stored(frontier):
+    """Of a frontier, what the store has already."""
     stored = frontier.where(F.regexp_extract("source_id", "[0-9]+", 0).cast("bigint") % 3 == 0)
-    return Fr.flag_known(frontier, stored.select("source_name", F.col("url").alias("source_url")))
+    return stored.select("source_name", F.col("url").alias("source_url"))
 
 
 @query(
@@ -128,6 +134,17 @@ def url_known_anti(t: Tables):
     return _flagged(t).where(~F.col("known")).select("source_name", "url", "ord")
 
 
+@query(
+    "url_known_filtered",
+    I.with_cte("SELECT source_name, url, ord FROM flagged WHERE NOT known", _LOCS, _MATCHED, _FRONTIER, _FLAGGED),
+)
+def url_known_filtered(t: Tables):
+    """The same by a Bloom filter of the stored URLs: only what passes it is compared by URL."""
+    frontier = materialize(_frontier(t), "frontier")
+    flagged = K.flag_known_filtered(frontier, _stored(frontier))
+    return flagged.where(~F.col("known")).select("source_name", "url", "ord")
+
+
 @query(
     "url_cap",
     I.with_cte("SELECT source_name, url, ord, rn FROM capped", _LOCS, _MATCHED, _FRONTIER, _FLAGGED, _CAPPED),

@@ -10,7 +10,8 @@ from plotmerge.functions import text as X
 from plotmerge.operators import consolidate as C
 from plotmerge.operators import quality
 from plotmerge.plans import inputs as I
-from plotmerge.plans.catalog import Tables, query
+from plotmerge.plans.catalog import QUERIES, Tables, query
+from plotmerge.schemas import LISTING
 from plotmerge.session import shared_dir
 from plotmerge.sources import tables
 from plotmerge.streaming import refresh as stream
@@ -158,6 +159,11 @@ def insert_vs_merge_counts(t: Tables):
 )
 def upsert_store(t: Tables):
     """Stored rows with changed and added ones put in place by id."""
+    stored, changed = _stored_and_changed(t)
+    return C.upsert(stored, changed).select("id", "titel", "prijs_eur")
+
+
+def _stored_and_changed(t: Tables):
     rows = I.listings(t)
     stored = rows.where(F.col("prijs_eur").isNotNull())
     changed = (
@@ -165,7 +171,18 @@ def upsert_store(t: Tables):
         .withColumn("titel", F.concat("titel", F.lit(" nieuw")))
         .withColumn("prijs_eur", F.col("prijs_eur") + 1)
     )
-    return C.upsert(stored, changed).select("id", "titel", "prijs_eur")
+    return stored, changed
+
+
+@query("upsert_bucketed_store", QUERIES["upsert_store"].sql)
+def upsert_bucketed_store(t: Tables):
+    """The same in a stored table of which only the touched buckets are written again."""
+    stored, changed = _stored_and_changed(t)
+    base = shared_dir(t.spark, "store")
+    table = tables.BucketedTable(t.spark, base, "listings", LISTING, "id", buckets=16)
+    table.upsert(stored, CUT)
+    table.upsert(changed, RUN_TS)
+    return table.read().select("id", "titel", "prijs_eur")
 
 
 @query(
@@ -337,3 +354,19 @@ def incremental_refresh(t: Tables):
     run = stream.fold_stream(rows, f"{base}/log", f"{base}/offsets")
     run.awaitTermination()
     return stream.current(t.spark, f"{base}/log", _run_ts()).select(*_FOLD_COLUMNS)
+
+
+@query(
+    "stream_new_urls",
+    "SELECT DISTINCT event_type AS source_name, concat('https://e.example/', user_id) AS url FROM events",
+)
+def stream_new_urls(t: Tables):
+    """First sighting of each (source, URL) of a stream, its state in the RocksDB store."""
+    events = stream.read_pages(t.spark, t.path("events"), t.events.schema)
+    seen = events.select(
+        F.col("event_type").alias("source_name"),
+        F.concat(F.lit("https://e.example/"), F.col("user_id").cast("string")).alias("url"),
+    )
+    base = shared_dir(t.spark, "urls")
+    stream.write_new_urls(seen, f"{base}/urls", f"{base}/offsets").awaitTermination()
+    return t.spark.read.parquet(f"{base}/urls")

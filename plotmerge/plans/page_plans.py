@@ -13,9 +13,11 @@ from plotmerge.operators import consolidate as C
 from plotmerge.operators import quality
 from plotmerge.operators import refresh as R
 from plotmerge.plans import inputs as I
-from plotmerge.plans.catalog import Tables, query
-from plotmerge.session import materialize
-from plotmerge.sources import layouts
+from plotmerge.plans.catalog import QUERIES, Tables, query
+from plotmerge.schemas import LISTING, LISTING_SOURCE, RAW_PAGE
+from plotmerge.session import materialize, shared_dir
+from plotmerge.sources import layouts, tables
+from plotmerge.streaming import refresh as stream
 
 P = I.PAGE_CTE
 RUN_TS = datetime(2024, 6, 1)
@@ -156,6 +158,37 @@ def refresh_new_pages(t: Tables):
     )
 
 
+@query("refresh_bucketed_store", QUERIES["refresh_new_pages"].sql)
+def refresh_bucketed_store(t: Tables):
+    """The same into stored tables of which only the touched buckets are written again."""
+    listings, sources = _store(t)
+    base = shared_dir(t.spark, "stores")
+    stored = tables.BucketedTable(t.spark, base, "listings", LISTING, "fingerprint", buckets=16)
+    stored.upsert(listings, RUN_TS)
+    urls_of = tables.BucketedTable(t.spark, base, "sources", LISTING_SOURCE, "listing_id", buckets=16)
+    urls_of.update(sources, lambda _, rows: rows, RUN_TS)
+    R.refresh_store(I.landed_pages(t), stored, urls_of, F.lit(RUN_TS), RUN_TS)
+    return stored.read().select(*_REFRESHED_COLUMNS)
+
+
+@query(
+    "page_stream_refresh",
+    I.with_cte(
+        """SELECT fingerprint, postcode, gemeente, prijs_eur, titel, straat, epc_kwh,
+          TIMESTAMP '2024-06-01 00:00:00' AS updated_at FROM good""",
+        P,
+        _EXPECTED,
+    ),
+)
+def page_stream_refresh(t: Tables):
+    """Landed pages as a stream of three micro-batches into fold states, then the canonical rows."""
+    base = shared_dir(t.spark, "page-stream")
+    I.landed_pages(t).repartition(6, "source_url").write.parquet(f"{base}/pages")
+    pages = stream.read_pages(t.spark, f"{base}/pages", RAW_PAGE, files_per_batch=2)
+    stream.refresh_stream(pages, f"{base}/out", f"{base}/offsets", F.lit(RUN_TS)).awaitTermination()
+    return stream.current(t.spark, f"{base}/out/listings", F.lit(RUN_TS)).select(*_REFRESHED_COLUMNS)
+
+
 @query(
     "refresh_everything_again",
     I.with_cte(_REFRESHED.format(straat="straat", again="TRUE"), P, _EXPECTED),

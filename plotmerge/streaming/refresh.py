@@ -11,36 +11,24 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Mapping
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from plotmerge.operators import consolidate as C
 from plotmerge.operators import refresh as R
-from plotmerge.operators.frontier import KEYS
-from plotmerge.schemas import empty
+from plotmerge.operators.frontier import KEYS, flag_known
+from plotmerge.operators.known import KnownUrls, stored_urls
 from plotmerge.sources.registry import SOURCES, SourceSpec
-
-_SOURCE_KEYS = T.StructType(
-    [
-        T.StructField("source_name", T.StringType()),
-        T.StructField("source_url", T.StringType()),
-        T.StructField("ord", T.StructType([T.StructField("ref_url", T.StringType())])),
-        T.StructField("batch", T.StringType()),
-    ]
-)
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_pages(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1000):
     """Landed files as a stream. The path is a folder, or one file."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.getFileStatus(jpath).isFile():
-        return stream.option("pathGlobFilter", jpath.getName()).parquet(jpath.getParent().toString())
-    return stream.parquet(path)
+    # A pattern that fits this one name: a plain path has to be a folder.
+    return stream.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def _folder(checkpoint: str, batch_id: int | str) -> str:
@@ -84,6 +72,9 @@ def compact_refresh(spark: SparkSession, base: str, target: str) -> None:
     compact(spark, f"{base}/listings", f"{target}/listings")
     sources = spark.read.parquet(f"{base}/sources").drop("batch")
     _append(_earliest(sources), f"{target}/sources", "batch=compacted")
+    KnownUrls(spark, f"{target}/known").add(
+        _urls(spark.read.parquet(f"{target}/sources/batch=compacted")), "batch=compacted"
+    )
     for name in ("checked", "failures"):
         _append(spark.read.parquet(f"{base}/{name}").drop("batch"), f"{target}/{name}", "batch=compacted")
 
@@ -101,45 +92,41 @@ def refresh_stream(
     """Refresh from a stream of landed pages.
 
     Below ``base``: ``checked`` (parsed rows), ``listings`` (fold states), ``sources``
-    (source rows with their order) and ``failures`` (pages without a usable row).
-    Known pages are told by their URL columns and not parsed: those of earlier
+    (source rows with their order), ``failures`` (pages without a usable row) and ``known``
+    (the index of stored URLs). Known pages are told by their URL columns and not parsed: those of earlier
     micro-batches, and those of a store from before the stream (``known``: source_name,
     source_url). ``compact_refresh`` keeps the number of folders small.
     """
     spark = pages.sparkSession
+    index = KnownUrls(spark, f"{base}/known")
 
     def step(batch: DataFrame, batch_id: int) -> None:
         folder = _folder(checkpoint, batch_id)
         if skip_known:
-            batch, _ = R.new_pages(batch, _earlier_urls(spark, base, folder, known))
+            landed = batch.select("source_name", F.col("source_url").alias("url"))
+            # A retry must not see what its own first attempt has written.
+            flagged = index.flag(landed, but=folder)
+            if known is not None:
+                before = flag_known(landed.distinct(), known.select("source_name", "source_url"))
+                before = before.where("known").withColumnRenamed("known", "_before")
+                flagged = flagged.join(before, KEYS, "left").withColumn(
+                    "known", F.col("known") | F.col("_before").isNotNull()
+                ).drop("_before")
+            batch, _ = R.split_known(batch, flagged)
         _append(R.observations(batch, run_ts, specs, fingerprint_mode), f"{base}/checked", folder)
         checked = spark.read.parquet(f"{base}/checked/{folder}")
         good = R.usable(checked)
         _append(R.failures(checked), f"{base}/failures", folder)
         _append(C.fold(C.lift(good, "ord")), f"{base}/listings", folder)
         _append(_earliest(R.page_sources(good)), f"{base}/sources", folder)
+        index.add(_urls(spark.read.parquet(f"{base}/sources/{folder}")), folder)
 
     return _run(pages, step, checkpoint)
 
 
-def _earlier_urls(
-    spark: SparkSession, base: str, folder: str, known: DataFrame | None
-) -> DataFrame:
-    """URLs stored before this micro-batch, as declared and as discovered."""
-    try:
-        rows = spark.read.schema(_SOURCE_KEYS).parquet(f"{base}/sources")
-    except AnalysisException as e:  # the first micro-batch
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        rows = empty(spark, _SOURCE_KEYS)
-    # A retry must not see what its own first attempt has written.
-    rows = rows.where(F.coalesce("batch", F.lit("")) != folder.removeprefix("batch="))
-    urls = rows.select("source_name", "source_url", F.col("ord.ref_url").alias("ref_url"))
-    if known is not None:
-        urls = urls.unionByName(
-            known.select("source_name", "source_url", F.lit(None).cast("string").alias("ref_url"))
-        )
-    return urls
+def _urls(sources: DataFrame) -> DataFrame:
+    """URLs of stored sources, as declared and as discovered."""
+    return stored_urls(sources.select("source_name", "source_url", F.col("ord.ref_url").alias("ref_url")))
 
 
 def _earliest(rows: DataFrame) -> DataFrame:
@@ -181,6 +168,18 @@ def new_urls(frontier: DataFrame) -> DataFrame:
     return frontier.dropDuplicates(KEYS)
 
 
+def write_new_urls(frontier: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write first sightings; the state lies in RocksDB and its changes in the checkpoint.
+
+    A restart goes on from the checkpoint and writes no URL twice.
+    """
+    frontier.sparkSession.conf.set(STATE_STORE, ROCKS_DB)
+    return (
+        new_urls(frontier).writeStream.format("parquet").option("path", path)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
 def new_urls_within(frontier: DataFrame, at: str, horizon: str) -> DataFrame:
     """The same with state dropped after ``horizon``; later repeats pass again."""
     return frontier.withWatermark(at, horizon).dropDuplicatesWithinWatermark(KEYS)

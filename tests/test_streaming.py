@@ -98,3 +98,26 @@ def test_page_stream_restarts_and_skips_what_is_stored(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/new/sources")
     assert "zimmo" not in {r["source_name"] for r in got.select("source_name").distinct().collect()}
     assert got.count() > 0
+
+
+def test_new_urls_are_written_once_over_restarts(spark, tmp_path):
+    one = spark.createDataFrame([("x", "a"), ("x", "b")], "source_name string, url string").coalesce(1)
+    one.write.parquet(str(tmp_path / "u"))
+
+    def run():
+        stream = S.read_pages(spark, str(tmp_path / "u"), one.schema, files_per_batch=1)
+        S.write_new_urls(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+        return rows(spark.read.parquet(str(tmp_path / "out")), "source_name", "url")
+
+    assert run() == [("x", "a"), ("x", "b")]
+    more = spark.createDataFrame([("x", "a"), ("y", "a")], one.schema).coalesce(1)
+    more.write.mode("append").parquet(str(tmp_path / "u"))
+    assert run() == [("x", "a"), ("x", "b"), ("y", "a")]
+
+
+def test_a_single_file_is_a_stream(spark, tmp_path):
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "d"))
+    file = next((tmp_path / "d").glob("part-*.parquet"))
+    stream = S.read_pages(spark, str(file), spark.range(5).schema)
+    stream.writeStream.format("memory").queryName("single").trigger(availableNow=True).start().awaitTermination()
+    assert spark.table("single").count() == 5
