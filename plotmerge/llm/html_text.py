@@ -9,10 +9,15 @@ two sums of zero lies one stretch of text; it counts from the point where its su
 the weight of the class, surge to ``SURGE`` to the point where they dive to zero, and it is
 kept whole, so short paragraphs inside stay. The innermost mark has the weight ``MARK``, so
 nearly any text in it surges; where it holds less than the rest of main, it marks teasers,
-and main weighs 1. Other lines weigh 1 on pages without marks, and less beside marks or in
-cued containers. Outside the innermost mark, lines that are mostly links count as blank. A stretch
-that does not surge stays if its neighbour does and has the same container. If nothing
-surges, cued containers count as any other, and at last the highest stretch without a cue.
+and main weighs 1. Other lines weigh 1 on pages without marks, less in main beside larger
+articles, and outside marks nothing, unless the marked text is at most ``OUTSIDE`` of theirs and so
+marks teasers too. Outside the innermost mark, lines that are mostly links count as blank. A stretch
+that does not surge stays if its neighbour does and has the same container.
+
+Cued containers are out, however long. A doubtful cue (a word such as 'social' or 'notice' by itself
+or beside words that name no container, as in 'social-history') puts out lists of links and
+short lines only: a container that holds prose counts as any other. If nothing surges, cued
+containers count as any other, and at last the highest stretch without a cue.
 
 Defined results: null html is empty and gives an empty text; unclosed elements, comments
 and tags end where HTML ends them, at the latest with the page; repeated rows are each
@@ -37,8 +42,10 @@ from plotmerge.llm.common import whole_text
 WINDOW = 3
 #: Characters in a window from which on a stretch of an unmarked page is text.
 SURGE = 80
-#: Weights: in the innermost mark, of main beside larger articles, outside marks, of a cue.
-MARK, BESIDE, OUTSIDE, CUED = SURGE, 1 / 4, 1 / 16, 1 / 32
+#: Weights: in the innermost mark, of main beside larger articles.
+MARK, BESIDE = SURGE, 1 / 4
+#: Marks that hold at most this share of the text outside them mark teasers.
+OUTSIDE = 1 / 16
 #: Share of a line's characters inside links that makes it a menu line.
 LINKS = 0.6
 
@@ -69,6 +76,16 @@ CUES = {
     "related", "recommended", "widget", "toolbar", "pagination", "pager", "masthead", "topbar", "skip", "copyright",
 }
 HEADER_CUES = {"header"}
+#: Cues that are also words of a subject, and words for containers that make them plain again.
+DOUBTFUL = {
+    "promo", "promotion", "banner", "notice", "notices", "alert", "share", "sharing", "social", "related",
+    "recommended", "widget", "toolbar", "skip", "overlay", "copyright", "login", "menu", "consent", "header",
+}
+GENERIC = {
+    "list", "box", "block", "area", "section", "container", "wrap", "slot", "unit", "item", "items", "link", "links",
+    "button", "buttons", "icon", "icons", "bar", "post", "posts", "article", "articles", "story", "stories", "form",
+    "panel", "inner", "outer", "tools", "media", "module", "site", "top", "bottom", "left", "right", "main",
+}
 #: Words beside 'widget' with which a page builder names the parts of an article.
 CONTENT_WORDS = {"content", "article", "entry", "post", "story", "text", "heading", "title"}
 PARAGRAPHS = {"p", "li", "dt", "dd", "blockquote", "pre", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6"}
@@ -105,17 +122,24 @@ def _tag_end(html: str, at: int, quotes: bool) -> tuple[int, bool]:
     return end + 1, quotes
 
 
-def _left_out(name: str, tag: str, marked: int) -> tuple[bool, bool]:
-    """Whether an element is left out, and whether its class or id is a cue against it."""
+def _sure(words: set[str]) -> int:
+    """1 if a name with a cue is one whatever it holds, 2 if it may name a subject."""
+    cues = words & (CUES | HEADER_CUES)
+    return 1 if cues - DOUBTFUL or words - cues and not words - cues - GENERIC else 2
+
+
+def _left_out(name: str, tag: str, marked: int) -> tuple[bool, int]:
+    """Whether an element is left out, and whether its class or id is a cue against it (2: doubtful)."""
     if name in LEFT_OUT or name == "header" and not marked:
-        return True, False
+        return True, 0
     if "=" not in tag and "hidden" not in tag or name in ("html", "body"):
-        return False, False
+        return False, 0
     if _HIDDEN.search(tag):
-        return True, False
+        return True, 0
     given = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(tag)}
     if given.get("role", "").lower() in ROLES:
-        return True, False
+        return True, 0
+    doubtful = 0
     for names in (given.get("class", "").split(), given.get("id", "").split()):
         for one in names:
             words = {w.lower() for w in _WORD.findall(one)}
@@ -124,21 +148,26 @@ def _left_out(name: str, tag: str, marked: int) -> tuple[bool, bool]:
                 continue
             if cues and not words & LAYOUT_WORDS:
                 if name not in MARKED or words & {"comment", "comments", "reply"}:
-                    return False, True
-            if words & HEADER_CUES and not marked and name not in MARKED and not words & LAYOUT_WORDS:
-                return False, True
-    return False, False
+                    doubtful = _sure(words)
+            elif words & HEADER_CUES and not marked and name not in MARKED and not words & LAYOUT_WORDS:
+                doubtful = 1 if words <= HEADER_CUES else _sure(words)
+            if doubtful == 1:
+                return False, 1
+    return False, doubtful
 
 
 def lines_of(html: str) -> list[tuple[str, int, int, bool, int]]:
     """(text, characters inside links, mark, cue, container) of each block; left-out elements are gaps."""
-    lines: list[tuple[str, int, int, bool, int]] = []
+    lines: list[tuple[str, int, int, int, int]] = []
     parts: list[str] = []
     stack: list[list] = []  # name (empty once ended inside an open block), left out, mark, link, cue
     where: dict[str, list[int]] = {}  # places of the open elements of each name in the stack
     blocks: list[int] = []  # places of the open blocks
     holders = [0]  # open containers of paragraphs, numbered in their order
-    opened = cued = 0  # containers so far; open elements with a cue
+    opened = cued = 0  # containers so far; open elements with a sure cue
+    doubts = [0]  # open elements with a doubtful cue, numbered in their order
+    doubted = 0  # such elements so far
+    prose = set()  # those that hold prose
     out = links = 0  # open elements that are left out; open links
     linked = 0
     mark = 0
@@ -148,7 +177,9 @@ def lines_of(html: str) -> list[tuple[str, int, int, bool, int]]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                lines.append((text, linked, mark, cued > 0, holders[-1]))
+                if len(text) >= SURGE and linked <= LINKS * len(text):
+                    prose.update(doubts)
+                lines.append((text, linked, mark, -1 if cued else doubts[-1], holders[-1]))
             parts.clear()
             linked = 0
 
@@ -162,7 +193,9 @@ def lines_of(html: str) -> list[tuple[str, int, int, bool, int]]:
                 if name not in PARAGRAPHS:
                     holders.pop()
         out -= dropped
-        cued -= cue
+        cued -= cue == 1
+        if cue > 1:
+            doubts.remove(cue)
         links -= link
         mark = stack[-1][2] if stack else 0
         return name
@@ -177,8 +210,10 @@ def lines_of(html: str) -> list[tuple[str, int, int, bool, int]]:
             where[name].pop()
             out -= stack[k][1]
             links -= stack[k][3]
-            cued -= stack[k][4]
-            stack[k][0], stack[k][1], stack[k][3], stack[k][4] = "", False, False, False
+            cued -= stack[k][4] == 1
+            if stack[k][4] > 1:
+                doubts.remove(stack[k][4])
+            stack[k][0], stack[k][1], stack[k][3], stack[k][4] = "", False, False, 0
             return
         while len(stack) > k:
             pop()
@@ -236,13 +271,11 @@ def lines_of(html: str) -> list[tuple[str, int, int, bool, int]]:
                 while stack and stack[-1][0] == "head":
                     pop()
             if name in SIBLINGS:
-                for k in range(len(stack) - 1, max(-1, len(stack) - 16), -1):
-                    if stack[k][0] in SIBLINGS[name]:
-                        break
-                    if stack[k][0] in (name, {"dt": "dd", "dd": "dt", "td": "th", "th": "td"}.get(name)):
-                        while len(stack) > k:
-                            pop()
-                        break
+                pair = (name, {"dt": "dd", "dd": "dt", "td": "th", "th": "td"}.get(name))
+                before = max((where[n][-1] for n in pair if where.get(n)), default=-1)
+                if before > max((where[n][-1] for n in SIBLINGS[name] if where.get(n)), default=-1):
+                    while len(stack) > before:
+                        pop()
         if name in VOID or html[at - 2 : at] == "/>" and not block and name not in INLINE | LEFT_OUT:
             continue
         if name == "a":
@@ -251,7 +284,7 @@ def lines_of(html: str) -> list[tuple[str, int, int, bool, int]]:
         dropped, cue = _left_out(name, html[start:at], mark)
         if dropped or cue:
             flush()
-            lines.extend([("", 0, 0, False, 0)] * WINDOW)
+            lines.extend([("", 0, 0, 0, 0)] * WINDOW)
         mark = max(mark, MARKED.get(name, 0))
         where.setdefault(name, []).append(len(stack))
         if block:
@@ -259,12 +292,16 @@ def lines_of(html: str) -> list[tuple[str, int, int, bool, int]]:
             if name not in PARAGRAPHS:
                 opened += 1
                 holders.append(opened)
+        if cue == 2:
+            doubted += 1
+            cue = doubted + 1
+            doubts.append(cue)
         stack.append([name, dropped, mark, link, cue])
-        cued += cue
+        cued += cue == 1
         out += dropped
         links += link
     flush()
-    return lines
+    return [(text, n, m, cue < 0 or cue > 0 and cue not in prose, holder) for text, n, m, cue, holder in lines]
 
 
 def _stretches(lengths: np.ndarray) -> list[tuple[int, int, int]]:
@@ -310,17 +347,18 @@ def main_text(html: str) -> str:
     sums = [int(lengths[(marks == m) & ~cues].sum()) for m in range(3)]
     teasers = scope == 2 and sums[1] > sums[2]  # articles that hold less than the rest of main
 
+    outside_counts = sums[1] + sums[2] <= OUTSIDE * sums[0]
+
     def weight(m: int) -> float:
         if scope == 0 or m == 1 and teasers:
             return 1
-        return MARK if m == scope else BESIDE if m else OUTSIDE
+        return MARK if m == scope else BESIDE if m else int(outside_counts)
 
     text = np.where(linked > LINKS * np.maximum(lengths, 1), 0, lengths)
     text[(marks == scope) & (scope > 0)] = lengths[(marks == scope) & (scope > 0)]
     kept = np.zeros(len(lines), bool)
     for m in range(3):
         kept |= _surging(np.where((marks == m) & ~cues, text, 0), holders, weight(m), SURGE)
-        kept |= _surging(np.where((marks == m) & cues, text, 0), holders, min(weight(m), 1) * CUED, SURGE)
     if not kept.any():
         kept = _surging(text, holders, 1, SURGE)
     if not kept.any():

@@ -103,6 +103,26 @@ HTML_CASES |= {  # marks and cues are weights
 }
 
 
+TEASER = "Read next about a thing that is not this article at all. " * 23  # 1,311 characters
+
+HTML_CASES |= {  # cued containers whatever their length; subjects that share a word with a cue
+    f"<body><p>{LONG}</p><div id='comments'><p>{LONG * 12}</p><p>{LONG * 12}</p><p>{LONG * 14}</p></div></body>": LONG,
+    f"<article><p>{LONG}</p><div class='comment-list'><p>{LONG * 9}</p></div></article>": LONG,
+    f"<article><p>{LONG}</p></article><div class='box'><p>{TEASER}</p></div>": LONG,
+    f"<article><p>{LONG}</p><div class='google-ads'><p>{LONG * 9}</p></div><p>Of.</p></article>": f"{LONG}\nOf.",
+    f"<div class='sidebar'><p>{LONG * 9}</p></div>": LONG * 9,  # nothing else is left
+    "<ul>" + "<li><b><i><u><s><em><span><b><i><u><s><em><span><b><i><u><s><em><span>x" * 3 + "</ul>": "x\nx\nx",
+}
+HTML_CASES |= {
+    f"<article><p>One.</p><div class='{name}'><p>{LONG}</p><p>Of.</p></div></article>": f"One.\n{LONG}\nOf."
+    for name in ("social-history", "share-price", "related-work", "widget-guide", "banner-year", "promo", "notice")
+}
+HTML_CASES |= {
+    f"<article><p>{LONG}</p><div class='{name}'><p>Short line</p><a href=x>{LONG}</a></div></article>": LONG
+    for name in ("social-history", "share", "promo", "related-posts", "notice")
+}
+
+
 @pytest.mark.parametrize("html", HTML_CASES)
 def test_main_text(html):
     assert html_text.main_text(html) == HTML_CASES[html]
@@ -113,6 +133,10 @@ def test_main_text_of_a_table(spark):
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
     assert Counter(map(tuple, got.collect())) == Counter(
         [(1, None, "", 0), (2, "u", "text \U0001f600", 6), (2, "u", "text \U0001f600", 6), (None, "v", "", 0)])
+    odd = "page_id long, url string, html string, text string, n_chars string, `batch` int"
+    assert html_text.extract(spark.createDataFrame([], odd)).count() == 0
+    more = html_text.extract(spark.createDataFrame([(1, "u", "<p>a</p>", "x", "y", 3)], odd))
+    assert list(map(tuple, more.collect())) == [(1, "u", "a", 1)]
 
 
 @pytest.mark.parametrize("part", ["<a ", '<a b="', "<!-- ", "<div>", "</div>", "&amp;", "<p>x", "<script>", "<b><p>", "<a b='>"])
