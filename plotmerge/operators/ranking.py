@@ -1,10 +1,11 @@
 """Row numbers for groups of any size.
 
-A plain ``row_number()`` puts a whole group into one task. Here the order column
-is cut into fixed-width buckets: rows are counted per (group, bucket), the counts
-are summed up along the few buckets of a group, and only the rows inside one
-bucket are numbered by a window. No task sees more than ``width`` consecutive
-order values of a group, and the numbers are the same.
+A plain ``row_number()`` puts a whole group into one task. ``row_numbers`` cuts an integer
+order into fixed-width buckets: rows are counted per (group, bucket), the counts are summed
+up along the buckets of a group, and only the rows inside one bucket are numbered by a
+window. Where the counts show a bucket too large for a task (many rows share an order value,
+or lie close), the rows are numbered by ``positions`` instead, which splits by the tie columns
+too. Either way the numbers are the same.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from plotmerge.session import materialize
 
 DEFAULT_WIDTH = 1_000_000
+#: Rows of one bucket that a window numbers in one task.
+MOST = 2_000_000
 
 
 def positions(df: DataFrame, keys: list[str], order: list[str], out: str = "pos") -> DataFrame:
@@ -57,6 +60,7 @@ def row_numbers(
     width: int = DEFAULT_WIDTH,
     at_most: int | None = None,
     ties: tuple[str, ...] = (),
+    most: int = MOST,
 ) -> DataFrame:
     """Number the rows of each key by the integer column ``order``, from 1.
 
@@ -65,6 +69,7 @@ def row_numbers(
 
     With ``at_most`` only the first so many rows of each key are kept; buckets
     behind the limit are dropped before any row of theirs is shuffled for ranking.
+    Rows that agree in the order and all ties are numbered in any order.
     """
     bucketed = df.withColumn("_bucket", F.col(order) - F.pmod(F.col(order), F.lit(width)))
     sizes = bucketed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
@@ -81,6 +86,11 @@ def row_numbers(
     same = F.col("_bucket") == F.col("_at")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    largest = sizes.agg(F.max("_n")).first()[0] or 0
+    if largest > most:
+        kept = bucketed.join(offsets, same, "left_semi") if at_most is not None else bucketed
+        ranked = positions(kept.drop("_bucket"), keys, [order, *ties], out)
+        return ranked if at_most is None else ranked.where(F.col(out) <= at_most)
     joined = bucketed.join(offsets, same).drop("_at", *[f"_key_{k}" for k in keys])
     inside = Window.partitionBy(*keys, "_bucket").orderBy(order, *ties)
     ranked = joined.withColumn(out, F.col("_before") + F.row_number().over(inside))

@@ -33,6 +33,36 @@ def test_row_numbers_match_a_plain_window(spark):
         assert {r["i"] for r in few.collect()} == {i for i, n in want.items() if n <= 40}
 
 
+@pytest.mark.parametrize("spread", [0, 1, 10**6])
+def test_row_numbers_of_crowded_orders(spark, monkeypatch, spread):
+    """A group of ties, dense orders and orders in microseconds, in buckets too large for a task."""
+    from plotmerge.operators import ranking
+
+    rng = random.Random(2)
+    rows = [("hot" if i % 3 else "b", 1_700_000_000_000_000 + rng.randrange(1 + 900 * spread), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, o bigint, i bigint").repartition(6)
+    want, seen = {}, {}
+    for k, o, i in sorted(rows, key=lambda r: (r[1], r[2])):
+        seen[k] = seen.get(k, 0) + 1
+        want[i] = seen[k]
+    parts = []
+    real = ranking.materialize
+
+    def placed(found, name):
+        out = real(found, name)
+        parts.extend(r["n"] for r in out.groupBy(F.shiftright("_at", 33)).agg(F.count("*").alias("n")).collect())
+        return out
+
+    monkeypatch.setattr(ranking, "materialize", placed)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = row_numbers(df, ["k"], "o", width=2_000_000_000, ties=("i",), most=400)
+    assert {r["i"]: r["rn"] for r in got.collect()} == want
+    few = row_numbers(df, ["k"], "o", width=2_000_000_000, ties=("i",), most=400, at_most=70)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert {r["i"] for r in few.collect()} == {i for i, n in want.items() if n <= 70}
+    assert len(parts) == 16 and max(parts) <= 2 * 3000 / 8  # eight tasks each time, none above twice the mean
+
+
 def test_cap_and_skips_match_a_loop(spark):
     rng = random.Random(2)
     rows = [(rng.choice("xxxy"), f"u{i}", i, rng.random() < 0.4) for i in range(300)]
