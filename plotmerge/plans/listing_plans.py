@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from plotmerge.functions import text as X
 from plotmerge.operators import listing_query as Q
 from plotmerge.operators import validate as V
+from plotmerge.operators.text_index import TextIndex
 from plotmerge.plans import inputs as I
-from plotmerge.plans.catalog import Tables, query
+from plotmerge.plans.catalog import QUERIES, Tables, query
+from plotmerge.session import shared_dir
 
 L, S = I.LISTING_CTE, I.SOURCE_CTE
 SHOWN = "id, postcode, gemeente, prijs_eur, type, user_status, created_at"
@@ -108,6 +110,14 @@ def document_text_filter(t: Tables):
     return docs.where(Q.listing_filter(text="TION")).select("doc_id", "lang", "source")
 
 
+@query("document_text_index", QUERIES["document_text_filter"].sql)
+def document_text_index(t: Tables):
+    """The same by a trigram index of the texts: only candidate rows are read."""
+    index = TextIndex(t.spark, shared_dir(t.spark, "text-index"))
+    index.build(t.documents.select("doc_id", "lang", "source", "text"), ["text", "source"])
+    return index.search("TION").select("doc_id", "lang", "source")
+
+
 @query(
     "listing_filter_source_in",
     I.with_cte(
