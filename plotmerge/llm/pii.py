@@ -26,7 +26,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotmerge.llm.common import free_name, rank_in_class, stored
+from plotmerge.llm.common import free_name, partitions, rank_in_class, stored
 
 #: Key of the hash for tests and examples; pass a secret one.
 KEY = "surrogate-key"
@@ -301,6 +301,10 @@ def _dense(entities: DataFrame, taken: DataFrame, key: str) -> tuple[DataFrame |
     return done, stored(entities.join(done, ["kind", "scope", "norm"], "left_anti"), "pii-pending")
 
 
+#: Draws of one task.
+DRAWS = 2_000
+
+
 def distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, scope, norm, drawn): draws that differ from each other and from all originals.
 
@@ -312,7 +316,9 @@ def distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
     taken = taken.withColumn("drawn", F.when(F.col("kind") == "local", F.regexp_extract("drawn", "^([^@]+)@", 1)).otherwise(F.col("drawn")))
     accepted, pending = _dense(entities, taken, key)
     for attempt in count():
-        drawn = stored(pending.withColumn("drawn", surrogate(F.col("kind"), F.col("norm"), key, attempt)), "pii-drawn")
+        # A small table is read back as one task, and a draw takes long.
+        dealt = pending.repartition(partitions(pending.count(), DRAWS), *same, "norm")
+        drawn = stored(dealt.withColumn("drawn", surrogate(F.col("kind"), F.col("norm"), key, attempt)), "pii-drawn")
         good = drawn.groupBy(*same, "drawn").agg(F.min("norm").alias("norm")).join(taken, [*same, "drawn"], "left_anti")
         if accepted is not None:
             good = good.join(accepted, [*same, "drawn"], "left_anti")
