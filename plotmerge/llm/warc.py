@@ -5,9 +5,10 @@ per payload digest before they are shuffled: of equal payloads of at least ``min
 bytes the page with the largest id keeps its payload in a response record. Headers join
 their group's response, and pages join their header to be written: response records with
 their payload, revisit records that refer to the response, all with fresh headers.
-A record is valid text, so Spark's text writer writes the archives (one gzip file per
-task, of at most ``RECORDS`` records) to any file system it knows. They are read back as
-binary files, record by record by content length; the digest of every payload is checked.
+Every record is a gzip member of its own, and Spark's text writer writes the archives, with an
+empty gzip member as the separator of its lines, to any file system it knows. Such a file is
+a plain sequence of members for any reader, and Spark can split it: archives are read back
+record by record, so no file has to fit into a task; the digest of every payload is checked.
 
 Defined results: a null payload is empty, and empty payloads are equal; a null url has no
 header line; rows that repeat an id and its payload are one record each, all of the same
@@ -39,6 +40,9 @@ PAGE_FIELD, BYTES_FIELD = "X-Page-Id", "X-Payload-Length"
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _END = "\r\n"
+#: An empty gzip member, between two records.
+MARK = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
+_LINES = {"lineSep": MARK.decode("latin-1"), "encoding": "ISO-8859-1"}
 
 
 def base32_of_sha1(hex_digest: Column) -> Column:
@@ -112,11 +116,22 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     )
 
 
+def member(record: bytes) -> bytes:
+    """A record as a gzip member that does not hold the separator."""
+    found = (gzip.compress(record, level, mtime=0) for level in (6, 1, 0))
+    return next(m for m in found if MARK not in m)
+
+
 def write(value: DataFrame, path: str) -> None:
-    """Write records to gzipped archives under ``path``."""
-    value.write.option("lineSep", _END).option("compression", "gzip").option(
-        "maxRecordsPerFile", RECORDS
-    ).text(path)
+    """Write records to archives under ``path``, each record a gzip member."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [member(record.as_py() + _END.encode()) for record in batch["value"]]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["value"])
+
+    members = value.select(F.col("value").cast("binary")).mapInArrow(run, "value binary")
+    members.select(F.col("value").cast("string")).write.options(**_LINES).option("maxRecordsPerFile", RECORDS).text(path)
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -158,18 +173,17 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch["content"]:
-                rows = []
+            rows = []
+            for content in batch["value"]:
                 with gzip.GzipFile(fileobj=io.BytesIO(content.as_buffer())) as stream:
-                    for fields, block in parse(stream):
-                        rows.append(_row(fields, block))
-                columns = zip(*rows, strict=True) if rows else [()] * len(_KINDS)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, _KINDS.values(), strict=True)], list(_KINDS)
-                )
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(
+                    rows += [_row(fields, block) for fields, block in parse(stream)]
+            columns = zip(*rows, strict=True) if rows else [()] * len(_KINDS)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, _KINDS.values(), strict=True)], list(_KINDS)
+            )
+
+    found = spark.read.options(**_LINES).option("pathGlobFilter", "part-*").text(path)
+    return found.select(F.col("value").cast("binary")).mapInArrow(
         run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string,"
         " record_id string, refers_to_record string",
     )
