@@ -238,8 +238,7 @@ def test_line_dedup_of_drifting_chains(spark, monkeypatch):
             words[rng.integers(0, 24)] = f"new{rng.integers(0, 10**6)}"
     rows = list(zip(rng.permutation(len(texts)).tolist(), texts, strict=True))
     content = spark.createDataFrame(rows, "h long, content string")
-    signed = line_dedup.signatures(content).drop("content", "buckets")
-    met = signed.withColumns({"bucket": F.lit(1).cast("long"), "n": F.lit(len(rows)).cast("long")})
+    met = content.select(F.lit(1).cast("long").alias("bucket"), "h", F.lit(len(rows)).cast("long").alias("n"))
     found = {r["u"]: r["v"] for r in components(line_dedup.links(met, content), "test").collect()}
     want = {}
     for places in brute_lines([{"doc_id": h, "text": t} for h, t in rows]).values():
@@ -252,10 +251,9 @@ def test_line_dedup_of_lines_of_all_lengths(spark):
     rng = np.random.default_rng(5)
     texts = ["a", "ab", "abcdefg", "\u20ac" * 9, "\U0001f600 smile", "x" * 100_000,
              "".join(rng.choice(list("abc \u00e9"), 70_000)), *(f"line {k} " * (k + 1) for k in range(30))]
-    together = line_dedup.signature(texts)
-    for k, text in enumerate(texts):
-        for one, all_ in zip(line_dedup.signature([text]), together, strict=True):
-            assert np.array_equal(one[0], all_[k])
+    for tell in (line_dedup.signature, line_dedup.sketch):
+        together = tell(texts)
+        assert all(np.array_equal(tell([text])[0], together[k]) for k, text in enumerate(texts))
     rows = [(k, t) for k, t in enumerate([*texts, texts[6][:-5] + "other"])]
     got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = brute_lines([{"doc_id": k, "text": t} for k, t in rows])
@@ -270,7 +268,7 @@ def test_sketches_discard_no_link(spark):
     texts = [" ".join(str(rng.integers(0, 9)) if rng.random() < p else w for w in base) for p in (0, 0.02, 0.05, 0.1) for _ in range(20)]
     texts = sorted(set(texts) | {"abcdefg", "abcdefgh", "abc"})
     content = spark.createDataFrame(list(enumerate(texts)), "h long, content string")
-    rows = line_dedup.signatures(content).drop("content", "buckets")
+    rows = line_dedup.sketches(content)
     pairs = rows.join(rows.toDF(*[f"r_{c}" for c in rows.columns]), F.col("h") < F.col("r_h"))
     open_pairs = {(r["h"], r["r_h"]) for r in pairs.where(line_dedup._may_be_similar()).collect()}
     sets = [{s[k : k + 7] for k in range(max(1, len(s) - 6))} for s in texts]
