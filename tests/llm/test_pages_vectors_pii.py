@@ -53,6 +53,27 @@ def test_warc(spark, tmp_path, min_bytes):
             assert block.endswith(b"\r\n\r\n") and fields["warc-refers-to"].startswith("<urn:uuid:")
 
 
+def test_warc_files_are_split(spark, tmp_path):
+    """Records of one large file are read by many tasks; each is a gzip member of its own."""
+    rng = np.random.default_rng(2)
+    rows = [(k, f"u{k}", rng.bytes(3000).hex(), "x", 0, "x", 0) for k in range(40)]
+    path = str(tmp_path / "archive")
+    assert warc.archive(spark.createDataFrame(rows, PAGE_SCHEMA).coalesce(1), path).count() == 40
+    files = [f.read_bytes() for f in (tmp_path / "archive").glob("part-*")]
+    assert sum(len(f.split(warc.MARK)) - 1 for f in files) == 40
+    for one in files[0].split(warc.MARK)[:-1]:
+        assert len(list(warc.parse(io.BytesIO(gzip.decompress(one))))) == 1
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        found = warc.read(spark, path)
+        assert {r["page_id"] for r in found.collect()} == set(range(40))
+        tasks = found.select(F.spark_partition_id()).distinct().count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert tasks > len(files)
+
+
 def test_warc_of_nothing(spark, tmp_path):
     assert warc.archive(spark.createDataFrame([], PAGE_SCHEMA), str(tmp_path / "a")).count() == 0
 
