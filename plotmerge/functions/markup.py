@@ -156,3 +156,24 @@ def title(html: Column) -> Column:
 
 def html_lang(html: Column) -> Column:
     return blank_to_null(F.regexp_extract(html, r"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z-]+)", 1))
+
+
+# ---- heads by their plain spelling -------------------------------------------
+# What Unicode counts as a space; tabs and line ends are none.
+_SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
+def plain_title(html: Column) -> Column:
+    """Text of the first bare <title>, without outer spaces; of its references only &amp; is decoded."""
+    written = F.replace(F.regexp_extract(html, r"(?s)<title>(.*?)</title", 1), F.lit("&amp;"), F.lit("&"))
+    return F.nullif(F.btrim(written, F.lit(_SPACES)), F.lit(""))
+
+
+def plain_lang(html: Column) -> Column:
+    """Language of an <html> that has it as its first attribute, in double quotes."""
+    return F.nullif(F.regexp_extract(html, '<html lang="([a-zA-Z-]+)"', 1), F.lit(""))
+
+
+def script_marks(html: Column) -> Column:
+    """How often a script element is opened, in comments and other scripts too."""
+    return F.size(F.regexp_extract_all(html, F.lit(r"(?iu)<script(?![0-9A-Za-z_])"), F.lit(0)))

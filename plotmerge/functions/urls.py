@@ -25,6 +25,20 @@ def query(url: Column) -> Column:
     return F.try_parse_url(url, F.lit("QUERY"))
 
 
+def written_scheme(url: Column) -> Column:
+    """The lower-case scheme as it is written, '' if there is none; no URL is malformed."""
+    return F.regexp_extract(url, "^([a-z]+)://", 1)
+
+
+def written_authority(url: Column) -> Column:
+    """What stands between the scheme and the path, with user and port."""
+    return F.regexp_extract(url, "^[a-z]+://([^/?#]+)", 1)
+
+
+def written_path(url: Column) -> Column:
+    return F.regexp_extract(url, "^[a-z]+://[^/?#]+([^?#]*)", 1)
+
+
 def is_http_url(url: Column) -> Column:
     """http or https with a host; NULL in, NULL out."""
     return url.rlike(r"(?i)^https?://[^\s/?#]+(?:[/?#]\S*)?$")

@@ -195,3 +195,26 @@ def test_custom_source(spark):
     rows = spark.createDataFrame([("eigen", "u", b"", AT), *[(s, u, b.encode(), AT) for s, u, b in PAGES.values()]], RAW_PAGE)
     found = extract_candidates(rows, {**SOURCES, "eigen": spec}).collect()
     assert sorted(r["source_name"] for r in found) == ["eigen", "immoscoop", "immovlan", "immoweb", "zimmo"]
+
+
+def test_page_heads_agree_with_their_sql_on_odd_pages(spark, tmp_path):
+    import duckdb
+    from oracle_check import compare
+
+    from plotmerge.plans import QUERIES
+
+    odd = [
+        ("https://a.example/x", '<html lang="nl"><title>A &quot;b&quot; &amp;amp; &lt;c&gt; &eacute;</title><script>1</script>'),
+        ("http://u:p@a_b.example:8080/x y?q#f", "<HTML lang=nl><TITLE>A</TITLE><!-- <script>1</script> --><script src=a"),
+        ("https://a.example?q=/p", "<html class=x lang=\"nl\"><title>\u00a0 \tA\n</title><SCRIPT></SCRIPT><scripts>"),
+        ("geen url", "<title> </title>\n<title>B</title>"),
+        ("HTTPS://A.example/", "<style><script></style><title>open"),
+        (None, None),
+    ]
+    rows = [(k, url, html) for k, (url, html) in enumerate(odd)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(
+        f"{tmp_path}/pages.parquet"
+    )
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert compare(spark, con, QUERIES["page_heads"], str(tmp_path)) is None
