@@ -17,6 +17,9 @@ class Query:
 
 QUERIES: dict[str, Query] = {}
 
+#: Rows of a table that one task groups or joins.
+ROWS_A_TASK = 250_000
+
 
 def query(name: str, sql: str | None = None):
     """Register ``fn(tables)`` under ``name``, with the SQL it must agree with."""
@@ -51,6 +54,17 @@ class Tables:
         df, cores = getattr(self, name), self.spark.sparkContext.defaultParallelism
         return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
+    def dealt(self, df: DataFrame, table: str, *keys: str) -> DataFrame:
+        """``df``, with about as many rows as the table, dealt by keys that nearly every row has alone.
+
+        The tasks grow in number with the table's rows (from the footers of its files), so
+        that a task's hash maps and sorts do not grow. Where the session's own partitions
+        are enough, the rows stay where they are.
+        """
+        n = -(-getattr(self, table).count() // ROWS_A_TASK)
+        own = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return df if n <= own else df.repartition(n, *keys)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)

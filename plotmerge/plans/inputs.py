@@ -116,7 +116,8 @@ def _source_name(column: str):
 def sources(t: Tables) -> DataFrame:
     last = F.max("l_shipdate")
     return (
-        t.lineitem.groupBy("l_partkey", "l_suppkey")
+        t.dealt(t.lineitem, "lineitem", "l_partkey", "l_suppkey")
+        .groupBy("l_partkey", "l_suppkey")
         .agg(F.min("l_shipdate").alias("first_seen"), last.alias("last_seen"))
         .select(
             F.col("l_partkey").cast("string").alias("listing_id"),

@@ -27,3 +27,15 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_tasks_grow_with_the_table(spark, monkeypatch, con):
+    from plotmerge.plans import catalog
+    from plotmerge.plans import inputs as I
+
+    monkeypatch.setattr(catalog, "ROWS_A_TASK", 100)
+    t = catalog.Tables(spark, SF_DIR)
+    tasks = -(-t.lineitem.count() // 100)
+    assert I.sources(t).rdd.getNumPartitions() == tasks
+    assert QUERIES["duplicate_source_keys"].run(spark, SF_DIR).rdd.getNumPartitions() == tasks
+    assert compare(spark, con, QUERIES["duplicate_source_keys"], SF_DIR) is None
