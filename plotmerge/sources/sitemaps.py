@@ -75,10 +75,13 @@ def _locs_of(xml: str | None) -> list[str]:
     return [t for t in found if t]
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def locs(xml: pd.Series) -> pd.Series:
-    """Trimmed, non-empty <loc> texts of the sitemap namespace; [] if malformed."""
-    return xml.map(_locs_of)
+@F.udf(T.ArrayType(T.StringType()), useArrow=False)
+def locs(xml: str | None) -> list[str]:
+    """Trimmed, non-empty <loc> texts of the sitemap namespace; [] if malformed.
+
+    A worker holds a hundred documents at a time; an Arrow batch would be 10,000 of them.
+    """
+    return _locs_of(xml)
 
 
 def sitemap_locs(docs: DataFrame) -> DataFrame:

@@ -53,3 +53,11 @@ def test_stream_batches_have_a_file_for_every_core(spark, monkeypatch):
     monkeypatch.setattr(stream, "read_pages", watched)
     QUERIES["page_stream_refresh"].run(spark, SF_DIR)
     assert seen == [spark.sparkContext.defaultParallelism]
+
+
+def test_sitemap_documents_reach_a_worker_a_hundred_at_a_time():
+    from pyspark.util import PythonEvalType
+
+    from plotmerge.sources.sitemaps import locs
+
+    assert locs.evalType == PythonEvalType.SQL_BATCHED_UDF
