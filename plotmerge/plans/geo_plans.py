@@ -245,4 +245,4 @@ def json_geo_keys(t: Tables):
     doc = F.concat(
         F.lit('{"id": 1, "place": {"geo": {"lat": '), (k % 90).cast("string"), F.lit(', "tags": '), tags, F.lit('}}, "a": {"b": {"c": {"d": {"e": {"f": {"lat": '), (k % 5).cast("string"), F.lit("}}}}}}}")
     )
-    return quality.json_key_profile(t.part.select(doc.alias("doc")), "doc", words=quality.GEO_WORDS)
+    return quality.json_key_profile(t.spread("part").select(doc.alias("doc")), "doc", words=quality.GEO_WORDS)

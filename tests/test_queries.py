@@ -61,3 +61,23 @@ def test_sitemap_documents_reach_a_worker_a_hundred_at_a_time():
     from plotmerge.sources.sitemaps import locs
 
     assert locs.evalType == PythonEvalType.SQL_BATCHED_UDF
+
+
+def _tasks_of(monkeypatch, module, function):
+    """The partitions of the frames handed to a function from here on."""
+    seen, real = [], getattr(module, function)
+
+    def watched(df, *args, **kwargs):
+        seen.append(df.rdd.getNumPartitions())
+        return real(df, *args, **kwargs)
+
+    monkeypatch.setattr(module, function, watched)
+    return seen
+
+
+def test_json_documents_are_parsed_on_all_cores(spark, monkeypatch):
+    from plotmerge.operators import quality
+
+    seen = _tasks_of(monkeypatch, quality, "json_key_profile")
+    QUERIES["json_geo_keys"].run(spark, SF_DIR)
+    assert seen[0] >= spark.sparkContext.defaultParallelism
