@@ -87,8 +87,10 @@ def error_samples(
     """First messages of each source in order, and how many more there are.
 
     The group limit is applied before the shuffle: a source with any number of
-    errors sends ``sample`` rows per task.
+    errors sends ``sample`` rows per task. The errors are stored, as they are read twice:
+    what finds them, a parse of all pages perhaps, runs once.
     """
+    errors = materialize(errors.select("source_name", order, "message"), "errors")
     first = Window.partitionBy("source_name").orderBy(order)
     shown = (
         errors.withColumn("_rn", F.row_number().over(first))

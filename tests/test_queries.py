@@ -81,3 +81,19 @@ def test_json_documents_are_parsed_on_all_cores(spark, monkeypatch):
     seen = _tasks_of(monkeypatch, quality, "json_key_profile")
     QUERIES["json_geo_keys"].run(spark, SF_DIR)
     assert seen[0] >= spark.sparkContext.defaultParallelism
+
+
+def test_error_samples_find_the_errors_once(spark):
+    from plotmerge.operators import quality
+
+    rows = spark.createDataFrame([("a", k, f"m{k}") for k in range(7)], "source_name string, k long, message string")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    (got,) = quality.error_samples(rows.mapInArrow(counted, rows.schema), "k").collect()
+    assert (got["errors"], got["messages"], got["suppressed"]) == (7, [f"m{k}" for k in range(5)], 2)
+    assert read.value == 7
