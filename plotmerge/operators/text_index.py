@@ -1,14 +1,14 @@
 """Text filter by an index of trigrams: look up candidates, then check the text literally.
 
 The index is two tables beside the rows: for each trigram of the lower-case text the rows that
-have it, sorted by trigram and row, and how many they are. A search reads the postings of
+have it, in files sorted by trigram and row, and how many they are. A search reads the postings of
 the pattern's ``RAREST`` rarest trigrams, intersects them by row, reads these rows and looks for the
 pattern in their text, so it finds what ``listing_filter(text=...)`` finds. A pattern shorter than a
 trigram takes the rows of all trigrams that contain it; a text shorter than a trigram is
 indexed as a whole.
 
-A trigram that most rows have spreads over many files, and is read only if the pattern has
-no rarer ones. Null texts hold nothing; an empty pattern sets no condition.
+The rows of a trigram lie in at most ``SPREAD`` files; row groups without it are skipped. One that most
+rows have is read only if the pattern has no rarer ones. Null texts hold nothing; an empty pattern sets no condition.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 GRAM = 3
 #: Trigrams of a pattern whose postings are intersected.
 RAREST = 4
+#: Parts that the rows of a trigram are dealt into, so that no task holds all of a common one.
+SPREAD = 16
 #: Candidates that are handed to the scan of the rows as a list; more of them are joined.
 LISTED = 10_000
 
@@ -52,9 +54,9 @@ class TextIndex:
         none = F.array().cast("array<string>")
         held = F.array_distinct(F.concat(*[F.coalesce(grams(F.lower(F.col(c))), none) for c in columns]))
         postings = rows.select(F.explode(held).alias("gram"), F.col("_row").alias("row"))
-        postings.repartitionByRange("gram", "row").sortWithinPartitions("gram", "row").write.parquet(
-            f"{self.base}/postings"
-        )
+        # Dealt by hash: ranges would be found by cutting all texts once more.
+        dealt = postings.repartition("gram", F.pmod("row", F.lit(SPREAD)))
+        dealt.sortWithinPartitions("gram", "row").write.parquet(f"{self.base}/postings")
         counts = self._postings().groupBy("gram").agg(F.count("*").alias("n"))
         counts.sort("gram").write.parquet(f"{self.base}/counts")
         self.spark.createDataFrame([(c,) for c in columns], "name string").coalesce(1).write.parquet(

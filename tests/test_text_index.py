@@ -1,6 +1,7 @@
 """Text filter by trigrams against the plain filter."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from plotmerge.operators import listing_query as Q
 from plotmerge.operators import text_index
@@ -40,3 +41,16 @@ def test_only_candidates_are_read(index):
     assert candidates("ab") == [5, 5]  # a text shorter than a trigram
     plan = index.search("woning")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(_row" in plan or "PushedFilters: [Or(" in plan or "_row" in plan.split("PushedFilters")[1]
+
+
+def test_texts_are_cut_once(spark, tmp_path, monkeypatch):
+    cuts = spark.sparkContext.accumulator(0)
+
+    def counted(s):
+        cuts.add(1)
+        return [s[k : k + 3] for k in range(len(s) - 2)]
+
+    monkeypatch.setattr(text_index, "grams", F.udf(counted, "array<string>"))
+    rows = spark.createDataFrame([(k, f"tekst {k}") for k in range(5)], "id long, titel string")
+    TextIndex(spark, str(tmp_path)).build(rows, ["titel"])
+    assert cuts.value == 5
