@@ -19,8 +19,30 @@ def parse_strict(text: Column) -> Column:
     return let(items(wrapped), lambda v: F.when(F.size(v) == 1, F.get(v, F.lit(0))))
 
 
+def opened(value: Column, *paths: tuple[str, ...]) -> Column:
+    """What is at each path of keys, as a struct of structs; NULL for anything but an object.
+
+    One pass over the object, however many paths. A path that is not there is a NULL; by a
+    path expression of its own it would be an exception inside Spark, which is slower than the read.
+    """
+    tree: dict = {}
+    for path in paths:
+        level = tree
+        for key in path:
+            level = level.setdefault(key, {})
+
+    def kind_of(level: dict) -> str:
+        names = (f"`{k.replace('`', '``')}`:{kind_of(v)}" for k, v in level.items())
+        return f"struct<{','.join(names)}>" if level else "variant"
+
+    return F.try_variant_get(value, "$", kind_of(tree))
+
+
 def child(value: Column, *keys: str) -> Column:
-    return F.try_variant_get(value, "$" + "".join(f'["{k}"]' for k in keys), "variant")
+    out = opened(value, keys)
+    for key in keys:
+        out = out.getField(key)
+    return out
 
 
 def kind(value: Column) -> Column:
@@ -36,18 +58,13 @@ def members(value: Column) -> Column:
 
 
 def is_object(value: Column) -> Column:
-    return members(value).isNotNull()
+    return F.try_variant_get(value, "$", "struct<>").isNotNull()
 
 
 def object_only(value: Column) -> Column:
     return let(value, lambda v: F.when(is_object(v), v))
 
 
-def non_empty_object(value: Column) -> Column:
-    """The value if it is an object with at least one key, else NULL."""
-    return let(value, lambda v: F.when(F.size(members(v)) > 0, v))
-
-
 def items(value: Column) -> Column:
     """Array elements, or NULL if the value is no array."""
     return F.try_variant_get(value, "$", "array<variant>")
@@ -57,46 +74,53 @@ def _text(value: Column) -> Column:
     return F.try_variant_get(value, "$", "string")
 
 
-def as_string(value: Column) -> Column:
-    """The text of a string value; other kinds are NULL."""
-    return let(value, lambda v: F.when(kind(v) == "STRING", _text(v)))
+_NUMBER = "^(BIGINT|DOUBLE|FLOAT|DECIMAL)"
 
+# The ``_of`` forms are for values that are columns already: they name the value more than
+# once, and Spark compiles them, which it does not do with a ``let``.
 
-_NUMBER = "^(BIGINT|DOUBLE|FLOAT|DECIMAL)"
+
+def string_of(v: Column) -> Column:
+    return F.when(kind(v) == "STRING", _text(v))
+
+
+def text_of(v: Column) -> Column:
+    return F.when(kind(v).rlike(f"{_NUMBER}|^STRING$"), _text(v))
+
+
+def int_of(v: Column) -> Column:
+    number = F.try_variant_get(v, "$", "bigint")
+    # Digits alone are never below 0.
+    return F.when(kind(v) == "STRING", parse_int_eu(_text(v))).when(
+        kind(v).rlike(_NUMBER) & (number >= 0), number
+    )
+
+
+def float_of(v: Column, comma: bool = False) -> Column:
+    of_text = float_comma if comma else float_plain
+    return F.when(kind(v) == "STRING", of_text(_text(v))).when(
+        kind(v).rlike(_NUMBER), F.try_variant_get(v, "$", "double")
+    )
+
+
+def as_string(value: Column) -> Column:
+    """The text of a string value; other kinds are NULL."""
+    return let(value, string_of)
 
 
 def as_text(value: Column) -> Column:
     """Strings and numbers as text; booleans, objects, arrays and null are NULL."""
-    return let(value, lambda v: F.when(kind(v).rlike(f"{_NUMBER}|^STRING$"), _text(v)))
+    return let(value, text_of)
 
 
 def as_int(value: Column) -> Column:
     """Non-negative integer: numbers are truncated, strings keep their digits."""
-
-    def read(v: Column) -> Column:
-        return let(
-            kind(v),
-            lambda k: F.when(k.rlike(_NUMBER), F.try_variant_get(v, "$", "bigint")).when(
-                k == "STRING", parse_int_eu(_text(v))
-            ),
-        )
-
-    return let(let(value, read), lambda n: F.when(n >= 0, n))
+    return let(value, int_of)
 
 
 def as_float(value: Column, comma: bool = False) -> Column:
     """Double; strings may use a decimal comma if ``comma``; booleans are NULL."""
-    of_text = float_comma if comma else float_plain
-
-    def read(v: Column) -> Column:
-        return let(
-            kind(v),
-            lambda k: F.when(k.rlike(_NUMBER), F.try_variant_get(v, "$", "double")).when(
-                k == "STRING", of_text(_text(v))
-            ),
-        )
-
-    return let(value, read)
+    return let(value, lambda v: float_of(v, comma))
 
 
 def first_or_self(value: Column) -> Column:

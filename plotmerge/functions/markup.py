@@ -78,18 +78,31 @@ def ld_nodes(blocks: Column) -> Column:
     )
 
 
-def node_of_type(nodes: Column, wanted: str) -> Column:
-    """First node whose @type is that string, in any case; an empty node is none."""
-    hit = F.get(
-        F.filter(nodes, lambda n: F.lower(J.as_string(J.child(n, "@type"))) == wanted.lower()),
-        F.lit(0),
+def typed(nodes: Column) -> Column:
+    """The nodes as (type, node): their @type in lower case, read once for all look-ups."""
+    return F.transform(
+        nodes,
+        lambda n: F.struct(F.lower(J.as_string(J.child(n, "@type"))).alias("type"), n.alias("node")),
     )
-    return J.non_empty_object(hit)
+
+
+def typed_node(typed_nodes: Column, *wanted: str) -> Column:
+    """First node of ``typed`` whose @type is the first of these strings that occurs, in any case."""
+
+    def first(kind: str) -> Column:
+        return F.get(F.filter(typed_nodes, lambda t: t["type"] == kind.lower()), F.lit(0))["node"]
+
+    return F.coalesce(*[first(w) for w in wanted])
+
+
+def node_of_type(nodes: Column, wanted: str) -> Column:
+    """First node whose @type is that string, in any case."""
+    return typed_node(typed(nodes), wanted)
 
 
 def node_of_types(nodes: Column, wanted) -> Column:
     """node_of_type for the first type of the list that occurs."""
-    return F.coalesce(*[node_of_type(nodes, w) for w in wanted])
+    return let(typed(nodes), lambda t: typed_node(t, *wanted))
 
 
 def page_state(tag_array: Column, element_id: str = "__NEXT_DATA__") -> Column:

@@ -57,8 +57,22 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE_SPACE))
 
 
+def strip_of(text: Column) -> Column:
+    """``strip`` of a column: a text that begins and ends with a plain character stays as it is."""
+
+    def plain(char: Column) -> Column:
+        return F.ascii(char).between(ord("!"), ord("~"))
+
+    return F.when(plain(text) & plain(F.right(text, F.lit(1))), text).otherwise(strip(text))
+
+
 def blank_to_null(text: Column) -> Column:
-    return let(strip(text), lambda s: F.nullif(s, F.lit("")))
+    return _without(strip(text), "")
+
+
+def _without(value: Column, nothing) -> Column:
+    """``nullif`` that names the value once, and is compiled."""
+    return F.get(F.array_remove(F.array(value), F.lit(nothing)), F.lit(0))
 
 
 def parse_int_eu(text: Column) -> Column:
@@ -182,13 +196,13 @@ def street(name: Column, number: Column) -> Column:
 def first_nonzero(*numbers: Column) -> Column:
     """First number that is neither NULL nor 0; the last one counts as it is."""
     *head, last = numbers
-    return F.coalesce(*[let(n, lambda v: F.when(v != 0, v)) for n in head], last)
+    return F.coalesce(*[_without(n, 0) for n in head], last)
 
 
 def first_nonempty(*texts: Column) -> Column:
     """First text that is neither NULL nor ''; the last one counts as it is."""
     *head, last = texts
-    return F.coalesce(*[let(t, lambda v: F.nullif(v, F.lit(""))) for t in head], last)
+    return F.coalesce(*[_without(t, "") for t in head], last)
 
 
 def int_or_null(text: Column) -> Column:
@@ -244,7 +258,7 @@ def unescape(text: Column) -> Column:
     def decoded(t: Column) -> Column:
         out = each(
             t,
-            r"&([A-Za-z][A-Za-z0-9]*);",
+            r"&(?!amp;)([A-Za-z][A-Za-z0-9]*);",
             "&",
             lambda n: F.coalesce(F.try_element_at(names, n), F.concat(F.lit("&"), n, F.lit(";"))),
         )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plotmerge.functions.text import strip
+from plotmerge.functions.text import strip_of
 from plotmerge.functions.urls import is_http_url
 from plotmerge.schemas import (
     CONDITIONS,
@@ -30,7 +30,7 @@ from plotmerge.schemas import (
 def strip_strings(df: DataFrame) -> DataFrame:
     return df.select(
         *[
-            strip(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name)
+            strip_of(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name)
             for f in df.schema.fields
         ]
     )

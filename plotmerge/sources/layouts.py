@@ -54,11 +54,30 @@ BUILDING_CONDITION = {
 
 # Objects a layout may take out of the page before its fields are read.
 SLOTS = ("main", "house", "address", "geo", "state")
+_PLACE = ("address.streetAddress", "address.postalCode", "address.addressLocality", "geo.latitude", "geo.longitude")
+# What the layouts read of them, each object in one pass.
+OPENED = {
+    "main": (
+        *_PLACE, "@type", "name", "description", "url", "offers", "floorSize.value", "numberOfRooms",
+        "energyEfficiencyScaleMin", "energyConsumption", "image", "sku", "title", "id", "address.street",
+        "address.houseNumber", "address.number", "address.city", "address.locality", "location.latitude",
+        "location.longitude", "price", "subType", "buildingCondition", "habitableSurface", "netHabitableSurface",
+        "surface", "bedrooms", "bedroomCount", "epc.label", "epc.consumption", "epcLabel", "epcScore", "media.photos",
+    ),
+    "house": (*_PLACE, "name", "description", "image"),
+    "address": ("streetAddress", "postalCode", "addressLocality"),
+    "geo": ("latitude", "longitude"),
+    "state": ("address.geo.lat", "address.geo.long"),
+}
 
 
 @dataclass(frozen=True)
 class Page:
-    """Columns a layout may refer to."""
+    """Columns a layout may refer to.
+
+    ``nodes`` are as of ``markup.typed``, ``slot`` has VARIANT objects, and ``opened`` what
+    ``OPENED`` names of them, as columns.
+    """
 
     html: Column
     url: Column
@@ -66,6 +85,7 @@ class Page:
     nodes: Column
     metas: Column
     slot: Mapping[str, Column]
+    opened: Mapping[str, Column]
     grammar: UrlGrammar
 
 
@@ -91,9 +111,9 @@ def code(value: Column, table: Mapping[str, str]) -> Column:
 
 def _address(node: Column) -> tuple[Column, Column, Column]:
     return (
-        X.blank_to_null(J.as_text(J.child(node, "streetAddress"))),
-        J.as_int(J.child(node, "postalCode")),
-        X.blank_to_null(J.as_text(J.child(node, "addressLocality"))),
+        X.blank_to_null(J.text_of(node["streetAddress"])),
+        J.int_of(node["postalCode"]),
+        X.blank_to_null(J.text_of(node["addressLocality"])),
     )
 
 
@@ -109,7 +129,7 @@ def _image(value: Column) -> Column:
     """URL of an image given as text, as a list, or as an object with a url."""
     return let(
         J.first_or_self(value),
-        lambda v: X.strip(F.coalesce(J.as_string(v), J.as_string(J.child(v, "url")))),
+        lambda v: X.strip(F.coalesce(J.string_of(v), J.as_string(J.child(v, "url")))),
     )
 
 
@@ -128,33 +148,34 @@ def residence(p: Page) -> Layout:
     The advert is the one that the object's own URL names; the page's URL counts only
     where the object has none.
     """
-    main = p.slot["main"]
-    street, postcode, city = _address(J.child(main, "address"))
-    name = X.strip(J.as_string(J.child(main, "name")))
-    description = X.strip(J.as_string(J.child(main, "description")))
-    kind = J.as_string(J.first_or_self(J.child(main, "@type")))
-    declared = F.coalesce(X.blank_to_null(J.as_string(J.child(main, "url"))), p.url)
-    geo = J.child(main, "geo")
+    main = p.opened["main"]
+    street, postcode, city = _address(main["address"])
+    name = X.strip(J.string_of(main["name"]))
+    description = X.strip(J.string_of(main["description"]))
+    # A node is found by its type, so that is a string.
+    kind = J.string_of(main["@type"])
+    declared = F.coalesce(X.blank_to_null(J.string_of(main["url"])), p.url)
+    geo = main["geo"]
     return Layout(
-        slots={"main": M.node_of_types(p.nodes, RESIDENCE_TYPES)},
+        slots={"main": M.typed_node(p.nodes, *RESIDENCE_TYPES)},
         fields={
             "source_id": p.grammar.advert_id(declared),
             "source_url": declared,
             "postcode": postcode,
             "gemeente": city,
             "straat": street,
-            "lat": J.as_float(J.child(geo, "latitude")),
-            "lng": J.as_float(J.child(geo, "longitude")),
-            "prijs_eur": J.as_int(J.child(J.first_or_self(J.child(main, "offers")), "price")),
+            "lat": J.float_of(geo["latitude"]),
+            "lng": J.float_of(geo["longitude"]),
+            "prijs_eur": J.as_int(J.child(J.first_or_self(main["offers"]), "price")),
             "type": X.property_type(_texts(kind, name)),
-            "oppervlakte_bewoonbaar_m2": J.as_int(J.child(main, "floorSize", "value")),
-            "slaapkamers": J.as_int(J.child(main, "numberOfRooms")),
-            "epc_label": X.epc_exact(J.as_string(J.child(main, "energyEfficiencyScaleMin"))),
-            "epc_kwh": J.as_int(J.child(main, "energyConsumption")),
+            "oppervlakte_bewoonbaar_m2": J.int_of(main["floorSize"]["value"]),
+            "slaapkamers": J.int_of(main["numberOfRooms"]),
+            "epc_label": X.epc_exact(J.string_of(main["energyEfficiencyScaleMin"])),
+            "epc_kwh": J.int_of(main["energyConsumption"]),
             "staat": X.condition(_told(description, name)),
             "titel": name,
             "korte_beschrijving": description,
-            "hoofd_foto_url": _image(J.child(main, "image")),
+            "hoofd_foto_url": _image(main["image"]),
         },
         reject=_reject(
             (main.isNull(), "no_residence_block"),
@@ -171,30 +192,33 @@ def product_house(p: Page) -> Layout:
     What a Product can tell (name, description, image, price) is not looked for in the
     House or the page. Without a city the URL must be an advert's.
     """
-    product, house, state = p.slot["main"], p.slot["house"], p.slot["state"]
-    street, postcode, city = _address(J.child(house, "address"))
+    product, house, state = p.opened["main"], p.opened["house"], p.opened["state"]
+    street, postcode, city = _address(house["address"])
     url_postcode = p.grammar.postcode(p.url)
-    main = F.coalesce(product, house)
-    name = X.strip(J.as_string(J.child(main, "name")))
-    description = X.strip(J.as_string(J.child(main, "description")))
-    offer = J.first_or_self(J.child(product, "offers"))
+
+    def main(key: str) -> Column:
+        return F.when(product.isNull(), house[key]).otherwise(product[key])
+
+    name = X.strip(J.string_of(main("name")))
+    description = X.strip(J.string_of(main("description")))
+    offer = J.first_or_self(product["offers"])
     declared = F.coalesce(X.blank_to_null(J.as_string(J.child(offer, "url"))), p.url)
     advert = F.coalesce(
-        X.blank_to_null(J.as_text(J.child(product, "sku"))), p.grammar.advert_id(declared)
+        X.blank_to_null(J.text_of(product["sku"])), p.grammar.advert_id(declared)
     )
 
     def coordinate(state_key: str, house_key: str) -> Column:
         return F.coalesce(
-            J.as_float(J.child(state, "address", "geo", state_key), comma=True),
-            J.as_float(J.child(house, "geo", house_key), comma=True),
+            J.float_of(state["address"]["geo"][state_key], comma=True),
+            J.float_of(house["geo"][house_key], comma=True),
         )
 
     price = J.as_int(J.child(offer, "price"))
     label = X.epc_lenient(X.epc_label_in(p.html))
     return Layout(
         slots={
-            "main": M.node_of_type(p.nodes, "Product"),
-            "house": M.node_of_type(p.nodes, "House"),
+            "main": M.typed_node(p.nodes, "Product"),
+            "house": M.typed_node(p.nodes, "House"),
             "state": M.page_property(p.tags),
         },
         fields={
@@ -214,7 +238,7 @@ def product_house(p: Page) -> Layout:
             "staat": X.condition(_told(description, name)),
             "titel": name,
             "korte_beschrijving": F.substring(description, 1, DESCRIPTION_LIMIT),
-            "hoofd_foto_url": _image(J.child(main, "image")),
+            "hoofd_foto_url": _image(main("image")),
         },
         reject=_reject(
             (product.isNull() & house.isNull(), "no_product_or_house_block"),
@@ -227,12 +251,12 @@ def product_house(p: Page) -> Layout:
 
 def split_blocks(p: Page) -> Layout:
     """Address, coordinates and text in blocks of their own; specs in meta text."""
-    address, geo, house = p.slot["address"], p.slot["geo"], p.slot["house"]
+    address, geo, house = p.opened["address"], p.opened["geo"], p.opened["house"]
     og_title = M.meta_content(p.metas, "og:title")
     spec = _texts(M.meta_content(p.metas, "twitter:description", "name"),
                   M.meta_content(p.metas, "twitter:description"), og_title)
     street, _, city = _address(address)
-    description = X.strip(J.as_string(J.child(house, "description")))
+    description = X.strip(J.string_of(house["description"]))
     advert = p.grammar.advert_id(p.url)
 
     def spec_first(read) -> Column:
@@ -240,9 +264,9 @@ def split_blocks(p: Page) -> Layout:
 
     return Layout(
         slots={
-            "address": M.node_of_type(p.nodes, "PostalAddress"),
-            "geo": M.node_of_type(p.nodes, "GeoCoordinates"),
-            "house": M.node_of_type(p.nodes, "House"),
+            "address": M.typed_node(p.nodes, "PostalAddress"),
+            "geo": M.typed_node(p.nodes, "GeoCoordinates"),
+            "house": M.typed_node(p.nodes, "House"),
         },
         fields={
             "source_id": advert,
@@ -250,8 +274,8 @@ def split_blocks(p: Page) -> Layout:
             "postcode": p.grammar.postcode(p.url),
             "gemeente": F.coalesce(city, p.grammar.city(p.url)),
             "straat": street,
-            "lat": J.as_float(J.child(geo, "latitude"), comma=True),
-            "lng": J.as_float(J.child(geo, "longitude"), comma=True),
+            "lat": J.float_of(geo["latitude"], comma=True),
+            "lng": J.float_of(geo["longitude"], comma=True),
             "prijs_eur": spec_first(X.price),
             "type": X.property_type(spec),
             "oppervlakte_bewoonbaar_m2": spec_first(X.surface),
@@ -273,56 +297,54 @@ def classified(
     conditions: Mapping[str, str] = BUILDING_CONDITION,
 ) -> Layout:
     """Everything is in the classified object of the page state."""
-    state, main = p.slot["state"], p.slot["main"]
-    address = J.child(main, "address")
-    name = X.strip(J.as_string(J.child(main, "title")))
-    description = X.strip(J.as_string(J.child(main, "description")))
+    state, main = p.slot["state"], p.opened["main"]
+    address = main["address"]
+    name = X.strip(J.string_of(main["title"]))
+    description = X.strip(J.string_of(main["description"]))
 
-    def first_int(*paths: tuple[str, ...]) -> Column:
-        return X.first_nonzero(*[J.as_int(J.child(main, *q)) for q in paths])
+    def first_int(*values: Column) -> Column:
+        return X.first_nonzero(*[J.int_of(v) for v in values])
 
-    postcode = J.as_int(J.child(address, "postalCode"))
+    postcode = J.int_of(address["postalCode"])
     city = X.blank_to_null(
         X.first_nonempty(
-            J.as_text(J.child(address, "city")), J.as_text(J.child(address, "locality"))
+            J.text_of(address["city"]), J.text_of(address["locality"])
         )
     )
-    advert = X.blank_to_null(J.as_text(J.child(main, "id")))
+    advert = X.blank_to_null(J.text_of(main["id"]))
     number = X.first_nonempty(
-        J.as_text(J.child(address, "houseNumber")), J.as_text(J.child(address, "number"))
-    )
-    photos = J.child(main, "media", "photos")
-    label = J.as_string(
-        F.coalesce(J.child(main, "epc", "label"), J.child(main, "epcLabel"))
+        J.text_of(address["houseNumber"]), J.text_of(address["number"])
     )
+    photos, price = main["media"]["photos"], main["price"]
+    label = J.string_of(F.coalesce(main["epc"]["label"], main["epcLabel"]))
     return Layout(
         slots={"state": M.page_state(p.tags)},
         late_slots={"main": M.classified(state)},
         fields={
             "source_id": advert,
-            "source_url": F.coalesce(X.blank_to_null(J.as_string(J.child(main, "url"))), p.url),
+            "source_url": F.coalesce(X.blank_to_null(J.string_of(main["url"])), p.url),
             "postcode": postcode,
             "gemeente": city,
-            "straat": X.street(J.as_text(J.child(address, "street")), number),
-            "lat": J.as_float(J.child(main, "location", "latitude")),
-            "lng": J.as_float(J.child(main, "location", "longitude")),
-            "prijs_eur": first_int(("price", "mainValue"), ("price", "value"), ("price",)),
+            "straat": X.street(J.text_of(address["street"]), number),
+            "lat": J.float_of(main["location"]["latitude"]),
+            "lng": J.float_of(main["location"]["longitude"]),
+            "prijs_eur": first_int(J.child(price, "mainValue"), J.child(price, "value"), price),
             "type": F.coalesce(
-                code(J.as_string(J.child(main, "subType")), subtypes), X.property_type(name)
+                code(J.string_of(main["subType"]), subtypes), X.property_type(name)
             ),
             "oppervlakte_bewoonbaar_m2": first_int(
-                ("habitableSurface",), ("netHabitableSurface",), ("surface",)
+                main["habitableSurface"], main["netHabitableSurface"], main["surface"]
             ),
-            "slaapkamers": first_int(("bedrooms",), ("bedroomCount",)),
+            "slaapkamers": first_int(main["bedrooms"], main["bedroomCount"]),
             "epc_label": X.epc_exact(label),
-            "epc_kwh": first_int(("epc", "consumption"), ("epcScore",)),
+            "epc_kwh": first_int(main["epc"]["consumption"], main["epcScore"]),
             "staat": F.coalesce(
-                code(J.as_string(J.child(main, "buildingCondition")), conditions),
+                code(J.string_of(main["buildingCondition"]), conditions),
                 X.condition(_told(description, name)),
             ),
             "titel": name,
             "korte_beschrijving": description,
-            "hoofd_foto_url": F.coalesce(_image(photos), _image(J.child(main, "image"))),
+            "hoofd_foto_url": F.coalesce(_image(photos), _image(main["image"])),
         },
         reject=_reject(
             (state.isNull(), "no_page_state"),
@@ -398,6 +420,7 @@ def _chosen(specs: tuple[SourceSpec, ...], layouts) -> dict[str, dict[str, Colum
                 tags=F.col("_tags"),
                 metas=F.col("_metas"),
                 slot={s: F.col(f"_{s}") for s in SLOTS},
+                opened={s: F.col(f"_{s}_opened") for s in SLOTS},
                 grammar=spec.grammar,
             )
         )
@@ -441,13 +464,21 @@ def _extract_declared(pages: DataFrame, specs: Mapping[str, SourceSpec], layouts
     noded = tagged.select(
         *keys,
         "_tags",
-        M.ld_nodes(M.json_ld(F.col("_tags"))).alias("_nodes"),
+        M.typed(M.ld_nodes(M.json_ld(F.col("_tags")))).alias("_nodes"),
         M.metas(F.col("_tags")).alias("_metas"),
     )
     slotted = noded.select(*keys, "_metas", *[c.alias(f"_{s}") for s, c in step["slots"].items()])
-    opened = slotted.select(
+    slotted = slotted.select(
         *keys, "_metas", *[F.coalesce(f"_{s}", c).alias(f"_{s}") for s, c in step["late"].items()]
     )
+    opened = slotted.select(
+        "*",
+        *[
+            J.opened(F.col(f"_{s}"), *[tuple(path.split(".")) for path in paths]).alias(f"_{s}_opened")
+            for s, paths in OPENED.items()
+        ],
+    )
+    slots += [f"{s}_opened" for s in slots]
     filled = opened.select(*keys, *slots, *[c.alias(f) for f, c in step["fields"].items()])
     judged = filled.withColumns(step["reject"])
     # Through inline() a filter on a parsed column stays above the parsing; a plain
