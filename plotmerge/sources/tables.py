@@ -21,6 +21,8 @@ from plotmerge.schemas import META, align, empty
 
 #: Buckets of a new bucketed table; at least a few per executor core on a cluster.
 BUCKETS = 64
+#: Tasks that write a bucket's rows, so that few buckets keep all cores at work.
+WRITERS = 4
 MANIFEST = "bucket int, folder string, buckets int"
 
 
@@ -184,7 +186,8 @@ class BucketedTable(VersionedTable):
         folder = f"v={new}-{uuid.uuid4().hex[:12]}"
         target = f"{self.base}/{self.name}/{folder}"
         out = align(merge(self._read(manifest, touched), changed), self.schema)
-        out.withColumn("bucket", self.bucket_of(F.col(self.key))).repartition("bucket").write.partitionBy(
+        writer = F.pmod(F.xxhash64(self.key, F.lit(1)), F.lit(WRITERS))
+        out.withColumn("bucket", self.bucket_of(F.col(self.key))).repartition("bucket", writer).write.partitionBy(
             "bucket"
         ).parquet(target)
         written = {

@@ -178,3 +178,18 @@ def test_flags_by_filter_equal_flags_by_join(spark):
     got = K.flag_known_filtered(frontier, known)
     assert rows(got, "source_name", "url", "known") == want
     assert rows(K.flag_known_filtered(frontier, known.limit(0)), "known") == [(False,)] * 350
+
+
+def test_several_tasks_write_a_bucket(spark, tmp_path):
+    confs = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in confs}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    try:
+        t = bucketed(spark, tmp_path, 1)
+        t.upsert(numbered(spark, 0, 200, "a"), AT)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(files(tmp_path)) > 1
+    assert rows(t.read(), "key") == sorted([(str(n),) for n in range(200)], key=repr)
