@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotmerge.operators.ranking import positions
+from plotmerge.operators.ranking import dealt, place
 
 LIST_LIMIT = 500
 MAP_LIMIT = 2000
@@ -118,30 +118,53 @@ def first_sources(sources: DataFrame) -> DataFrame:
     )
 
 
-def sorted_sources(sources: DataFrame) -> DataFrame:
+def _placed_sources(sources: DataFrame, tasks: int | None) -> tuple[DataFrame, DataFrame]:
+    """Sources in the order of listing and name, and for each listing and partition of them the offset of
+    their places, with the number of sources and the first source of the listing."""
+    placed = place(
+        sources.select("listing_id", "source_name", "source_id", "first_seen"),
+        ["listing_id"], ["source_name", "source_id"], tasks,
+    )
+    # Dealt before they are grouped: a task that reads several files would sort all their rows.
+    runs = dealt(placed, tasks, "listing_id", "_part").groupBy("listing_id", "_part").agg(
+        F.min("_at").alias("_from"),
+        F.count(F.lit(1)).alias("_n"),
+        F.min(F.struct("first_seen", "source_name", "source_id")).alias("_seen"),
+    )
+    one = Window.partitionBy("listing_id")
+    runs = dealt(runs, tasks, "listing_id").select(
+        "listing_id",
+        "_part",
+        (F.sum("_n").over(one.orderBy("_part")) - F.col("_n") - F.col("_from") + 1).alias("_shift"),
+        F.sum("_n").over(one).alias("n_sources"),
+        F.min("_seen").over(one).alias("first_source"),
+    )
+    return dealt(placed.drop("first_seen"), tasks, "listing_id", "_part"), runs
+
+
+def _numbered(joined: DataFrame) -> DataFrame:
+    return joined.withColumn("pos", F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
+
+
+def sorted_sources(sources: DataFrame, tasks: int | None = None) -> DataFrame:
     """Sources of each listing in name order, one row each: (listing_id, n_sources,
     first_source, pos, source_name, source_id).
 
     Rows are numbered where they lie after a range sort, so a listing may have any
-    number of sources; the count and the first source come from one aggregate.
+    number of sources; the count and the first source come from one aggregate. ``tasks``
+    is into how many the rows are sorted and joined, if not as Spark's settings say.
     """
-    placed = positions(
-        sources.select("listing_id", "source_name", "source_id", "first_seen"),
-        ["listing_id"], ["source_name", "source_id"],
-    )
-    facts = placed.groupBy("listing_id").agg(
-        F.count(F.lit(1)).alias("n_sources"),
-        F.min(F.struct("first_seen", "source_name", "source_id")).alias("first_source"),
-    )
-    return placed.drop("first_seen").join(facts, "listing_id")
+    placed, runs = _placed_sources(sources, tasks)
+    return _numbered(placed.join(runs, ["listing_id", "_part"]))
 
 
-def with_sources(listings: DataFrame, sources: DataFrame) -> DataFrame:
+def with_sources(listings: DataFrame, sources: DataFrame, tasks: int | None = None) -> DataFrame:
     """Listings with a row for each source; one without sources keeps one row."""
-    nested = sorted_sources(sources).withColumnRenamed("listing_id", "id")
-    return listings.join(nested, "id", "left").withColumn(
-        "n_sources", F.coalesce("n_sources", F.lit(0).cast("bigint"))
-    )
+    placed, runs = _placed_sources(sources, tasks)
+    facts = listings.join(runs.withColumnRenamed("listing_id", "id"), "id", "left")
+    # A listing's facts are rows per partition of its sources, so these meet without a hot key.
+    joined = facts.join(placed.withColumnRenamed("listing_id", "id"), ["id", "_part"], "left")
+    return _numbered(joined).withColumn("n_sources", F.coalesce("n_sources", F.lit(0).cast("bigint")))
 
 
 def all_listings(listings: DataFrame) -> DataFrame:

@@ -13,42 +13,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotmerge.session import materialize
+from plotmerge.session import materialize, tasks_for
 
 DEFAULT_WIDTH = 1_000_000
 #: Rows of one bucket that a window numbers in one task.
 MOST = 2_000_000
 
 
-def positions(df: DataFrame, keys: list[str], order: list[str], out: str = "pos") -> DataFrame:
+def dealt(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    """Rows dealt by keys to so many tasks, or left to Spark."""
+    return df if tasks is None else df.repartition(tasks, *keys)
+
+
+def place(df: DataFrame, keys: list[str], order: list[str], tasks: int | None = None) -> DataFrame:
+    """Rows range-sorted by key and order, stored with the partition they lie in and their place.
+
+    Rows of a key lie in order in ``_at``, without a gap inside a ``_part``. A key may spread over many.
+    """
+    columns = [F.col(c) for c in (*keys, *order)]
+    ranged = df.repartitionByRange(*columns) if tasks is None else df.repartitionByRange(tasks, *columns)
+    placed = ranged.sortWithinPartitions(*columns).withColumn("_at", F.monotonically_increasing_id())
+    return materialize(placed, "positions").withColumn("_part", F.shiftright("_at", 33))
+
+
+def positions(
+    df: DataFrame, keys: list[str], order: list[str], out: str = "pos", tasks: int | None = None
+) -> DataFrame:
     """Number the rows of each key by ``order``, from 1; any types, ties and gaps.
 
     Rows are range-sorted by key and order and stored with their place. A key may spread
     over many partitions: the number of a row is its place plus an offset for its
-    (partition, key), summed up along the partitions that the key lies in.
+    (partition, key), summed up along the partitions that the key lies in. ``tasks``
+    is into how many the rows are sorted and joined, if not as Spark's settings say.
     """
-    columns = [F.col(c) for c in (*keys, *order)]
-    placed = materialize(
-        df.repartitionByRange(*columns)
-        .sortWithinPartitions(*columns)
-        .withColumn("_at", F.monotonically_increasing_id()),
-        "positions",
-    )
-    part = F.shiftright("_at", 33)
-    runs = placed.groupBy(*keys, part.alias("_part")).agg(
-        F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")
-    )
+    placed = place(df, keys, order, tasks)
+    runs = placed.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy(*keys).orderBy("_part")
     runs = runs.select(
         *[F.col(k).alias(f"_key_{k}") for k in keys],
-        "_part",
+        F.col("_part").alias("_run"),
         (F.sum("_n").over(upto) - F.col("_n") - F.col("_first") + 1).alias("_shift"),
     )
-    same = part == F.col("_part")
+    same = F.col("_part") == F.col("_run")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
-    return placed.join(runs, same).withColumn(out, F.col("_at") + F.col("_shift")).drop(
-        "_at", "_part", "_shift", *[f"_key_{k}" for k in keys]
+    return dealt(placed, tasks, *keys, "_part").join(runs, same).withColumn(out, F.col("_at") + F.col("_shift")).drop(
+        "_at", "_part", "_run", "_shift", *[f"_key_{k}" for k in keys]
     )
 
 
@@ -86,10 +96,10 @@ def row_numbers(
     same = F.col("_bucket") == F.col("_at")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
-    largest = sizes.agg(F.max("_n")).first()[0] or 0
-    if largest > most:
+    largest, rows = sizes.agg(F.max("_n"), F.sum("_n")).first()
+    if (largest or 0) > most:
         kept = bucketed.join(offsets, same, "left_semi") if at_most is not None else bucketed
-        ranked = positions(kept.drop("_bucket"), keys, [order, *ties], out)
+        ranked = positions(kept.drop("_bucket"), keys, [order, *ties], out, tasks_for(df.sparkSession, rows))
         return ranked if at_most is None else ranked.where(F.col(out) <= at_most)
     joined = bucketed.join(offsets, same).drop("_at", *[f"_key_{k}" for k in keys])
     inside = Window.partitionBy(*keys, "_bucket").orderBy(order, *ties)

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plotmerge.session import tasks_for
+
 
 @dataclass(frozen=True)
 class Query:
@@ -17,7 +19,7 @@ class Query:
 
 QUERIES: dict[str, Query] = {}
 
-#: Rows of a table that one task groups or joins.
+#: Rows of a table that one task sorts, groups or joins.
 ROWS_A_TASK = 250_000
 
 
@@ -54,16 +56,19 @@ class Tables:
         df, cores = getattr(self, name), self.spark.sparkContext.defaultParallelism
         return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
+    def tasks(self, name: str) -> int | None:
+        """Tasks for the rows of a table (from the footers of its files); None: Spark's own."""
+        return tasks_for(self.spark, getattr(self, name).count(), ROWS_A_TASK)
+
     def dealt(self, df: DataFrame, table: str, *keys: str) -> DataFrame:
         """``df``, with about as many rows as the table, dealt by keys that nearly every row has alone.
 
         The tasks grow in number with the table's rows (from the footers of its files), so
-        that a task's hash maps and sorts do not grow. Where the session's own partitions
-        are enough, the rows stay where they are.
+        that a task's hash maps and sorts do not grow. Where a task for each core is
+        enough, the rows stay where they are.
         """
-        n = -(-getattr(self, table).count() // ROWS_A_TASK)
-        own = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        return df if n <= own else df.repartition(n, *keys)
+        n = self.tasks(table)
+        return df if n is None else df.repartition(n, *keys)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):

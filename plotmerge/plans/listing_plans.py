@@ -149,7 +149,7 @@ def listing_filter_source_in(t: Tables):
 )
 def listing_with_sources(t: Tables):
     """A row for each source in name order, and the source a listing links to."""
-    return Q.with_sources(I.listings(t).select("id"), I.sources(t)).select(
+    return Q.with_sources(I.listings(t).select("id"), I.sources(t), t.tasks("lineitem")).select(
         "id",
         "n_sources",
         F.col("first_source.source_name").alias("first_source"),

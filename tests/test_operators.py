@@ -145,6 +145,20 @@ def test_sources_have_one_row_contract_at_every_size(spark):
         assert mine == [(k, i, len(ids), first) for k, i in enumerate(sorted(map(str, ids)), 1)]
 
 
+def test_a_hot_listing_lies_in_many_tasks(spark):
+    rows = [("hot" if k < 900 else f"l{k % 7}", f"s{k % 3}", f"{k:04}", k % 50) for k in range(1000)]
+    s = spark.createDataFrame(rows, "listing_id string, source_name string, source_id string, first_seen int").repartition(6)
+    listings = spark.createDataFrame([("hot",), ("none",), *((f"l{k}",) for k in range(7))], "id string")
+    got = sorted(tuple(r) for r in Q.with_sources(listings, s, 20).select(
+        "id", "n_sources", "first_source.source_id", "pos", F.col("source_name"), F.col("source_id").alias("own")).collect())
+    want = [("none", 0, None, None, None, None)]
+    for listing in ["hot", *(f"l{k}" for k in range(7))]:
+        mine = sorted(r for r in rows if r[0] == listing)
+        first = min(mine, key=lambda r: (r[3], r[1], r[2]))[2]
+        want += [(listing, len(mine), first, k, r[1], r[2]) for k, r in enumerate(mine, 1)]
+    assert got == sorted(want)
+
+
 def test_positions_of_ties_and_gaps(spark):
     from collections import defaultdict
 

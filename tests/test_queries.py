@@ -97,3 +97,16 @@ def test_error_samples_find_the_errors_once(spark):
     (got,) = quality.error_samples(rows.mapInArrow(counted, rows.schema), "k").collect()
     assert (got["errors"], got["messages"], got["suppressed"]) == (7, [f"m{k}" for k in range(5)], 2)
     assert read.value == 7
+
+
+def test_tasks_of_nested_sources_grow_with_the_table(spark, monkeypatch, con):
+    from plotmerge.plans import catalog
+
+    monkeypatch.setattr(catalog, "ROWS_A_TASK", 100)
+    tasks = -(-catalog.Tables(spark, SF_DIR).lineitem.count() // 100)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too large for it
+    try:
+        assert QUERIES["listing_with_sources"].run(spark, SF_DIR).rdd.getNumPartitions() == tasks
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert compare(spark, con, QUERIES["listing_with_sources"], SF_DIR) is None
