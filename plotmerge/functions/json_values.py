@@ -70,6 +70,10 @@ def items(value: Column) -> Column:
     return F.try_variant_get(value, "$", "array<variant>")
 
 
+def is_list(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "array<variant>").isNotNull()
+
+
 def _text(value: Column) -> Column:
     return F.try_variant_get(value, "$", "string")
 

@@ -13,7 +13,6 @@ from plotmerge.session import materialize
 # ---- fixed values ----------------------------------------------------------
 GEO_WORDS = ("lat", "lng", "long", "geo", "coord", "location", "position")
 ERROR_SAMPLES = 5
-PROFILED_LIST_ITEMS = 5
 PREVIEW_LENGTH = 80
 # ----------------------------------------------------------------------------
 
@@ -134,11 +133,11 @@ LEVELS_AT_ONCE = 4
 def json_paths(docs: DataFrame, text: str, words: Sequence[str] | None = None) -> DataFrame:
     """One row per key of each document: (path, name, type, preview).
 
-    Objects are opened level by level until none is left; of a list the first few
-    items are opened. Some levels are opened within the row, so that documents are
-    read and parsed once; values below them are stored and opened in another round,
-    which flat documents never need. With ``words`` only keys whose name contains one
-    are kept.
+    Objects and all items of lists are opened level by level until none is left; a list
+    within a list is a level without a name. Some levels are opened within the row, so
+    that documents are read and parsed once; values below them are stored and opened in
+    another round, which flat documents never need. With ``words`` only keys whose name
+    contains one are kept.
     """
     entry = "array<struct<path:string,name:string,v:variant>>"
 
@@ -152,9 +151,14 @@ def json_paths(docs: DataFrame, text: str, words: Sequence[str] | None = None) -
             ),
         )
 
+    def nameless(value: Column, path: Column) -> Column:
+        return F.array(F.struct(path.alias("path"), F.lit(None).cast("string").alias("name"), value.alias("v")))
+
     def inside(e: Column) -> Column:
-        opened = F.coalesce(F.slice(J.items(e["v"]), 1, PROFILED_LIST_ITEMS), F.array(e["v"]))
-        return _concat(F.transform(opened, lambda v: keys_of(v, e["path"])), entry)
+        opened = F.coalesce(J.items(e["v"]), F.array(e["v"]))
+        return _concat(F.transform(opened, lambda v: F.when(
+            J.is_list(v), nameless(v, e["path"])
+        ).otherwise(keys_of(v, e["path"]))), entry)
 
     def below(level: Column) -> Column:
         return _concat(F.transform(level, inside), entry)
@@ -169,11 +173,15 @@ def json_paths(docs: DataFrame, text: str, words: Sequence[str] | None = None) -
             F.regexp_extract(J.kind(e["v"]), r"^\w+", 0).alias("type"),
             F.substring(F.to_json(e["v"]), 1, PREVIEW_LENGTH).alias("preview"),
         )) for c in levels.columns]
-        return materialize(levels.select(F.concat(*names).alias("found"), deeper.alias("deeper")), "json-paths")
+        found = F.filter(F.concat(*names), lambda e: e["name"].isNotNull())
+        return materialize(levels.select(found.alias("found"), deeper.alias("deeper")), "json-paths")
 
     rows = opened(
         docs.select(J.parse_strict(F.col(text)).alias("v")).select(
-            F.coalesce(keys_of(F.col("v"), F.lit("")), F.array().cast(entry)).alias("l0")
+            F.coalesce(
+                F.when(J.is_list(F.col("v")), nameless(F.col("v"), F.lit(""))).otherwise(keys_of(F.col("v"), F.lit(""))),
+                F.array().cast(entry),
+            ).alias("l0")
         )
     )
     found = rows.select(F.inline("found"))

@@ -310,3 +310,24 @@ def test_location_words_find_long_keys(spark):
     docs = spark.createDataFrame([('{"place": {"long": 4.5, "longitude": 3, "name": "x"}}',)], "doc string")
     got = quality.json_key_profile(docs, "doc", words=quality.GEO_WORDS).collect()
     assert {r["path"] for r in got} == {"place.long", "place.longitude"}
+
+
+def test_keys_of_all_list_items_are_profiled(spark):
+    """Items behind the fifth, and items of lists in lists, are opened as the first ones are."""
+    items = ", ".join(f'{{"id": {k}}}' for k in range(8))
+    docs = spark.createDataFrame([
+        (f'{{"list": [{items}, {{"lat": 1}}, {{"at": [0, 0, 0, 0, 0, {{"lng": "x"}}]}}]}}',),
+        ('{"rings": [[[{"geo": [[{"a": {"b": [[[{"lat": 2}]]]}}]]}]], [], [[]]]}',),
+        ('[{"lat": 3}, [{"lat": 4}]]',), ("[[[]]]",), ('{"lat": 5} x',), (None,),
+    ], "doc string")
+    got = quality.json_key_profile(docs, "doc", words=quality.GEO_WORDS).collect()
+    assert {(r["path"], r["type"], r["n"], r["preview"]) for r in got} == {
+        ("list.lat", "BIGINT", 1, "1"), ("list.at.lng", "STRING", 1, '"x"'),
+        ("rings.geo", "ARRAY", 1, '[[{"a":{"b":[[[{"lat":2}]]]}}]]'), ("rings.geo.a.b.lat", "BIGINT", 1, "2"),
+        ("lat", "BIGINT", 2, "3"),
+    }
+    every = quality.json_key_profile(docs, "doc").collect()
+    assert {r["path"]: r["n"] for r in every} == {
+        "list": 1, "list.id": 8, "list.lat": 1, "list.at": 1, "list.at.lng": 1,
+        "rings": 1, "rings.geo": 1, "rings.geo.a": 1, "rings.geo.a.b": 1, "rings.geo.a.b.lat": 1, "lat": 2,
+    }
