@@ -276,6 +276,16 @@ def test_sketches_discard_no_link(spark):
     assert close and close <= open_pairs and len(open_pairs) < len(sets) * (len(sets) - 1) // 2
 
 
+def test_line_dedup_signs_each_line_once(spark, monkeypatch):
+    """A line of many documents is signed once, not once for each document."""
+    signed, real = [], line_dedup.signatures
+    monkeypatch.setattr(line_dedup, "signatures", lambda texts: signed.append(texts.count()) or real(texts))
+    rows = [(k, f"a line of every document\n\nline {k} of its own, {'x' * k}") for k in range(9)]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert signed == [10]
+    assert {(g["keep_id"], g["class_size"]) for g in got if g["line"] == 0} == {(0, 9)}
+
+
 def test_line_dedup_texts(docs):
     new = line_dedup.without_repeats(docs)
     assert new.columns == docs.columns and new.count() == docs.count()
